@@ -91,36 +91,18 @@ def floor_index(v: Column, x0: Column, dx: Column) -> Column:
 # ----- WKB --------------------------------------------------------------------------
 
 
-def _double_at(hex_text: Column, offset: int | Column, little: Column) -> Column:
-    """Decode 8 bytes of a hex string as an IEEE-754 double, with exact arithmetic."""
-    start = F.lit(offset) if isinstance(offset, int) else offset
-    as_big = F.substr(hex_text, start, F.lit(16))
-    swapped = F.concat(*[F.substr(hex_text, start + 2 * (7 - b), F.lit(2)) for b in range(8)])
-    bits = F.when(little, swapped).otherwise(as_big)
-    head = F.conv(F.substring(bits, 1, 3), 16, 10).cast("int")
-    mantissa = F.conv(F.substring(bits, 4, 13), 16, 10).cast("long").cast("double") / float(2**52)
+def swap_bytes(hex_text: Column, size: int) -> Column:
+    """Hex text of ``size`` bytes in reverse byte order."""
+    return F.concat(*[F.substring(hex_text, 1 + 2 * (size - 1 - b), 2) for b in range(size)])
+
+
+def double_from_bits(head: Column, mantissa: Column) -> Column:
+    """IEEE-754 double from its sign and exponent (12 bits) and its mantissa (52 bits).
+
+    Every step is exact. Infinities and NaN, which an empty point carries, become NULL.
+    """
     exponent = head.bitwiseAND(2047)
+    fraction = mantissa / float(2**52)
     sign = F.when(head >= 2048, F.lit(-1.0)).otherwise(F.lit(1.0))
-    normal = F.pow(F.lit(2.0), exponent - 1023) * (mantissa + 1)
-    subnormal = F.pow(F.lit(2.0), F.lit(-1022.0)) * mantissa
-    # Exponent 2047 marks infinities and NaN, which an empty point carries: no coordinate.
-    return F.when(exponent == 0, sign * subnormal).when(exponent < 2047, sign * normal)
-
-
-def wkb_point(wkb: Column) -> Column:
-    """struct<lon, lat> of a WKB or EWKB point of either byte order; NULL if not a point."""
-    text = F.hex(wkb)
-    little = F.substring(text, 1, 2) == "01"
-    kind = F.when(
-        little,
-        F.concat(*[F.substring(text, 3 + 2 * (3 - b), 2) for b in range(4)]),
-    ).otherwise(F.substring(text, 3, 8))
-    code = F.conv(kind, 16, 10).cast("long")
-    has_srid = code.bitwiseAND(0x20000000) != 0
-    base = code.bitwiseAND(0x0FFFFFFF) % 1000  # ISO Z/M variants add 1000s
-    offset = F.when(has_srid, F.lit(19)).otherwise(F.lit(11))
-    point = F.struct(
-        _double_at(text, offset, little).alias("lon"),
-        _double_at(text, offset + 16, little).alias("lat"),
-    )
-    return F.when(base == 1, point)
+    size = F.pow(F.lit(2.0), F.greatest(exponent, F.lit(1)) - 1023)
+    return F.when(exponent < 2047, sign * size * (fraction + F.when(exponent == 0, 0.0).otherwise(1.0)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinshot.functions.scalar import md5_int
-from twinshot.operators.keys import checked_broadcast
+from twinshot.operators.keys import checked_broadcast, materialise
 from twinshot.operators.ranks import value_ranks
 
 _PANELS = 4000
@@ -95,6 +95,7 @@ def bootstrap_median(
     rows = df.where(F.col(value).isNotNull()).select(*group, *key, value)
     for g in group:
         rows = rows.where(F.col(g).isNotNull())
+    rows = materialise(rows)  # narrow, and read by each of the steps below
     sizes = rows.groupBy(*group).agg(F.count("*").alias("_n"))
     rep = F.col("replicate")
     if hash == "md5":
@@ -128,6 +129,7 @@ def bootstrap_median(
     checked = F.when(outside, F.raise_error(F.lit("bootstrap median outside the counted ranks"))).otherwise(F.lit(None))
     middles = middles.withColumn("_low", F.coalesce(checked.cast("long"), F.col("_low")))
 
+    middles = materialise(middles)
     # At most 2 n ranks per group are wanted.
     wanted = (
         middles.select(*group, F.explode(F.array("_low", "_high")).alias("_k"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,36 @@ def checked_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Data
     return F.broadcast(df) if small else df
 
 
+def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write a result once and read it back, so that later steps do not recompute it.
+
+    Without a path a new folder is made under ``spark.checkpoint.dir``, the shared folder a
+    cluster names; what is written there outlives any executor. Only a session without
+    that setting (a local test) falls back to a temporary folder.
+    """
+    spark = df.sparkSession
+    if path is None:
+        path = f"{_shared_folder(spark)}/twinshot-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _shared_folder(spark) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
+        base = tempfile.mkdtemp(prefix="twinshot-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
+def attach_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Add the columns of a one-row aggregate to every row, as a scalar subquery."""
+    row = one.select(F.struct(*[F.col(c) for c in one.columns]).alias("_row")).scalar()
+    return df.withColumn("_row", row).select(*df.columns, "_row.*")
+
+
 def hot_keys(
     df: DataFrame, key: Column, rows_per_split: int, buckets: int = 64, per_bucket: int = 32, tracked: int = 2048
 ) -> DataFrame:

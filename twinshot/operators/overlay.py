@@ -59,20 +59,27 @@ def first_event_year(vals: Column, cls: int, base: int) -> Column:
     return (F.lit(base) + F.coalesce(F.array_position(vals, cls), F.lit(0))).cast("int")
 
 
-def _count(flags: list[Column]) -> Column:
-    return reduce(add, [f.cast("int") for f in flags])
-
-
-def _classified(df: DataFrame, hits: list[tuple[Column, Column, Column]]) -> DataFrame:
-    """Counts and dates from (treatment, control, date) per window position."""
-    dates = {f"p{p}_disturb_date": F.when(t | c, d).otherwise(F.lit(0)) for p, (t, c, d) in enumerate(hits, 1)}
-    return df.withColumns(
-        {
-            "measured_disturbance": _count([t for t, _, _ in hits]),
-            "control_disturbance": _count([c for _, c, _ in hits]),
-            **dates,
-        }
-    )
+_MEASURED, _CONTROL = 1, 2
+
+
+def _classified(df: DataFrame, dates: Column, hits: Column, window: int) -> DataFrame:
+    """Counts and dates from a date and a hit code per window position.
+
+    The rules stay two small array expressions: spelled out per position, their copies in
+    pushed-down filters would outgrow what the JVM compiles.
+    """
+    coded = df.withColumn("_dates", dates).withColumn("_hits", hits)
+    columns = {
+        "measured_disturbance": F.size(F.filter("_hits", lambda h: h == _MEASURED)),
+        "control_disturbance": F.size(F.filter("_hits", lambda h: h == _CONTROL)),
+    }
+    for p in range(window):
+        columns[f"p{p + 1}_disturb_date"] = F.when(F.get("_hits", F.lit(p)) > 0, F.get("_dates", F.lit(p))).otherwise(F.lit(0))
+    return coded.withColumns(columns).drop("_dates", "_hits")
+
+
+def _code(treatment: Column, control: Column) -> Column:
+    return F.when(treatment, _MEASURED).when(control, _CONTROL).otherwise(0)
 
 
 def disturbed(overlaid: DataFrame) -> DataFrame:
@@ -80,21 +87,13 @@ def disturbed(overlaid: DataFrame) -> DataFrame:
     return overlaid.where(F.col("measured_disturbance") + F.col("control_disturbance") > 0)
 
 
-def _at_p(prefix: str, p: int) -> Column:
-    """Value of 2 x 2 window position p (x offset outer, nearest first) of a window table row.
+def _positions() -> list[Column]:
+    """Window table entry of each 2 x 2 position p1..p4 (x offset outer, nearest pixel first).
 
-    Window table positions count from the corner, p counts from the nearest pixel.
+    Window tables count from the corner, p counts from the nearest pixel.
     """
-    i, j = divmod(p, 2)
-    row, col = (F.col("near_row"), F.col("near_col"))
-    cases = None
-    for a in (0, 1):
-        for b in (0, 1):
-            r, c = a ^ j, b ^ i
-            match = (row == a) & (col == b)
-            value = F.col(f"{prefix}_{c * 2 + r}")
-            cases = F.when(match, value) if cases is None else cases.when(match, value)
-    return cases
+    row, col = F.col("near_row"), F.col("near_col")
+    return [col.bitwiseXOR(F.lit(i)) * 2 + row.bitwiseXOR(F.lit(j)) for i in (0, 1) for j in (0, 1)]
 
 
 # ----- yearly class maps ------------------------------------------------------------
@@ -143,20 +142,25 @@ def classify_yearly(
     placed: DataFrame, windows: DataFrame, years: list[int], exclude: bool = False, anchor: str = "edge", hot: DataFrame | None = None
 ) -> DataFrame:
     """``overlay_yearly`` for placed pairs and a window table built once by ``yearly_windows``."""
-    base = F.lit(years[0] - 1)
     joined = lookup_join(window2(placed, anchor=anchor), windows, WINDOW_KEYS, "left", hot)
     s1, s2 = F.col("t1_year"), F.col("t2_year")
-    hits = []
-    for p in range(4):
-        f = F.coalesce(_at_p("f", p), base)
-        treatment = (s1 < f) & (f < s2)
-        control = ((s2 < f) | (s1 > f)) & (f > years[0])
-        if exclude:
-            g = F.coalesce(_at_p("g", p), base)
-            clear = (s2 < g) | (s1 > g)
-            treatment, control = treatment & clear, control & clear
-        hits.append((treatment, control, f))
-    return _without_window(_classified(joined, hits), windows)
+
+    def in_order(events: str) -> Column:
+        return F.array(*[F.coalesce(F.get(events, at), F.lit(years[0] - 1)) for at in _positions()])
+
+    def treatment(f: Column) -> Column:
+        return (s1 < f) & (f < s2)
+
+    def control(f: Column) -> Column:
+        return ((s2 < f) | (s1 > f)) & (f > years[0])
+
+    if exclude:
+        joined = joined.withColumn("_other", in_order("g"))
+        clear = lambda g: (s2 < g) | (s1 > g)
+        hits = F.zip_with("_dates", "_other", lambda f, g: _code(treatment(f) & clear(g), control(f) & clear(g)))
+    else:
+        hits = F.transform("_dates", lambda f: _code(treatment(f), control(f)))
+    return _without_window(_classified(joined, in_order("f"), hits, 4), windows).drop("_other")
 
 
 def _without_window(df: DataFrame, windows: DataFrame) -> DataFrame:
@@ -191,13 +195,14 @@ def alert_windows(alerts: DataFrame, confidence: int | None = 3) -> DataFrame:
 
 
 def with_alert_days(placed: DataFrame, windows: DataFrame, anchor: str = "centre", hot: DataFrame | None = None) -> DataFrame:
-    """Attach the nine alert days ``d_0..d_8`` (0 = none) of each placed pair."""
+    """Attach ``alert_days``, the nine alert days (0 = none) around each placed pair."""
     joined = lookup_join(window3(placed, anchor=anchor), windows, WINDOW_KEYS, "left", hot)
-    filled = {f"d_{p}": F.coalesce(f"d_{p}", F.lit(0)) for p in range(9)}
-    return joined.withColumns(filled).drop(*AXES, "wrow", "wcol")
+    filled = F.transform("d", lambda d: F.coalesce(d, F.lit(0)))
+    none = F.array(*[F.lit(0)] * 9)
+    return joined.withColumn("alert_days", F.coalesce(filled, none)).drop("d", *AXES, "wrow", "wcol")
 
 
-def classify_alerts(with_days_: DataFrame, buffer: Column | int, start: str = "t1_days", end: str = "t2_days") -> DataFrame:
+def classify_alerts(attached: DataFrame, buffer: Column | int, start: str = "t1_days", end: str = "t2_days") -> DataFrame:
     """Treatment, control and dates from attached alert days.
 
     Treatment: the day less the buffer is after t1 and the day is before t2. Control: there
@@ -205,13 +210,11 @@ def classify_alerts(with_days_: DataFrame, buffer: Column | int, start: str = "t
     """
     buffer = F.lit(buffer) if isinstance(buffer, int) else buffer
     s1, s2 = F.col(start), F.col(end)
-    hits = []
-    for p in range(9):
-        d = F.col(f"d_{p}")
-        treatment = (d - buffer > s1) & (d < s2)
-        control = (d != 0) & ((d < s1) | (d - buffer > s2))
-        hits.append((treatment, control, d))
-    return _classified(with_days_, hits).drop(*[f"d_{p}" for p in range(9)])
+
+    def hit(d: Column) -> Column:
+        return _code((d - buffer > s1) & (d < s2), (d != 0) & ((d < s1) | (d - buffer > s2)))
+
+    return _classified(attached, F.col("alert_days"), F.transform("_dates", hit), 9).drop("alert_days")
 
 
 def overlay_alerts(
@@ -247,7 +250,7 @@ def buffer_sweep(
     One overlay join serves all buffers; only the rule is repeated.
     """
     attached = run_overlay(pairs, tiles, with_alert_days, windows=alert_windows(alerts, confidence))
-    needed = [*[f"d_{p}" for p in range(9)], "t1_days", "t2_days", f"t1_{metric}", f"t2_{metric}"]
+    needed = ["alert_days", "t1_days", "t2_days", f"t1_{metric}", f"t2_{metric}"]
     swept = attached.select(*needed, F.explode(F.array(*[F.lit(b) for b in buffers])).alias("buffer_days"))
     control = disturbed(classify_alerts(swept, F.col("buffer_days"))).where("measured_disturbance = 0")
     return control.groupBy("buffer_days").agg(
@@ -258,17 +261,16 @@ def buffer_sweep(
 # ----- intensity --------------------------------------------------------------------
 
 
-def intensity_windows(pixels: DataFrame, bands: int = 4) -> DataFrame:
+def intensity_windows(pixels: DataFrame) -> DataFrame:
     """2 x 2 window table of disrupted / valid observations per band.
 
     A band without valid observations divides by 1. Pixels never disrupted add nothing.
     """
-    shares = [
-        (F.get("disrupt", F.lit(b)) / F.when(F.get("valid", F.lit(b)) == 0, 1).otherwise(F.get("valid", F.lit(b)))).alias(f"r{b}")
-        for b in range(bands)
-    ]
+    per_band = F.transform(
+        F.arrays_zip("disrupt", "valid"), lambda o: o["disrupt"] / F.when(o["valid"] == 0, 1).otherwise(o["valid"])
+    )
     active = pixels.where(F.exists("disrupt", lambda d: d != 0))
-    return window_table(active.select("tile", "row", "col", *shares), 2, [f"r{b}" for b in range(bands)])
+    return window_table(active.select("tile", "row", "col", per_band.alias("shares")), 2, ["shares"])
 
 
 def overlay_intensity(
@@ -276,7 +278,6 @@ def overlay_intensity(
     pixels: DataFrame,
     tiles: DataFrame,
     first_year: int,
-    bands: int = 4,
     pixel_order: str = "xy",
     anchor: str = "edge",
     hot: DataFrame | None = None,
@@ -288,16 +289,14 @@ def overlay_intensity(
     """
     if pixel_order not in ("xy", "yx"):
         raise ValueError("pixel_order must be 'xy' or 'yx'")
-    windows = intensity_windows(pixels, bands)
+    windows = intensity_windows(pixels)
     placed = window2(assign_tile(pairs.drop("tile"), tiles), anchor=anchor)
     joined = lookup_join(placed, windows, WINDOW_KEYS, "left", hot)
+    at = _positions() if pixel_order == "xy" else [_positions()[p] for p in (0, 2, 1, 3)]
     parts = []
     for p in range(4):
-        at = p if pixel_order == "xy" else (p % 2) * 2 + p // 2
         band = F.col(f"p{p + 1}_disturb_date") - first_year
-        share = None
-        for b in range(bands):
-            share = F.when(band == b, _at_p(f"r{b}", at)) if share is None else share.when(band == b, _at_p(f"r{b}", at))
+        share = F.get(F.get("shares", at[p]), F.when(band >= 0, band))
         parts.append(F.coalesce(share, F.lit(0.0)))
     scored = joined.withColumn("disturb_intensity", (reduce(add, parts) / 4).cast("float"))
     return _without_window(scored, windows)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinshot.operators.keys import checked_broadcast
+from twinshot.operators.keys import attach_row, checked_broadcast, materialise
 
 # Levels of the binary search below: 2 ** 10 buckets per group.
 _STEPS = [2**i for i in range(9, -1, -1)]
@@ -29,18 +29,15 @@ def value_ranks(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Rank interval of every distinct value in its group.
 
     Returns ``by..., value, lo, hi, n``: the value takes ranks ``lo..hi`` of ``n``, from 1.
-    Equal values are combined before the shuffle, so heavy ties cost one row.
+    Equal values are combined before the shuffle, so heavy ties cost one row. The distinct
+    values are read three times and therefore written once.
     """
-    c = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_cnt"))
+    c = materialise(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_cnt")))
     probs = [i / (_BOUNDS + 1) for i in range(1, _BOUNDS + 1)]
-    # sum(_cnt) also keeps this branch's shuffle identical to the others, so it is reused.
     bounds = c.groupBy(*by).agg(
         F.percentile_approx(value, probs, 10_000).alias("_bounds"), F.sum("_cnt").alias("n")
     )
-    if by:
-        placed = c.join(checked_broadcast(bounds), by)
-    else:
-        placed = c.join(F.broadcast(bounds.withColumn("_one", F.lit(1))), F.lit(1) == F.col("_one")).drop("_one")
+    placed = c.join(checked_broadcast(bounds), by) if by else attach_row(c, bounds)
     placed = placed.withColumn("_b", _bucket(F.col("_bounds"), F.col(value))).drop("_bounds")
     # At most 1024 rows per group from here on.
     below = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

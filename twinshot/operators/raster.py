@@ -204,10 +204,10 @@ def window3(points: DataFrame, lon: str = "t2_lon", lat: str = "t2_lat", anchor:
 
 
 def window_table(pixels: DataFrame, size: int, values: list[str]) -> DataFrame:
-    """One row per window holding at least one listed pixel: ``{value}_{position}`` columns.
+    """One row per window holding at least one listed pixel: each value as an array.
 
-    Position is ``column offset * size + row offset`` counted from the window's lowest
-    pixel. A row aggregates at most ``size * size`` pixels.
+    Entry ``column offset * size + row offset``, counted from the window's lowest pixel,
+    is the value of that pixel, NULL if not listed. A row has at most ``size * size`` pixels.
     """
     low = {2: 0, 3: -1}[size]
     offsets = [(dc, dr) for dc in range(low, low + size) for dr in range(low, low + size)]
@@ -223,7 +223,7 @@ def window_table(pixels: DataFrame, size: int, values: list[str]) -> DataFrame:
     )
     spread = pixels.select("tile", F.explode(targets).alias("w"), *values).select("tile", "w.*", *values)
     return spread.groupBy(*WINDOW_KEYS).agg(
-        *[F.max(F.when(F.col("pos") == p, F.col(v))).alias(f"{v}_{p}") for v in values for p in range(size * size)]
+        *[F.array(*[F.max(F.when(F.col("pos") == p, F.col(v))) for p in range(size * size)]).alias(v) for v in values]
     )
 
 

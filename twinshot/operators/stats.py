@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinshot.functions.scalar import bin_index, difference, ratio, rel_diff
-from twinshot.operators.keys import checked_broadcast
+from twinshot.operators.keys import attach_row, checked_broadcast
 from twinshot.operators.ranks import exact_percentiles
 
 
@@ -93,8 +93,7 @@ def with_extremes(df: DataFrame, values: dict[str, str], by: list[str]) -> DataF
         aggs += [F.min(c).alias(f"{name}_min"), F.max(c).alias(f"{name}_max")]
     if by:
         return df.join(checked_broadcast(df.groupBy(*by).agg(*aggs)), by)
-    one = df.agg(*aggs).withColumn("_one", F.lit(1))
-    return df.join(F.broadcast(one), F.lit(1) == F.col("_one")).drop("_one")
+    return attach_row(df, df.agg(*aggs))
 
 
 def histogram(df: DataFrame, col: str, bins: int, by: list[str] | None = None) -> DataFrame:
@@ -104,7 +103,7 @@ def histogram(df: DataFrame, col: str, bins: int, by: list[str] | None = None) -
     """
     by = by or []
     kind = dict(df.dtypes)[col]
-    x = F.unix_micros(col) / 1e6 if kind.startswith("timestamp") else F.col(col).cast("double")
+    x = F.unix_micros(F.col(col).cast("timestamp")) / 1e6 if kind.startswith("timestamp") else F.col(col).cast("double")
     rows = with_extremes(df.select(*by, x.alias("_x")).where("_x is not null"), {"_x": "_x"}, by)
     width = (F.col("_x_max") - F.col("_x_min")) / bins
     idx = F.when(width == 0, F.lit(0)).otherwise(
@@ -180,10 +179,7 @@ def kde(df: DataFrame, col: str, by: list[str] | None = None, points: int = 200,
     )
     shape = shape.withColumn("_bw", F.col("_sd") * F.pow("_n", F.lit(-0.2))).where("_bw > 0")
     weights = rows.groupBy(*by, "_v").agg(F.count("*").alias("_w"))
-    if by:
-        joined = weights.join(checked_broadcast(shape), by)
-    else:
-        joined = weights.join(F.broadcast(shape.withColumn("_one", F.lit(1))), F.lit(1) == F.col("_one"))
+    joined = weights.join(checked_broadcast(shape), by) if by else attach_row(weights, shape)
     step = (F.col("_hi") - F.col("_lo") + 2 * cut * F.col("_bw")) / (points - 1)
     grid = joined.withColumn("_step", step).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     x = F.col("_lo") - cut * F.col("_bw") + F.col("point") * F.col("_step")
