@@ -7,6 +7,8 @@ formulas in SQL.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,32 +29,45 @@ REGION = [
 CHUNK_REGION = [(-60.5, -5.4), (-59.3, -5.6), (-58.1, -4.2), (-59.6, -3.9)]
 
 
+# Derived tables are lazy plans; each is built once per session and reused by all queries.
+plan = lru_cache(maxsize=None)
+
+
+@plan
+def _source(spark: SparkSession, path: str) -> tuple[DataFrame, bool]:
+    """A table and whether it has fewer files than the cluster has cores."""
+    df = spark.read.parquet(path)
+    return df, len(df.inputFiles()) < spark.sparkContext.defaultParallelism
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Columns of a table, spread over the cluster if its files are fewer than the cores.
 
     The generated tables are single files; tables of many files are left as they are.
     """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df, few = _source(spark, f"{sf_dir}/{name}.parquet")
     df = df.select(*columns) if columns else df
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(spark.sparkContext.defaultParallelism, *df.columns) if few else df
 
 
 def unit(key: str, column: str) -> Column:
     """Uniform number in [0, 1) from the first 8 hex digits of an md5."""
     digest = F.md5(F.concat(F.lit(key), F.col(column).cast("string")).cast("binary"))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+    return F.coalesce(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / F.lit(4294967296.0), F.lit(0.0))
 
 
 def shot_number() -> Column:
     return F.datediff("o_orderdate", F.lit("1995-01-01")).cast("long") * 1000000 + F.col("o_orderkey")
 
 
+@plan
 def shots(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate", "o_totalprice", "o_orderstatus")
+    # Known not to be NULL, so that no derived filter repeats the formulas.
+    tile = F.coalesce(F.floor(F.col("o_orderkey") / TILE_ORDERS), F.lit(0))
     return o.select(
-        shot_number().alias("shot_number"),
-        (F.lit(-60.0) + F.floor(F.col("o_orderkey") / TILE_ORDERS) * F.lit(0.1) + unit("x", "o_orderkey") * 0.05).alias("lon"),
+        F.coalesce(shot_number(), F.lit(0)).alias("shot_number"),
+        (F.lit(-60.0) + tile * F.lit(0.1) + unit("x", "o_orderkey") * 0.05).alias("lon"),
         (F.lit(-5.0) + unit("y", "o_orderkey") * 0.05).alias("lat"),
         F.col("o_orderdate").cast("timestamp").alias("absolute_time"),
         F.when(F.col("o_orderstatus") == "P", 0).otherwise(1).alias("l4_quality_flag"),
@@ -65,7 +80,7 @@ def shots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shot_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metric table keyed by shot_num; the outlier flag comes from the order's customer."""
     o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_acctbal")
+    c = _source(spark, f"{sf_dir}/customer.parquet")[0].select("c_custkey", "c_acctbal")
     return o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(
         shot_number().alias("shot_num"),
         (F.col("o_totalprice") / 1000).alias("agbd_a0"),
@@ -74,12 +89,14 @@ def shot_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@plan
 def pairs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Near pairs carrying the given shot columns on both sides."""
     keep = dict.fromkeys(["shot_number", "lon", "lat", *columns])
     return near_pairs(shots(spark, sf_dir).select(*keep))
 
 
+@plan
 def timed_pairs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return with_time_diff(pairs(spark, sf_dir, "absolute_time", *columns))
 
@@ -89,7 +106,8 @@ def timed_pairs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 def geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Georeference of the tiles the orders fall on."""
-    n = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.floor(F.col("o_orderkey") / TILE_ORDERS).alias("k")).distinct()
+    o = _source(spark, f"{sf_dir}/orders.parquet")[0]
+    n = o.select(F.floor(F.col("o_orderkey") / TILE_ORDERS).alias("k")).distinct()
     return n.select(
         F.concat(F.lit("T"), F.col("k").cast("string")).alias("tile"),
         (F.lit(-60.001) + F.col("k") * F.lit(0.1)).alias("x0"),
@@ -99,6 +117,7 @@ def geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@plan
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = geo(spark, sf_dir).withColumns({"nx": F.lit(COLS), "ny": F.lit(ROWS)})
     return with_extent(sized)
@@ -108,13 +127,17 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pixel of every tile: ``tile, row, col``."""
     rows = F.explode(F.sequence(F.lit(0), F.lit(ROWS - 1)))
     cols = F.explode(F.sequence(F.lit(0), F.lit(COLS - 1)))
-    return geo(spark, sf_dir).select("tile", rows.alias("row")).select("tile", "row", cols.alias("col"))
+    lines = geo(spark, sf_dir).select("tile", rows.alias("row"))
+    # A handful of tile rows would otherwise unfold to all pixels in one task.
+    lines = lines.repartition(spark.sparkContext.defaultParallelism, "tile", "row")
+    return lines.select("tile", "row", cols.alias("col"))
 
 
 def _mod(a: int, b: int, m: int) -> Column:
     return (F.col("row") * a + F.col("col") * b) % m
 
 
+@plan
 def yearly_pixels(spark: SparkSession, sf_dir: str, mod: int = 11, deforestation: bool = False) -> DataFrame:
     """Class maps 1996..1999: 1, then 2 from a first year on; 3 from a deforestation year on."""
     code = _mod(31, 17, mod)
@@ -127,6 +150,7 @@ def yearly_pixels(spark: SparkSession, sf_dir: str, mod: int = 11, deforestation
     return grid(spark, sf_dir).select("tile", "row", "col", vals.alias("vals"))
 
 
+@plan
 def alert_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw CDDDD codes; one pixel in six has one."""
     code = _mod(3, 5, 5) * 10000 + _mod(37, 101, 2500) + 1
@@ -135,16 +159,19 @@ def alert_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@plan
 def alert_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid(spark, sf_dir).select("tile", "row", "col", (_mod(1, 3, 10) != 0).cast("int").alias("mask"))
 
 
+@plan
 def intensity_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     valid = [(F.col("row") * 3 + F.col("col") * 5 + b * 7) % 12 for b in range(4)]
     disrupt = [F.least(v, (F.col("row") + F.col("col") * 2 + b) % 6) for b, v in enumerate(valid)]
     return grid(spark, sf_dir).select("tile", "row", "col", F.array(*disrupt).alias("disrupt"), F.array(*valid).alias("valid"))
 
 
+@plan
 def burns(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = [(F.col("row") * 11 + F.col("col") * 5 + b * 131) % 730 for b in range(4)]
     return grid(spark, sf_dir).select(

@@ -305,9 +305,9 @@ def t_tail(t: str, df: str) -> str:
 
 
 def _welch(value: str, source: str, group: str, a: str, b: str) -> str:
-    return f"""select n1, n2, round(mean1,6) as mean1, round(mean2,6) as mean2, round(t,6) as t, round(df,6) as df,
-        round(2*{t_tail('abs(t)', 'df')},6) as p_two_sided,
-        round(case when t>=0 then {t_tail('abs(t)', 'df')} else 1-{t_tail('abs(t)', 'df')} end,6) as p_greater from (
+    return f"""select n1, n2, round(mean1,5) as mean1, round(mean2,5) as mean2, round(t,5) as t, round(df,5) as df,
+        round(2*{t_tail('abs(t)', 'df')},5) as p_two_sided,
+        round(case when t>=0 then {t_tail('abs(t)', 'df')} else 1-{t_tail('abs(t)', 'df')} end,5) as p_greater from (
         select *, (mean1-mean2)/sqrt(v1/n1+v2/n2) as t,
           pow(v1/n1+v2/n2,2)/(pow(v1/n1,2)/(n1-1)+pow(v2/n2,2)/(n2-1)) as df from (
         select count(case when {group}='{a}' then {value} end) as n1, count(case when {group}='{b}' then {value} end) as n2,

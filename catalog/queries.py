@@ -15,6 +15,7 @@ from twinshot.operators import pairs as P
 from twinshot.operators import raster as R
 from twinshot.operators import region as Z
 from twinshot.operators import stats as A
+from twinshot.operators.keys import materialise
 from twinshot.sources.ingest import points_from_wkb
 
 Query = DataFrame
@@ -227,11 +228,13 @@ def placed_pairs(spark, sf):
 # ----- overlays ---------------------------------------------------------------------
 
 
+@D.plan
 def yearly(spark, sf, *columns: str) -> DataFrame:
     p = O.with_years(D.timed_pairs(spark, sf, *columns))
     return O.overlay_yearly(p, D.yearly_pixels(spark, sf), D.tiles(spark, sf), D.YEARS)
 
 
+@D.plan
 def alerts(spark, sf) -> DataFrame:
     return R.split_alerts(D.alert_codes(spark, sf), D.alert_mask(spark, sf))
 
@@ -308,7 +311,7 @@ def intact_in_both(spark, sf):
 
 
 def intensity(spark, sf, *columns: str) -> DataFrame:
-    y = O.disturbed(yearly(spark, sf, *columns))
+    y = materialise(O.disturbed(yearly(spark, sf, *columns)))
     return O.overlay_intensity(y, D.intensity_pixels(spark, sf), D.tiles(spark, sf), D.YEARS[0])
 
 
@@ -326,8 +329,17 @@ def overlay_burn(spark, sf):
 # ----- cohorts ----------------------------------------------------------------------
 
 
+def labelled(spark, sf, *columns: str) -> DataFrame:
+    """Labelled pairs, written once: cohort operators read them more than once."""
+    return materialise(C.label_groups(yearly(spark, sf, *columns)))
+
+
 def cohort(spark, sf, *columns: str) -> DataFrame:
-    return C.dedup_pairs(C.label_groups(yearly(spark, sf, *columns)))
+    return C.dedup_pairs(labelled(spark, sf, *columns))
+
+
+def matched(spark, sf, *columns: str, both: bool = False) -> DataFrame:
+    return C.match_strata(labelled(spark, sf, *columns), both=both, hash="md5")
 
 
 @query
@@ -347,12 +359,12 @@ def duplicate_counts(spark, sf):
 
 @query
 def matched_controls(spark, sf):
-    return C.match_strata(C.label_groups(yearly(spark, sf)), hash="md5").select("sample_grp", *KEYS)
+    return matched(spark, sf).select("sample_grp", *KEYS)
 
 
 @query
 def matched_both(spark, sf):
-    return C.match_strata(C.label_groups(yearly(spark, sf)), both=True, hash="md5").select("sample_grp", *KEYS)
+    return matched(spark, sf, both=True).select("sample_grp", *KEYS)
 
 
 @query
@@ -373,8 +385,7 @@ def pair_statistics(spark, sf):
 
 @query
 def pair_statistics_by_group(spark, sf):
-    matched = C.match_strata(C.label_groups(yearly(spark, sf, *D.METRICS)), both=True, hash="md5")
-    st = A.pair_stats(matched, D.METRICS, ["sample_grp"])
+    st = A.pair_stats(matched(spark, sf, *D.METRICS, both=True), D.METRICS, ["sample_grp"])
     return st.select("sample_grp", "metric", "n", *[r6(c) for c in st.columns[3:]])
 
 
@@ -527,17 +538,17 @@ def profile_split(spark, sf):
 
 def _welch(df: DataFrame) -> DataFrame:
     w = I.welch_t(df, S.difference("agbd_a0"))
-    return w.select("n1", "n2", *[r6(c) for c in w.columns[2:]])
+    return w.select("n1", "n2", *[r6(c, digits=5) for c in w.columns[2:]])
 
 
 @query
 def welch_test(spark, sf):
-    return _welch(C.match_strata(C.label_groups(yearly(spark, sf, "agbd_a0")), hash="md5"))
+    return _welch(matched(spark, sf, "agbd_a0"))
 
 
 @query
 def welch_test_single_pixel(spark, sf):
-    m = C.match_strata(C.label_groups(yearly(spark, sf, "agbd_a0")), hash="md5")
+    m = matched(spark, sf, "agbd_a0")
     return _welch(m.where("sample_grp = 'control' or measured_disturbance = 1"))
 
 
@@ -545,7 +556,7 @@ def welch_test_single_pixel(spark, sf):
 def welch_test_prices(spark, sf):
     li = D.table(spark, sf, "lineitem", "l_returnflag", "l_extendedprice")
     w = I.welch_t(li, F.col("l_extendedprice"), "l_returnflag", "A", "R")
-    return w.select("n1", "n2", *[r6(c) for c in w.columns[2:]])
+    return w.select("n1", "n2", *[r6(c, digits=5) for c in w.columns[2:]])
 
 
 def _boot(df: DataFrame, group: list[str], n: int = 100) -> DataFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,17 +52,22 @@ def sample_group(measured: str = "measured_disturbance", control: str = "control
     return F.when(F.col(measured) > 0, "treatment").when(F.col(control) > 0, "control")
 
 
+def _bins_passed(x: Column, edges: list[float], right: bool) -> Column:
+    """Index of the last edge below x (at or below, if not right); -1 before the first."""
+    listed = F.array(*[F.lit(e) for e in edges])
+    return F.size(F.filter(listed, lambda e: (e < x) if right else (e <= x))) - 1
+
+
 def bin_index(x: Column, edges: list[float], right: bool = True) -> Column:
     """Index of the bin holding x: (a, b] if right else [a, b); NULL outside all bins."""
-    passed = [(x > e) if right else (x >= e) for e in edges]
-    idx = reduce(add, [p.cast("int") for p in passed]) - 1
-    return F.when((idx >= 0) & (idx < len(edges) - 1), idx)
+    bins = F.array(*[F.lit(i) for i in range(len(edges) - 1)])
+    return F.when(x.isNotNull(), F.get(bins, _bins_passed(x, edges, right)))
 
 
 def cut(x: Column, edges: list[float], right: bool = True) -> Column:
     """Lower edge of the bin holding x, NULL outside all bins."""
     lows = F.array(*[F.lit(float(e)) for e in edges[:-1]])
-    return F.get(lows, bin_index(x, edges, right))
+    return F.when(x.isNotNull(), F.get(lows, _bins_passed(x, edges, right)))
 
 
 def months(days: Column) -> Column:

@@ -24,12 +24,13 @@ def dedup_pairs(df: DataFrame, by: str | None = "sample_grp") -> DataFrame:
     First means the lowest id of the other shot. Works per group; rows without a group are
     dropped. Both steps are minimum aggregates over the keys, so a shot with very many
     pairs is combined before the shuffle, and wide rows move once, in the closing semi join.
+    The input is read twice: pass a stored table (``materialise``) rather than a long plan.
     """
     grp = [by] if by else []
     rows = df.where(F.col(by).isNotNull()) if by else df
     first_t1 = rows.groupBy(*grp, "t1_shot_number").agg(F.min("t2_shot_number").alias("t2_shot_number"))
     kept = first_t1.groupBy(*grp, "t2_shot_number").agg(F.min("t1_shot_number").alias("t1_shot_number"))
-    return rows.join(kept, [*grp, *PAIR_KEYS], "left_semi")
+    return rows.join(kept, [*grp, *PAIR_KEYS], "left_semi").select(*df.columns)
 
 
 def duplicate_counts(df: DataFrame, by: str = "sample_grp") -> DataFrame:
@@ -68,7 +69,7 @@ def match_strata(
 
     A few bins hold all rows, so no bin is ever ranked as a whole: a histogram of the
     hash's leading bits locates the cut of each bin, and only rows up to it are shuffled,
-    4096 slices per bin.
+    4096 slices per bin. The input is read twice: pass a stored table.
     """
     digits = 15
     prepared = df.withColumn("_bin", bin_index(F.col(col), edges)).withColumn("_prio", _priority(keys, hash, digits))

@@ -45,7 +45,10 @@ def _cell_key(band: Column, lon_cell: Column) -> Column:
 def _own_cell(lon: Column, lat: Column, height: float) -> Column:
     band = _band(lat, height)
     columns = _columns_in_band(band, height)
-    return _cell_key(band, F.least(_lon_cell(lon, columns), columns - 1))
+    key = _cell_key(band, F.least(_lon_cell(lon, columns), columns - 1))
+    # Never NULL for a placed point; saying so spares the join an IS NOT NULL filter that
+    # would compute the cell a second time.
+    return F.coalesce(key, F.lit(-1).cast("long"))
 
 
 def _touched_cells(lon: Column, lat: Column, height: float, reach: float) -> Column:
@@ -173,4 +176,4 @@ def closer_than(pairs: DataFrame, metres: float = 30.0, lon: str = "lon", lat: s
 
 def intersect_pairs(pairs: DataFrame, other: DataFrame) -> DataFrame:
     """Rows of ``pairs`` whose keys are also in ``other``; rows are never multiplied."""
-    return pairs.join(other.select(*PAIR_KEYS), PAIR_KEYS, "left_semi")
+    return pairs.join(other.select(*PAIR_KEYS), PAIR_KEYS, "left_semi").select(*pairs.columns)

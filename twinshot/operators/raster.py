@@ -146,9 +146,11 @@ def assign_tile(points: DataFrame, tiles: DataFrame, lon: str = "t2_lon", lat: s
         listed = F.broadcast(listed)
     x, y = F.col(lon), F.col(lat)
     inside = (x > F.col("xmin")) & (x < F.col("xmax")) & (y > F.col("ymin")) & (y < F.col("ymax"))
+    # A point without position gets a cell no tile covers.
+    nowhere = F.lit(-(2**62))
     return (
-        points.withColumn("_cx", F.floor(x / cell))
-        .withColumn("_cy", F.floor(y / cell))
+        points.withColumn("_cx", F.coalesce(F.floor(x / cell), nowhere))
+        .withColumn("_cy", F.coalesce(F.floor(y / cell), nowhere))
         .join(listed, ["_cx", "_cy"])
         .where(inside)
         .select(*points.columns, "tile", *AXES)
