@@ -88,8 +88,8 @@ def bootstrap_median(
     ranks, and its median sits at the median drawn rank, so values are not resampled at
     all: every row draws one rank per replicate by hash, counts of drawn ranks find the
     middle one, and the few ranks found are looked up among the exact ranks of the data.
-    Ranks far from the middle are pooled on each side before counting (the median of n
-    draws lies within 20 standard errors of the middle; a draw outside raises an error).
+    Ranks over ten standard errors from the middle are pooled on each side before counting;
+    should a median fall there (odds below 1e-22), the query fails rather than be inexact.
     ``key`` must identify a row; ``md5`` draws are portable, ``xxhash64`` draws fast.
     """
     rows = df.where(F.col(value).isNotNull()).select(*group, *key, value)
@@ -103,7 +103,7 @@ def bootstrap_median(
     else:
         draw = F.xxhash64(F.lit(seed), rep, *[F.col(k) for k in key])
     size = F.col("_n")
-    reach = F.ceil(F.sqrt(size.cast("double")) * 10) + 1
+    reach = F.ceil(F.sqrt(size.cast("double")) * 5) + 1
     middle = F.floor(size / 2)
     pooled = F.greatest(middle - reach, F.least(middle + reach + 1, F.pmod(draw, size) + 1))
     drawn = (
@@ -139,7 +139,7 @@ def bootstrap_median(
     hits = F.filter("_ks", lambda k: (k >= F.col("lo")) & (k <= F.col("hi")))
     found = (
         value_ranks(rows, value, group)
-        .join(checked_broadcast(wanted), group)
+        .join(checked_broadcast(wanted, 10_000), group)
         .select(*group, F.col(value).alias("_v"), F.explode(hits).alias("_k"))
     )
     low = found.select(*group, F.col("_k").alias("_low"), F.col("_v").alias("_v1"))

@@ -89,7 +89,8 @@ def near_pairs(
     ``(1 + 2 / cell_factor)^2`` copies), which turns the theta join into an equi-join and
     yields each pair once. Cells above ``hot_cell_rows`` rows are cut into a square of
     blocks, each joined by its own task; ``None`` leaves skew to the adaptive join. All shot
-    columns appear as ``t1_*`` and ``t2_*``, plus ``distance_m``.
+    columns appear as ``t1_*`` and ``t2_*``, plus ``distance_m``; with wide shots, pair a
+    few columns and attach the rest by ``enrich_pairs``.
     """
     # Outward margin on the reach only: extra candidates are dropped by the distance test.
     reach = math.degrees(radius_m / EARTH_RADIUS_M) * (1 + 1e-9)

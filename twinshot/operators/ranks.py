@@ -15,6 +15,8 @@ from twinshot.operators.keys import attach_row, checked_broadcast, materialise
 # Levels of the binary search below: 2 ** 10 buckets per group.
 _STEPS = [2**i for i in range(9, -1, -1)]
 _BOUNDS = 2**10 - 1
+# A group's bounds take 8 kB, so this many groups are safe to broadcast.
+_BROADCAST_GROUPS = 2_000
 
 
 def _bucket(bounds: Column, value: Column) -> Column:
@@ -37,7 +39,7 @@ def value_ranks(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     bounds = c.groupBy(*by).agg(
         F.percentile_approx(value, probs, 10_000).alias("_bounds"), F.sum("_cnt").alias("n")
     )
-    placed = c.join(checked_broadcast(bounds), by) if by else attach_row(c, bounds)
+    placed = c.join(checked_broadcast(bounds, _BROADCAST_GROUPS), by) if by else attach_row(c, bounds)
     placed = placed.withColumn("_b", _bucket(F.col("_bounds"), F.col(value))).drop("_bounds")
     # At most 1024 rows per group from here on.
     below = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
