@@ -2,16 +2,18 @@
 
 The tables hold no coordinates and no rasters. Both are computed from ``orders`` (and
 ``customer``) on Spark, so their size follows the tables; ``oracles.py`` states the same
-formulas in SQL.
+formulas in SQL. They are written once per session (``stored``) and then read like any
+stored table.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinshot.operators.keys import materialise
 from twinshot.operators.pairs import near_pairs, with_time_diff
 from twinshot.operators.raster import with_extent
 
@@ -29,10 +31,21 @@ REGION = [
 CHUNK_REGION = [(-60.5, -5.4), (-59.3, -5.6), (-58.1, -4.2), (-59.6, -3.9)]
 
 
-# Derived tables are lazy plans; each is built once per session and reused by all queries.
+# Lazy plans, built once per session and reused by all queries.
 plan = lru_cache(maxsize=None)
 
 
+def stored(derive):
+    """Write a derived input table once per session, as shots and rasters would be stored."""
+
+    @lru_cache(maxsize=None)
+    @wraps(derive)
+    def read(spark: SparkSession, sf_dir: str, *args, **kw) -> DataFrame:
+        return materialise(derive(spark, sf_dir, *args, **kw))
+
+    return read
+
+
 @plan
 def _source(spark: SparkSession, path: str) -> tuple[DataFrame, bool]:
     """A table and whether it has fewer files than the cluster has cores."""
@@ -60,7 +73,7 @@ def shot_number() -> Column:
     return F.datediff("o_orderdate", F.lit("1995-01-01")).cast("long") * 1000000 + F.col("o_orderkey")
 
 
-@plan
+@stored
 def shots(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate", "o_totalprice", "o_orderstatus")
     # Known not to be NULL, so that no derived filter repeats the formulas.
@@ -137,7 +150,7 @@ def _mod(a: int, b: int, m: int) -> Column:
     return (F.col("row") * a + F.col("col") * b) % m
 
 
-@plan
+@stored
 def yearly_pixels(spark: SparkSession, sf_dir: str, mod: int = 11, deforestation: bool = False) -> DataFrame:
     """Class maps 1996..1999: 1, then 2 from a first year on; 3 from a deforestation year on."""
     code = _mod(31, 17, mod)
@@ -150,7 +163,7 @@ def yearly_pixels(spark: SparkSession, sf_dir: str, mod: int = 11, deforestation
     return grid(spark, sf_dir).select("tile", "row", "col", vals.alias("vals"))
 
 
-@plan
+@stored
 def alert_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw CDDDD codes; one pixel in six has one."""
     code = _mod(3, 5, 5) * 10000 + _mod(37, 101, 2500) + 1
@@ -159,19 +172,19 @@ def alert_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@plan
+@stored
 def alert_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid(spark, sf_dir).select("tile", "row", "col", (_mod(1, 3, 10) != 0).cast("int").alias("mask"))
 
 
-@plan
+@stored
 def intensity_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     valid = [(F.col("row") * 3 + F.col("col") * 5 + b * 7) % 12 for b in range(4)]
     disrupt = [F.least(v, (F.col("row") + F.col("col") * 2 + b) % 6) for b, v in enumerate(valid)]
     return grid(spark, sf_dir).select("tile", "row", "col", F.array(*disrupt).alias("disrupt"), F.array(*valid).alias("valid"))
 
 
-@plan
+@stored
 def burns(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = [(F.col("row") * 11 + F.col("col") * 5 + b * 131) % 730 for b in range(4)]
     return grid(spark, sf_dir).select(
