@@ -193,8 +193,8 @@ def test_jobs(spark, tmp_path):
 
     alerts = spark.createDataFrame([("t", r, c, 3, 2100) for r, c in marked], "tile string, row int, col int, confidence int, day int")
     alerts.write.parquet(p("alerts"))
-    jobs.alert_degradation(spark, p("enriched"), p("alerts"), tiles(spark), p("glades"), buffer_days=30)
-    schemas.require(spark.read.parquet(p("glades")), schemas.ALERT_OUT)
+    jobs.alert_degradation(spark, p("enriched"), p("alerts"), tiles(spark), p("alerted"), buffer_days=30)
+    schemas.require(spark.read.parquet(p("alerted")), schemas.ALERT_OUT)
     jobs.intact_controls(spark, p("enriched"), p("yearly_px"), tiles(spark), p("intact"))
     assert spark.read.parquet(p("intact")).count() == 0  # every 3 x 3 window meets a marked pixel
     frame = jobs.analysis_frame(yearly)

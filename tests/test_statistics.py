@@ -98,7 +98,7 @@ def test_dedup_keeps_first_like_a_sorted_frame(spark):
 
 
 def test_student_tail_and_welch(spark):
-    # Reference values from printed t tables.
+    # Critical values from printed t tables.
     table = [(1.0, 6.314, 0.05), (2.0, 2.920, 0.05), (5.0, 2.571, 0.025), (30.0, 2.750, 0.005), (1e6, 1.959964, 0.025)]
     df = spark.createDataFrame([(a, b) for a, b, _ in table], "df double, t double")
     got = [r.p for r in df.select(I.student_upper_tail(F.col("t"), F.col("df")).alias("p")).collect()]
