@@ -14,7 +14,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from twinshot.llm.words import slices
 
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 _NO_RANK = np.iinfo(np.int64).max
 
 # Fixed value: the split pattern of byte-level vocabularies with the ByteLevel pre-tokenizer.
@@ -41,6 +41,58 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(0x100 + i): b for i, b in enumerate(others)}
 
 
+class Splitter:
+    """Cuts texts into words; special strings are words of their own."""
+
+    def __init__(self, special: list[str]):
+        self.special = sorted(special, key=len, reverse=True)
+        self._words = regex.compile(PATTERN).findall
+        self._special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
+
+    def __call__(self, text: str) -> list[str]:
+        if not any(s in text for s in self.special):
+            return self._words(text)
+        out = []
+        for i, piece in enumerate(self._special.split(text)):
+            out += [piece] if i % 2 else self._words(piece)
+        return out
+
+
+class KnownWords:
+    """Values of words met before: ``flat[start[i]:start[i] + size[i]]`` for word number i.
+
+    ``encode`` gives (values in a row, size of each) of new words. The store is emptied when it
+    holds ``CACHE_WORDS``, so its memory is bounded.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+        self._encode = encode
+        self._clear()
+
+    def _clear(self) -> None:
+        self._index: dict[str, int] = {}
+        self.flat = self.start = self.size = np.zeros(0, dtype=np.int64)
+
+    def find(self, words: list[str]) -> np.ndarray:
+        """Number of each word; new ones are encoded first."""
+        if len(self._index) > CACHE_WORDS:
+            self._clear()
+        new = list(set(words).difference(self._index))
+        if new:
+            flat, size = self._encode(new)
+            self._index.update(zip(new, range(len(self._index), len(self._index) + len(new))))
+            self.start = np.r_[self.start, len(self.flat) + np.cumsum(size) - size]
+            self.size = np.r_[self.size, size]
+            self.flat = np.r_[self.flat, flat]
+        return np.fromiter(map(self._index.__getitem__, words), dtype=np.int64, count=len(words))
+
+    def values(self, index: np.ndarray) -> np.ndarray:
+        """The values of words, in a row."""
+        size = self.size[index]
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(self.start[index] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class Bpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -67,73 +119,64 @@ class Bpe:
         into = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
         order = np.argsort(keys)
         self.keys, self.ranks, self.into = keys[order], order, into[order]
-        self.pattern = regex.compile(PATTERN)
-        names = sorted(self.special, key=len, reverse=True)
-        self.special_pattern = regex.compile("(" + "|".join(regex.escape(n) for n in names) + ")") if names else None
-        self.known: dict[str, np.ndarray] = {}
+        self.splitter = Splitter(list(self.special))
+        self.known = KnownWords(self._encode_words)
 
     def words(self, text: str) -> list[str]:
-        """The text's words; special strings are words of their own."""
-        if self.special_pattern is None or not any(s in text for s in self.special):
-            return self.pattern.findall(text)
-        out = []
-        for i, piece in enumerate(self.special_pattern.split(text)):
-            out += [piece] if i % 2 else self.pattern.findall(piece)
-        return out
+        return self.splitter(text)
 
-    def merge(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word, by rounds over all of them."""
+    def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in a row, number of each word's ids), by rounds over all words."""
         raw = [w.encode() for w in words]
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
         symbol = self.first_ids[np.frombuffer(b"".join(raw), dtype=np.uint8)]
         word = np.repeat(np.arange(len(raw)), [len(r) for r in raw])
+        finished = []
         while len(symbol):
             same = word[1:] == word[:-1]
             pair = np.where(same, symbol[:-1] * self.size + symbol[1:], -1)
             at = np.searchsorted(self.keys, pair)
             at[at == len(self.keys)] = 0
             rank = np.r_[np.where(self.keys[at] == pair, self.ranks[at], _NO_RANK), _NO_RANK]
-            begins = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            lowest = np.minimum.reduceat(rank, begins)
-            done = lowest == _NO_RANK
-            if done.any():
-                ends = np.r_[begins[1:], len(word)]
-                for b, e in zip(begins[done].tolist(), ends[done].tolist()):
-                    out[word[b]] = symbol[b:e]
-                live = np.repeat(~done, ends - begins)
-                symbol, word, rank, at = symbol[live], word[live], rank[live], np.r_[at, 0][live]
-                lowest = lowest[~done]
-                if not len(symbol):
-                    break
-                begins = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+            begins = np.flatnonzero(np.r_[True, ~same])
             sizes = np.diff(np.r_[begins, len(word)])
-            hit = rank == np.repeat(lowest, sizes)
+            lowest = np.repeat(np.minimum.reduceat(rank, begins), sizes)
+            live = lowest != _NO_RANK
+            if not live.all():
+                finished.append((word[~live], symbol[~live]))
+                symbol, word, rank, lowest, at = symbol[live], word[live], rank[live], lowest[live], np.r_[at, 0][live]
+            hit = rank == lowest
             # In a chain of overlapping pairs (aaa) every second one merges, from the left.
-            chain = np.flatnonzero(hit[1:] & hit[:-1]) + 1
-            if len(chain):
+            if (hit[1:] & hit[:-1]).any():
                 index = np.arange(len(hit))
                 head = hit & ~np.r_[False, hit[:-1]]
-                since = index - np.maximum.accumulate(np.where(head, index, 0))
-                hit &= since % 2 == 0
+                hit &= (index - np.maximum.accumulate(np.where(head, index, 0))) % 2 == 0
             places = np.flatnonzero(hit)
             symbol[places] = self.into[at[places]]
             stay = np.ones(len(symbol), bool)
             stay[places + 1] = False
             symbol, word = symbol[stay], word[stay]
-        return out
+        word = np.concatenate([w for w, _ in finished]) if finished else word
+        ids = np.concatenate([s for _, s in finished]) if finished else symbol
+        order = np.argsort(word, kind="stable")
+        return ids[order], np.bincount(word, minlength=len(words))
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = [w for w in words if w not in self.special]
+        if len(plain) == len(words):
+            return self.merge(words)
+        parts = {w: np.array([self.special[w]]) for w in words if w in self.special}
+        ids, size = self.merge(plain)
+        parts.update(zip(plain, np.split(ids, np.cumsum(size)[:-1])))
+        return np.concatenate([parts[w] for w in words]), np.array([len(parts[w]) for w in words])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of every text; a null text has none."""
         split = [self.words(t) if t else [] for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        known = self.known
-        new = [w for w in dict.fromkeys(w for ws in split for w in ws) if w not in known]
-        plain = [w for w in new if w not in self.special]
-        known.update(zip(plain, self.merge(plain)))
-        known.update((w, np.array([self.special[w]], dtype=np.int64)) for w in new if w in self.special)
-        get = known.__getitem__
-        return [np.concatenate(list(map(get, ws))) if ws else np.zeros(0, np.int64) for ws in split]
+        index = self.known.find([w for words in split for w in words])
+        ids = self.known.values(index)
+        before = np.r_[0, np.cumsum(self.known.size[index])]
+        cuts = before[np.cumsum([len(words) for words in split])]
+        return np.split(ids, cuts[:-1]) if len(cuts) else []
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: their bytes in a row, read as UTF-8 with replacement of what isn't."""

@@ -6,7 +6,8 @@ word continues in one way only, wherever it began. Hence a word start that two n
 share is a stable boundary, provided the left chunk's own scan is right up to there, which holds
 except near its end where words and special strings may be cut. Words up to the boundary are counted
 from the left chunk, the rest from the right one. Where the overlap holds no such boundary (one very
-long word), it is widened, in the end to the whole rest of the text.
+long word), it is widened, in the end to the whole rest of the text. Texts no longer than a chunk
+are one chunk, whose distinct words are encoded once.
 """
 
 from __future__ import annotations
@@ -15,11 +16,13 @@ import functools
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from twinshot.llm.bpe import KnownWords, Splitter
 from twinshot.llm.words import slices
 
 CHUNK = 1 << 16
@@ -41,6 +44,19 @@ def _tokenizer(path: str):
     return t
 
 
+@functools.cache
+def _known(path: str) -> tuple[Splitter, KnownWords]:
+    """The tokens of words; a word that the split pattern cuts out is encoded alike on its own."""
+    t = _tokenizer(path)
+
+    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        counts = [len(e) for e in t.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array(counts, dtype=np.int64), np.ones(len(words), dtype=np.int64)
+
+    special = [a.content for a in t.get_added_tokens_decoder().values()]
+    return Splitter(special), KnownWords(encode)
+
+
 def _boundaries(encoding) -> dict[int, int]:
     """Start of each word in the chunk, and the number of tokens before it.
 
@@ -64,12 +80,18 @@ class Counter:
         self.path, self.chunk, self.overlap = path, chunk, overlap
 
     def short(self, texts: list[str]) -> list[int]:
-        return [len(e) for e in _tokenizer(self.path).encode_batch_fast(texts, add_special_tokens=False)]
+        """Tokens of texts; words met before in this process are not encoded again."""
+        splitter, known = _known(self.path)
+        split = [splitter(t) for t in texts]
+        counts = known.values(known.find([w for words in split for w in words]))
+        ends = np.cumsum([len(words) for words in split])
+        sums = np.r_[0, np.cumsum(counts)]
+        return np.diff(np.r_[0, sums[ends]]).tolist() if len(ends) else []
 
     def long(self, text: str) -> int:
         """Tokens of one text, chunk by chunk."""
         tokenizer = _tokenizer(self.path)
-        total, begin = 0, 0
+        total, begin, sure = 0, 0, 0
         size, overlap = self.chunk, self.overlap
         left = tokenizer.encode(text[:size], add_special_tokens=False)
         left_stop = min(size, len(text))
@@ -81,7 +103,11 @@ class Counter:
             trusted = sorted(places)[:-TAIL_WORDS]
             of_right = _boundaries(right)
             common = next(
-                (p for p in trusted if begin + p >= start and begin + p + TAIL_CHARS <= left_stop and begin + p - start in of_right),
+                (
+                    p
+                    for p in trusted
+                    if max(start, sure) <= begin + p <= left_stop - TAIL_CHARS and begin + p - start in of_right
+                ),
                 None,
             )
             if common is None:
@@ -93,10 +119,9 @@ class Counter:
                 else:
                     overlap *= 2
                 continue
-            # Go on from the boundary itself, so that the right chunk's scan is right from its start.
-            total += places[common]
-            skipped = of_right[begin + common - start]
-            total -= skipped
+            # What the right chunk has before the boundary was counted from the left one.
+            sure = begin + common
+            total += places[common] - of_right[sure - start]
             begin, left, left_stop, overlap = start, right, stop, self.overlap
         return total + len(left)
 
