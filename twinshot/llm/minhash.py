@@ -4,8 +4,8 @@
    candidates: at similarity 0.8 the chance that no band agrees is (1 - 0.8**4)**32 = 5e-8. Texts
    with equal sets form a class, and only the class's lowest id goes on, so a group of exact copies
    costs one set of bands.
-2. Texts that share a bucket with another class get their b-bit signature: 512 minima, of which the
-   lowest two bits are kept and packed (128 bytes a text), and their full set of shingle hashes.
+2. Texts that share a bucket with another class get their b-bit signature: 2048 minima, of which the
+   lowest two bits are kept and packed (512 bytes a text), and their full set of shingle hashes.
 3. Within a bucket no pairs are formed: every member is first compared with the member that sits
    in the fullest buckets, the likely origin of a group of near copies.
 4. Candidates pass if the number of agreeing b-bit minima, which counts chance agreement of one in
@@ -32,7 +32,7 @@ from twinshot.llm.words import Words, mix, pack_texts, shingles, signed, slices,
 
 BANDS = 32
 BAND_ROWS = 4
-MINIMA = 512
+MINIMA = 2048
 BITS = 2
 MISS = 1e-7
 SMALL_BUCKET = 32
@@ -43,6 +43,10 @@ _A = (mix(np.arange(1, _N + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uin
 _B = (mix(np.arange(1001, _N + 1001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 
+def _log_choose(n: int, k: int) -> float:
+    return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+
+
 def least_agreeing(similarity: float, miss: float = MISS) -> int:
     """The largest count that a pair of at least ``similarity`` stays below with probability under ``miss``.
 
@@ -50,10 +54,10 @@ def least_agreeing(similarity: float, miss: float = MISS) -> int:
     agreement; this is the collision-corrected estimate solved for the count.
     """
     c = 2.0**-BITS
-    p = c + (1 - c) * similarity
+    p = c + (1 - c) * min(similarity, 1 - 1e-9)
     below = 0.0
     for k in range(MINIMA + 1):
-        below += math.comb(MINIMA, k) * p**k * (1 - p) ** (MINIMA - k)
+        below += math.exp(_log_choose(MINIMA, k) + k * math.log(p) + (MINIMA - k) * math.log(1 - p))
         if below > miss:
             return k
     return MINIMA
@@ -201,8 +205,8 @@ def _within_blocks(members: DataFrame, least: int) -> DataFrame:
         sig = _unpacked(table.column("sig"))
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for r in range(0, len(left), 64):
-            rows = left[r : r + 64]
+        for r in range(0, len(left), 16):
+            rows = left[r : r + 16]
             hit = agreeing(sig[rows][:, None], sig[right][None]) >= least
             hit &= comp[rows][:, None] != comp[right][None]
             x, y = np.nonzero(hit)
