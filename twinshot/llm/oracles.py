@@ -1,3 +1,84 @@
-"""The same queries in DuckDB SQL, where it can express them."""
+"""The same queries in DuckDB SQL, where it can express them.
 
-ORACLES: dict[str, str] = {}
+Compression, the forest, the tokenizer and the page parser can't be; their queries are tested against
+brute force, exact round trips and held-out rows instead.
+"""
+
+_WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LOWER_WORDS = f"regexp_extract_all(coalesce({_LOWER}, ''), '[^\\x20\\x09-\\x0D]+')"
+
+
+def _shingles(table: str, key: str, size: int) -> str:
+    """Distinct (key, s) shingles; a shorter text is one."""
+    return f"""
+        select distinct {key}, array_to_string(ws[p : p + {size - 1}], ' ') as s
+        from (select {key}, ws, unnest(range(1, greatest(len(ws) - {size - 1}, 1) + 1)) as p
+              from (select {key}, {_LOWER_WORDS} as ws from {table}) where len(ws) > 0)"""
+
+
+OP1 = f"""
+with w as (select doc_id, {_WORDS} as ws from documents),
+windows as (
+    select doc_id, p, md5(array_to_string(ws[p : p + 34], ' ')) as h
+    from (select doc_id, ws, unnest(range(1, len(ws) - 33)) as p from w where len(ws) >= 35)),
+repeated as (select doc_id, p from (select *, count(*) over (partition by h) as n from windows) where n > 1),
+covered as (select distinct doc_id, unnest(range(p, p + 35)) as i from repeated),
+words as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as i from w),
+kept as (
+    select doc_id, count(*) as n, string_agg(word, ' ' order by i) as t
+    from words anti join covered using (doc_id, i) group by doc_id)
+select doc_id, len(ws)::bigint as n_words, len(ws)::bigint - coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from w left join kept using (doc_id)"""
+
+OP7 = f"""
+with d as ({_shingles("documents", "doc_id", 5)}), i as ({_shingles("benchmark", "item_id", 5)}),
+sizes as (select item_id, count(*) as n_shingles from i group by item_id),
+shared as (select doc_id, item_id, count(*) as n_shared from d join i using (s) group by doc_id, item_id)
+select doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles::double as containment
+from shared join sizes using (item_id) where 100 * n_shared >= 80 * n_shingles"""
+
+OP9 = """
+with u as (
+    select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+h as (
+    select page_id,
+        translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path
+    from u),
+r as (
+    select *, case
+        when ('.' || host) like '%.www.example.com' and starts_with(path, '/en/') then 'www.example.com/en/'
+        when ('.' || host) like '%.example.com' and starts_with(path, '/en/') then 'example.com/en/'
+        when ('.' || host) like '%.net' and starts_with(path, '/es/') then 'net/es/'
+        when ('.' || host) like '%.net' and starts_with(path, '/fr/') then 'net/fr/'
+        when ('.' || host) like '%.com' and starts_with(path, '/') then 'com/' end as rule
+    from h)
+select page_id, host, path, rule, case
+    when rule in ('com/', 'www.example.com/en/') then 'allow'
+    when rule is not null then 'block'
+    when list_has_any(string_split_regex(host, '[.-]'),
+        ['adult', 'ads', 'bet', 'bets', 'casino', 'escort', 'gambling', 'pills', 'poker', 'porn', 'sex', 'spam', 'xxx']) then 'block'
+    else 'allow' end as verdict
+from r"""
+
+OP10 = f"""
+with recursive d as ({_shingles("documents", "doc_id", 4)}),
+n as (select doc_id, count(*) as n from d group by doc_id),
+pairs as (
+    select x.doc_id as a, y.doc_id as b, count(*) as c from d x join d y on x.s = y.s and x.doc_id < y.doc_id group by all),
+links as (
+    select a, b from pairs join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 80 * (na.n + nb.n - c)),
+both_ways as (select a, b from links union all select b, a from links),
+reach(doc_id, r) as (
+    select doc_id, doc_id from documents
+    union select b, r from reach join both_ways on a = reach.doc_id)
+select doc_id, coalesce(max(n.n), 0)::bigint as n_shingles, min(r) as component_id, min(r) = doc_id as kept
+from reach left join n using (doc_id) group by doc_id"""
+
+ORACLES = {
+    "op1_substring_dedup": OP1,
+    "op7_benchmark_decontamination": OP7,
+    "op9_url_filters": OP9,
+    "op10_minhash_near_dedup": OP10,
+}

@@ -42,7 +42,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(_table(spark, sf_dir, "documents"), length=35, digest=True)
-    return out.select("doc_id", "n_words", "n_removed", "kept_sha256", "repeats")
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
