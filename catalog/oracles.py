@@ -126,12 +126,12 @@ CTES: dict[str, tuple[list[str], str]] = {
              where sample_grp is not null) where r1=1) where r2=1""",
     ),
     "strata": (
-        ["labelled"],
+        ["cohort"],
         f"""select *, count(case when sample_grp='treatment' then 1 end) over (partition by bin) as nt,
               count(case when sample_grp='control' then 1 end) over (partition by bin) as nc,
               row_number() over (partition by bin, sample_grp order by h, t1_shot_number, t2_shot_number) as rn
             from (select *, case when time_diff > 0 and time_diff <= 1140 then ceil(time_diff/60)::int end as bin,
-              {hash15('t1_shot_number', 't2_shot_number')} as h from labelled where sample_grp is not null)""",
+              {hash15('t1_shot_number', 't2_shot_number')} as h from cohort)""",
     ),
     "matched": (
         ["strata"],
@@ -423,7 +423,7 @@ def build(region: list, chunk_region: list) -> dict[str, str]:
         count(*)-count(distinct t2_shot_number) as s2_duplicates from labelled group by 1""", "labelled")
     q["matched_controls"] = sql("select sample_grp, t1_shot_number, t2_shot_number from matched", "matched")
     q["matched_both"] = sql("select sample_grp, t1_shot_number, t2_shot_number from matched2", "matched2")
-    q["treatment_rows"] = sql(f"select t1_shot_number, t2_shot_number, round({LOSS},6) as agbd_pct_loss from labelled where sample_grp='treatment' and t1_agbd_a0<>0", "labelled")
+    q["treatment_rows"] = sql(f"select t1_shot_number, t2_shot_number, round({LOSS},6) as agbd_pct_loss from cohort where sample_grp='treatment' and t1_agbd_a0<>0", "cohort")
     q["pair_statistics"] = sql(_pair_stats("(select * from pairs where time_diff<>0)"), "pairs")
     q["pair_statistics_by_group"] = sql(_pair_stats("matched2", "sample_grp"), "matched2")
     q["sma_fit"] = """select l_returnflag, count(*) as n, round(s,6) as slope, round(my-s*mx,6) as intercept, round(r,6) as r from (
@@ -438,6 +438,8 @@ def build(region: list, chunk_region: list) -> dict[str, str]:
     q["long_metric_means"] = sql("select control_group, metric, count(*) as n, round(avg(pct),6) as mean from long group by 1,2", "long")
     q["metric_quartiles"] = sql("""select control_group, metric, count(*) as n, round(quantile_cont(value,0.25),6) as q25, round(quantile_cont(value,0.5),6) as q50,
         round(quantile_cont(value,0.75),6) as q75 from long group by 1,2""", "long")
+    q["quartiles_with_unlabelled"] = sql("""select sample_grp, count(*) as n, round(quantile_cont(time_diff,0.25),6) as q25,
+        round(quantile_cont(time_diff,0.5),6) as q50, round(quantile_cont(time_diff,0.75),6) as q75 from labelled group by 1""", "labelled")
     q["event_box_stats"] = """with q as (select event_type, count(value) as n, quantile_cont(value,0.25) as q25, quantile_cont(value,0.5) as q50, quantile_cont(value,0.75) as q75
           from events group by 1)
         select event_type, n, round(q25,6) as q25, round(q50,6) as q50, round(q75,6) as q75, round(min(value),6) as whisker_lo, round(max(value),6) as whisker_hi
@@ -485,7 +487,7 @@ def build(region: list, chunk_region: list) -> dict[str, str]:
         round(case when n>2 and r is not null then case when abs(r)<1 then 2*{t_tail('(abs(r)*sqrt((n-2)/(1-r*r)))', '(n-2)')} else 0 end end,6) as p from (
         select measured_disturbance, count(*) as n, case when count(*)>1 then corr(disturb_bin, mean) end as r from (
         select measured_disturbance, disturb_bin, avg(median) as mean from boot group by 1,2) group by 1)""", "bin2_src", extra=bins2)
-    ev = _boot_ctes("events", "event_type", "value", "event_id::varchar", 20)
+    ev = _boot_ctes("events", "event_type", "value", "event_id::varchar", 100)
     q["bootstrap_event_values"] = f"with {ev} select event_type, {CI} from boot group by 1"
     q["disturbance_summary"] = sql("""select sample_grp, count(*) as n_pairs, round(avg(t2_agbd_a0-t1_agbd_a0),6) as bias_agbd, round(avg(t2_rh_98_a0-t1_rh_98_a0),6) as bias_rh98,
         round(corr(t1_agbd_a0,t2_agbd_a0),6) as corr_agbd from cohort group by 1""", "cohort")

@@ -339,7 +339,7 @@ def cohort(spark, sf, *columns: str) -> DataFrame:
 
 
 def matched(spark, sf, *columns: str, both: bool = False) -> DataFrame:
-    return C.match_strata(labelled(spark, sf, *columns), both=both, hash="md5")
+    return C.match_strata(materialise(cohort(spark, sf, *columns)), both=both, hash="md5")
 
 
 @query
@@ -369,7 +369,7 @@ def matched_both(spark, sf):
 
 @query
 def treatment_rows(spark, sf):
-    t = C.treatment_rows(C.label_groups(yearly(spark, sf, "agbd_a0"))).where("t1_agbd_a0 != 0")
+    t = C.treatment_rows(cohort(spark, sf, "agbd_a0")).where("t1_agbd_a0 != 0")
     return t.select(*KEYS, r6(S.pct_loss("agbd_a0"), "agbd_pct_loss"))
 
 
@@ -440,6 +440,13 @@ def metric_quartiles(spark, sf):
     return q.select("control_group", "metric", "n", *[r6(c) for c in ("q25", "q50", "q75")])
 
 
+@query
+def quartiles_with_unlabelled(spark, sf):
+    """Pairs without a label are a group of their own."""
+    q = A.quartiles(labelled(spark, sf), "time_diff", ["sample_grp"])
+    return q.select("sample_grp", "n", *[r6(c) for c in ("q25", "q50", "q75")])
+
+
 @query
 def event_box_stats(spark, sf):
     e = D.table(spark, sf, "events", "event_type", "value")
@@ -635,7 +642,7 @@ def intensity_correlation_by_extent(spark, sf):
 @query
 def bootstrap_event_values(spark, sf):
     e = D.table(spark, sf, "events", "event_id", "event_type", "value")
-    return _ci(I.bootstrap_median(e, "value", ["event_type"], ["event_id"], 20, hash="md5"), ["event_type"])
+    return _ci(I.bootstrap_median(e, "value", ["event_type"], ["event_id"], 100, hash="md5"), ["event_type"])
 
 
 @query

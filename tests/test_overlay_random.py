@@ -125,6 +125,19 @@ def test_intact(spark):
     assert {r.t1_shot_number for r in out.collect()} == expected and expected
 
 
+def test_pairs_without_pixels_are_not_intact(spark):
+    df = pair_rows(spark, [(2019, 2021, 2.0, 2.0), (2019, 2021, 3.0, 4.0)], "t1_year", "t2_year")
+    whole = yearly_pixels(spark, {})
+
+    def intact(pixels):
+        return sorted(r.t1_shot_number for r in intact_pairs(df, pixels, tiles(spark)).collect())
+
+    assert intact(whole) == [0, 1]
+    assert intact(whole.limit(0)) == []
+    assert intact(whole.where("not (row = 1 and col = 1)")) == [1]
+    assert intact(whole.withColumn("vals", F.slice("vals", 1, 3))) == []
+
+
 def test_overlapping_tiles_and_own_overlay(spark):
     """A pair in two tiles appears once per tile; any function can serve as overlay."""
     two = tiles(spark).union(tiles(spark, name="u"))

@@ -12,7 +12,7 @@ from twinshot import schemas
 from twinshot.functions import geo as G
 from twinshot.operators import raster as R
 from twinshot.operators import region as Z
-from twinshot.operators.keys import checked_broadcast, materialise
+from twinshot.operators.keys import join_groups, materialise
 from twinshot.plans import jobs
 from twinshot.sources import ingest
 
@@ -73,10 +73,18 @@ def test_contracts(spark):
         schemas.require(df.drop("t1_year"), schemas.YEARLY_IN)
 
 
-def test_checked_broadcast(spark):
-    small = checked_broadcast(spark.range(5), 5)._jdf.queryExecution().analyzed().toString()
-    large = checked_broadcast(spark.range(6), 5)._jdf.queryExecution().analyzed().toString()
-    assert "broadcast" in small and "broadcast" not in large
+def test_join_groups_keeps_null_groups(spark):
+    rows = spark.createDataFrame([("a", 1), (None, 2), ("b", 3)], "g string, v int")
+    groups = spark.createDataFrame([("a", 10), (None, 20)], "g string, n int")
+    assert sorted(map(tuple, join_groups(rows, groups, ["g"]).collect()), key=str) == [("a", 1, 10), (None, 2, 20)]
+
+
+def test_csv_with_another_column_order_fails(spark, tmp_path):
+    names = [f.name for f in schemas.METRIC_SCHEMA.fields]
+    for i, order in enumerate((names, names[:1] + names[1:][::-1])):
+        (tmp_path / f"m{i}.csv").write_text(",".join(order) + "\n" + ",".join("3" for _ in order) + "\n")
+    with pytest.raises(Exception, match="header"):
+        ingest.read_metrics(spark, str(tmp_path)).collect()
 
 
 def test_many_tiles_join_by_shuffle(spark, monkeypatch):

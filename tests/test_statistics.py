@@ -155,3 +155,19 @@ def test_lag_bands_without_rows_stay(spark):
     df = spark.createDataFrame([(5, 1.0), (5, 3.0), (25, 2.0)], "time_diff int, v double")
     got = [tuple(r) for r in A.lag_stats(df, [30, 20, 10, 0], {"v": F.col("v")}, 2).orderBy("lag_lo").collect()]
     assert got == [(0, 10, 2, pytest.approx(2**0.5), 2.0), (10, 20, 0, None, None), (20, 30, 1, None, None)]
+
+
+def test_dedup_gives_one_row_for_a_pair_in_two_tiles(spark):
+    rows = [(1, 2, "B", "treatment", [1]), (1, 2, "A", "treatment", [2]), (1, 3, "A", "treatment", [3]), (4, 5, None, "control", None)]
+    df = spark.createDataFrame(rows, "t1_shot_number long, t2_shot_number long, tile string, sample_grp string, v array<int>")
+    out = C.dedup_pairs(df)
+    assert out.columns == df.columns
+    assert sorted(map(tuple, out.collect())) == [(1, 2, "A", "treatment", [2]), (4, 5, None, "control", None)]
+
+
+def test_null_groups_are_groups(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 5.0), (None, 9.0)], "g string, v double")
+    assert sorted((str(r.g), r.n, r.q50) for r in A.quartiles(df, "v", ["g"]).collect()) == [("None", 2, 7.0), ("a", 2, 2.0)]
+    assert {r.g for r in A.box_stats(df, "v", ["g"]).collect()} == {"a", None}
+    assert {r.g for r in A.histogram(df, "v", 2, ["g"]).collect()} == {"a", None}
+    assert {r.g for r in A.kde(df, "v", ["g"], points=5).collect()} == {"a", None}

@@ -22,15 +22,22 @@ def dedup_pairs(df: DataFrame, by: str | None = "sample_grp") -> DataFrame:
     """Keep the first pair of each t1 shot, then the first of each t2 shot among those.
 
     First means the lowest id of the other shot. Works per group; rows without a group are
-    dropped. Both steps are minimum aggregates over the keys, so a shot with very many
-    pairs is combined before the shuffle, and wide rows move once, in the closing semi join.
-    The input is read twice: pass a stored table (``materialise``) rather than a long plan.
+    dropped. A pair that occurs more than once, say in overlapping tiles, gives one row: the
+    least one by the columns of simple type, taken in order. Both steps are minimum aggregates
+    over the keys, so a shot with very many pairs is combined before the shuffle, and wide rows
+    move only if their pair is kept. The input is read twice: pass a stored table
+    (``materialise``) rather than a long plan.
     """
     grp = [by] if by else []
     rows = df.where(F.col(by).isNotNull()) if by else df
     first_t1 = rows.groupBy(*grp, "t1_shot_number").agg(F.min("t2_shot_number").alias("t2_shot_number"))
     kept = first_t1.groupBy(*grp, "t2_shot_number").agg(F.min("t1_shot_number").alias("t1_shot_number"))
-    return rows.join(kept, [*grp, *PAIR_KEYS], "left_semi").select(*df.columns)
+    chosen = rows.join(kept, [*grp, *PAIR_KEYS], "left_semi")
+    keys = [*grp, *PAIR_KEYS]
+    ordered = [c for c, t in df.dtypes if c not in keys and not t.startswith(("map", "variant"))]
+    last = [c for c in df.columns if c not in keys and c not in ordered]
+    one = chosen.groupBy(*keys).agg(F.min_by(F.struct(*ordered, *last), F.struct(*ordered)).alias("_row")) if ordered else chosen.distinct()
+    return one.select(*keys, *(["_row.*"] if ordered else [])).select(*df.columns)
 
 
 def duplicate_counts(df: DataFrame, by: str = "sample_grp") -> DataFrame:

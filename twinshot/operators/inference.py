@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinshot.functions.scalar import md5_int
-from twinshot.operators.keys import checked_broadcast, materialise
+from twinshot.operators.keys import join_groups, materialise
 from twinshot.operators.ranks import value_ranks
 
 _PANELS = 4000
@@ -108,7 +108,7 @@ def bootstrap_median(
     pooled = F.greatest(middle - reach, F.least(middle + reach + 1, F.pmod(draw, size) + 1))
     drawn = (
         rows.select(*group, *key)
-        .join(checked_broadcast(sizes), group)
+        .join(sizes, group)
         .withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n))))
         .groupBy(*group, "replicate", "_n", pooled.alias("_rank"))
         .agg(F.count("*").alias("_c"))
@@ -139,7 +139,7 @@ def bootstrap_median(
     hits = F.filter("_ks", lambda k: (k >= F.col("lo")) & (k <= F.col("hi")))
     found = (
         value_ranks(rows, value, group)
-        .join(checked_broadcast(wanted, 10_000), group)
+        .join(wanted, group)
         .select(*group, F.col(value).alias("_v"), F.explode(hits).alias("_k"))
     )
     low = found.select(*group, F.col("_k").alias("_low"), F.col("_v").alias("_v1"))
@@ -188,7 +188,7 @@ def quad_fit(df: DataFrame, x: Column, y: Column, by: list[str]) -> DataFrame:
     """
     rows = df.select(*by, x.cast("double").alias("_x0"), y.cast("double").alias("_y")).dropna(subset=["_x0", "_y"])
     centre = rows.groupBy(*by).agg(F.avg("_x0").alias("_m"))
-    rows = rows.join(checked_broadcast(centre), by).withColumn("_x", F.col("_x0") - F.col("_m"))
+    rows = join_groups(rows, centre, by).withColumn("_x", F.col("_x0") - F.col("_m"))
     p = lambda k: F.sum(F.pow("_x", F.lit(float(k))))
     s = rows.groupBy(*by, "_m").agg(
         F.count("*").cast("double").alias("n"),

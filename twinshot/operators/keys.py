@@ -1,4 +1,4 @@
-"""Shared guards against large broadcasts and hot join keys."""
+"""Shared joins and stores: group statistics, hot join keys, results written once."""
 
 from __future__ import annotations
 
@@ -8,17 +8,15 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_ROWS = 100_000
+def join_groups(rows: DataFrame, groups: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """Join a table with one row per group back to the rows, NULL groups included.
 
-
-def checked_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast if it has at most ``max_rows`` rows, else return it as is.
-
-    The count stops after ``max_rows + 1`` rows. Beyond the bound the planner joins by
-    shuffle, with adaptive skew splitting.
+    No hint: adaptive execution broadcasts the groups by their measured size, or shuffles
+    and splits skewed partitions. The columns of ``rows`` come first, ``by`` once.
     """
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df
+    other = groups.select(*[F.col(c).alias(f"_g_{c}") if c in by else F.col(c) for c in groups.columns])
+    on = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in by]
+    return rows.join(other, on, how).drop(*[f"_g_{c}" for c in by])
 
 
 def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -26,7 +24,7 @@ def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
 
     Without a path a new folder is made under ``spark.checkpoint.dir``, the shared folder a
     cluster names; what is written there outlives any executor. Only a session without
-    that setting (a local test) falls back to a temporary folder.
+    that setting (a local test) makes itself a folder for checkpoints.
     """
     spark = df.sparkSession
     if path is None:
@@ -36,12 +34,13 @@ def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def _shared_folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-        base = tempfile.mkdtemp(prefix="twinshot-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="twinshot-"))
+        base = context.getCheckpointDir()
     return base.rstrip("/")
 
 

@@ -168,21 +168,35 @@ def _without_window(df: DataFrame, windows: DataFrame) -> DataFrame:
     return df.drop(*used, *AXES, "wrow", "wcol", "near_row", "near_col")
 
 
-def intact_pairs(pairs: DataFrame, pixels: DataFrame, tiles: DataFrame, undisturbed: int = UNDISTURBED, anchor: str = "centre") -> DataFrame:
-    """Pairs whose 3 x 3 window is undisturbed in every year.
+def intact_pairs(
+    pairs: DataFrame,
+    pixels: DataFrame,
+    tiles: DataFrame,
+    undisturbed: int = UNDISTURBED,
+    anchor: str = "centre",
+    years: int = 4,
+) -> DataFrame:
+    """Pairs whose 3 x 3 window is undisturbed in each of ``years`` years.
 
-    ``pixels`` must cover the tiles (or at least hold every pixel with another class):
-    windows of pixels that were ever anything else are removed by an anti join.
+    Undisturbed pixels are counted: a window needs all nine, each with a value for every
+    year, so a missing pixel, tile or year is not taken for an intact one. Only the distinct
+    windows that pairs ask for are spread over their pixels.
     """
-    changed = pixels.where(F.exists("vals", lambda v: v.isNull() | (v != undisturbed))).select("tile", "row", "col")
+    same = F.forall("vals", lambda v: v.isNotNull() & (v == undisturbed)) & (F.size("vals") == years)
+    intact = pixels.where(same).select("tile", "row", "col").distinct()
     shifts = F.array(*[F.struct(F.lit(i).alias("dr"), F.lit(j).alias("dc")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    spoiled = (
-        changed.withColumn("_s", F.explode(shifts))
-        .select("tile", (F.col("row") - F.col("_s.dr")).alias("wrow"), (F.col("col") - F.col("_s.dc")).alias("wcol"))
+    placed = window3(assign_tile(pairs, tiles), anchor=anchor)
+    whole = (
+        placed.select(*WINDOW_KEYS)
         .distinct()
+        .withColumn("_s", F.explode(shifts))
+        .select(*WINDOW_KEYS, (F.col("wrow") + F.col("_s.dr")).alias("row"), (F.col("wcol") + F.col("_s.dc")).alias("col"))
+        .join(intact, ["tile", "row", "col"])
+        .groupBy(*WINDOW_KEYS)
+        .count()
+        .where(F.col("count") == 9)
     )
-    placed = window3(assign_tile(pairs, tiles), anchor=anchor)
-    return placed.join(spoiled, WINDOW_KEYS, "left_anti").select(*pairs.columns, "tile")
+    return placed.join(whole, WINDOW_KEYS, "left_semi").select(*pairs.columns, "tile")
 
 
 # ----- day-resolution alerts --------------------------------------------------------

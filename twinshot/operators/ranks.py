@@ -10,13 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinshot.operators.keys import attach_row, checked_broadcast, materialise
+from twinshot.operators.keys import attach_row, join_groups, materialise
 
 # Levels of the binary search below: 2 ** 10 buckets per group.
 _STEPS = [2**i for i in range(9, -1, -1)]
 _BOUNDS = 2**10 - 1
-# A group's bounds take 8 kB, so this many groups are safe to broadcast.
-_BROADCAST_GROUPS = 2_000
 
 
 def _bucket(bounds: Column, value: Column) -> Column:
@@ -39,7 +37,7 @@ def value_ranks(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     bounds = c.groupBy(*by).agg(
         F.percentile_approx(value, probs, 10_000).alias("_bounds"), F.sum("_cnt").alias("n")
     )
-    placed = c.join(checked_broadcast(bounds, _BROADCAST_GROUPS), by) if by else attach_row(c, bounds)
+    placed = join_groups(c, bounds, by) if by else attach_row(c, bounds)
     placed = placed.withColumn("_b", _bucket(F.col("_bounds"), F.col(value))).drop("_bounds")
     # At most 1024 rows per group from here on.
     below = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -50,8 +48,7 @@ def value_ranks(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     )
     within = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        placed.withColumn("_run", F.sum("_cnt").over(within))
-        .join(offsets, [*by, "_b"])
+        join_groups(placed.withColumn("_run", F.sum("_cnt").over(within)), offsets, [*by, "_b"])
         .withColumn("hi", F.col("_off") + F.col("_run"))
         .select(*by, value, (F.col("hi") - F.col("_cnt") + 1).alias("lo"), "hi", "n")
     )

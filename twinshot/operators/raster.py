@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinshot.functions.geo import nearest_index, two_nearest
-from twinshot.operators.keys import checked_broadcast
 from twinshot.operators.region import Ring, within_region
 
 AXES = ["x0", "y0", "dx", "dy", "nx", "ny"]
@@ -110,7 +109,7 @@ def crop_pixels(
         (F.col("xmax") >= xmin) & (F.col("xmin") <= xmax) & (F.col("ymax") >= ymin) & (F.col("ymin") <= ymax)
     )
     placed = (
-        pixels.join(checked_broadcast(hit.select("tile", "x0", "y0", "dx", "dy"), MAX_TILES), "tile")
+        pixels.join(hit.select("tile", "x0", "y0", "dx", "dy"), "tile")
         .withColumn("lon", F.col("x0") + (F.col("col") + 0.5) * F.col("dx"))
         .withColumn("lat", F.col("y0") + (F.col("row") + 0.5) * F.col("dy"))
     )

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinshot.functions.geo import corner_name
-from twinshot.operators.keys import checked_broadcast
 
 Ring = list[tuple[float, float]]
 
@@ -56,7 +55,7 @@ def within_region(df: DataFrame, ring: Ring | list[Ring], lon: str = "lon", lat:
     if slab is None:
         slab = max((max(ys) - min(ys)) / 1000, 1e-6)
     boxed = df.where(x.between(min(xs), max(xs)) & y.between(min(ys), max(ys)))
-    slabs = checked_broadcast(_slab_edges(df.sparkSession, rings, slab))
+    slabs = _slab_edges(df.sparkSession, rings, slab)
     return (
         boxed.withColumn("_slab", F.floor(y / slab))
         .join(slabs, "_slab")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinshot.functions.scalar import bin_index, difference, ratio, rel_diff
-from twinshot.operators.keys import attach_row, checked_broadcast
+from twinshot.operators.keys import attach_row, join_groups
 from twinshot.operators.ranks import exact_percentiles
 
 
@@ -85,14 +85,13 @@ def lag_stats(
 def with_extremes(df: DataFrame, values: dict[str, str], by: list[str]) -> DataFrame:
     """Attach ``{name}_min`` and ``{name}_max`` of each group to its rows.
 
-    The extremes are a second, pre-aggregated pass; they are joined by a broadcast whose
-    size is checked (or is one row, without groups), so rows are not shuffled by group.
+    The extremes are a second, pre-aggregated pass: one row per group, NULL being a group.
     """
     aggs = []
     for name, c in values.items():
         aggs += [F.min(c).alias(f"{name}_min"), F.max(c).alias(f"{name}_max")]
     if by:
-        return df.join(checked_broadcast(df.groupBy(*by).agg(*aggs)), by)
+        return join_groups(df, df.groupBy(*by).agg(*aggs), by)
     return attach_row(df, df.agg(*aggs))
 
 
@@ -179,7 +178,7 @@ def kde(df: DataFrame, col: str, by: list[str] | None = None, points: int = 200,
     )
     shape = shape.withColumn("_bw", F.col("_sd") * F.pow("_n", F.lit(-0.2))).where("_bw > 0")
     weights = rows.groupBy(*by, "_v").agg(F.count("*").alias("_w"))
-    joined = weights.join(checked_broadcast(shape), by) if by else attach_row(weights, shape)
+    joined = join_groups(weights, shape, by) if by else attach_row(weights, shape)
     step = (F.col("_hi") - F.col("_lo") + 2 * cut * F.col("_bw")) / (points - 1)
     grid = joined.withColumn("_step", step).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     x = F.col("_lo") - cut * F.col("_bw") + F.col("point") * F.col("_step")
@@ -202,8 +201,7 @@ def box_stats(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     v = F.col(value)
     near = v.between(F.col("q25") - reach, F.col("q75") + reach)
     return (
-        df.where(v.isNotNull())
-        .join(checked_broadcast(q), by)
+        join_groups(df.where(v.isNotNull()), q, by)
         .groupBy(*by, "n", "q25", "q50", "q75")
         .agg(F.min(F.when(near, v)).alias("whisker_lo"), F.max(F.when(near, v)).alias("whisker_hi"))
     )

@@ -53,7 +53,9 @@ def points_from_wkb(df: DataFrame, geometry: str = "geometry", lon: str = "lon",
 def read_metrics(spark: SparkSession, path: str, schema: StructType = METRIC_SCHEMA) -> DataFrame:
     """Shot metrics from CSV files with a header; the declared schema saves an inference pass.
 
-    Columns are matched by header name, so files may order or omit them differently.
+    Columns are chosen by header name and may come in any order, the same one in all files:
+    a file whose header differs from the first one's fails when it is read, instead of
+    putting values into the wrong columns. Read differing files apart and union them by name.
     """
     header = spark.read.option("header", True).csv(path).columns
     types = {f.name: f.dataType for f in schema.fields}
@@ -64,7 +66,7 @@ def read_metrics(spark: SparkSession, path: str, schema: StructType = METRIC_SCH
     file_schema = StructType()
     for name in header:
         file_schema.add(name, types.get(name, "string"))
-    return spark.read.schema(file_schema).option("header", True).csv(path).select(*types)
+    return spark.read.schema(file_schema).option("header", True).option("enforceSchema", False).csv(path).select(*types)
 
 
 def jdbc_options(url: str, table: str, partition: dict | None = None, properties: dict | None = None) -> dict[str, str]:
