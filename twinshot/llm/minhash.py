@@ -190,28 +190,33 @@ def _within_blocks(members: DataFrame, least: int) -> DataFrame:
     """Agreeing pairs of different components inside large buckets, in blocks of signatures.
 
     A bucket of m members is cut into m / BLOCK blocks; each pair of blocks is one group, so no
-    task holds the bucket and only pairs whose signatures agree leave it.
+    task holds the bucket and only pairs whose signatures agree leave it. A pair that shares
+    several buckets leaves the first of them only, by the order of the bands.
     """
     cut = members.withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")).withColumn(
         "own", F.pmod(F.xxhash64("doc"), F.col("blocks").cast("long")).cast("int")
     )
     spread = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", "doc", "component", "sig", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
+        "key", "doc", "component", "sig", "bands", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
     )
 
     def run(table: pa.Table) -> pa.Table:
         ids, comp, own = (table.column(c).to_numpy() for c in ("doc", "component", "own"))
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        key = table.column("key")[0].as_py()
         sig = _unpacked(table.column("sig"))
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), BANDS)
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for r in range(0, len(left), 16):
             rows = left[r : r + 16]
             hit = agreeing(sig[rows][:, None], sig[right][None]) >= least
             hit &= comp[rows][:, None] != comp[right][None]
-            x, y = np.nonzero(hit)
-            a.append(ids[rows[x]])
-            b.append(ids[right[y]])
+            x, y = (rows_of[at] for rows_of, at in zip((rows, right), np.nonzero(hit)))
+            first = np.argmax(bands[x] == bands[y], axis=1)
+            here = bands[x, first] == key
+            a.append(ids[x[here]])
+            b.append(ids[y[here]])
         a, b = np.concatenate(a), np.concatenate(b)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
@@ -296,7 +301,8 @@ def near_duplicates(
     left = small.select("key", F.col("doc").alias("a"), F.col("component").alias("ca"))
     right = small.select("key", F.col("doc").alias("b"), F.col("component").alias("cb"))
     crossing = left.join(right, "key").where("a < b and ca <> cb").select("a", "b").distinct()
-    large = rest.where(F.col("n") > SMALL_BUCKET).join(sets.select("doc", "sig"), "doc")
+    bands = reps.select(F.col("doc_id").alias("doc"), "bands").dropDuplicates(["doc"])
+    large = rest.where(F.col("n") > SMALL_BUCKET).join(sets.select("doc", "sig"), "doc").join(bands, "doc")
     tested = likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = _estimated(crossing, sets, least).union(_within_blocks(large, least)).distinct()
     further = stored(_confirmed(stored(more.join(tested, ["a", "b"], "left_anti")), sets, similarity))
