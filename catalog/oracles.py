@@ -153,7 +153,7 @@ CTES: dict[str, tuple[list[str], str]] = {
     "intensity": (
         ["yearly", "cells2"],
         """select t1_shot_number, t2_shot_number,
-             round((sum(case when d=0 then 0 else least(valid, (row+col*2+b)%6)/(case when valid=0 then 1 else valid end) end)/4)::float::double, 4) as disturb_intensity
+             (sum(case when d=0 then 0 else least(valid, (row+col*2+b)%6)/(case when valid=0 then 1 else valid end) end)/4)::float::double as disturb_intensity
            from (select *, (row*3+col*5+b*7)%12 as valid from (
              select c.t1_shot_number, c.t2_shot_number, c.row, c.col, d, d-1996 as b from cells2 c join (
                select *, case q when 1 then p1_disturb_date when 2 then p2_disturb_date when 3 then p3_disturb_date else p4_disturb_date end as d
@@ -209,12 +209,13 @@ def _case_bins(x: str, edges: list[float]) -> str:
     return "case " + " ".join(f"when {x} > {a} and {x} <= {b} then {float(a)}e0" for a, b in zip(edges, edges[1:])) + " end"
 
 
+# Bin edges.
 INTENSITY_BINS = [0, 0.025, 0.05, 0.075, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7]
 COARSE_BINS = [0, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6]
 
 
 def _binned(edges: list[float]) -> str:
-    x = "round(disturb_intensity*4/measured_disturbance, 4)"
+    x = "disturb_intensity*4/measured_disturbance"
     return f"""select l.*, {_case_bins(x, edges)} as disturb_bin from intensity i
         join labelled l using (t1_shot_number, t2_shot_number) where sample_grp='treatment'"""
 
@@ -415,7 +416,7 @@ def build(region: list, chunk_region: list) -> dict[str, str]:
     for name, mods in (("intact_pairs", (97,)), ("intact_in_both", (97, 89))):
         ok = " and ".join(f"sum(case when {deg('row','col',m)}<>9999 then 1 else 0 end)=0" for m in mods)
         q[name] = sql(f"select t1_shot_number, t2_shot_number from cells3 group by 1,2 having {ok}", "cells3")
-    q["overlay_intensity"] = sql("select * from intensity", "intensity")
+    q["overlay_intensity"] = sql("select t1_shot_number, t2_shot_number, round(disturb_intensity, 4) as disturb_intensity from intensity", "intensity")
     q["overlay_burn"] = sql("select t1_shot_number, t2_shot_number, burn_bool_1996, burn_bool_1997, burn_bool_1998, burn_bool_1999, interceding_burn from burn", "burn")
     q["group_counts"] = sql("select sample_grp, count(*) as n from labelled group by 1", "labelled")
     q["dedup_pairs"] = sql("select sample_grp, t1_shot_number, t2_shot_number from cohort", "cohort")

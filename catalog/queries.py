@@ -22,6 +22,7 @@ Query = DataFrame
 KEYS = P.PAIR_KEYS
 QUERIES: dict = {}
 
+# Bin edges and lag bands.
 INTENSITY_BINS = [0, 0.025, 0.05, 0.075, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7]
 COARSE_BINS = [0, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6]
 LAGS_ALL = [1100, 1000, 900, 800, 700, 600, 500, 450, 400, 350, 300, 250, 200, 150, 100, 50, 0]
@@ -611,8 +612,8 @@ def month_quadratic_fit(spark, sf):
 
 def binned(spark, sf, edges, *columns: str) -> DataFrame:
     t = C.treatment_rows(C.label_groups(intensity(spark, sf, *columns)))
-    scaled = S.rescaled_intensity(F.round(F.col("disturb_intensity").cast("double"), 4), F.col("measured_disturbance"))
-    return t.withColumn("intensity", F.round(scaled, 4)).withColumn("disturb_bin", S.cut(F.col("intensity"), edges))
+    scaled = S.rescaled_intensity(F.col("disturb_intensity").cast("double"), F.col("measured_disturbance"))
+    return t.withColumn("intensity", scaled).withColumn("disturb_bin", S.cut(F.col("intensity"), edges))
 
 
 def by_intensity(spark, sf) -> DataFrame:
