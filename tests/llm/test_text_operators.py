@@ -267,6 +267,43 @@ def test_language_id(spark, none):
     assert langid.learn(none).samples == {} and langid.predict(none, learned).count() == 0
 
 
+def test_language_id_learns_each_language_by_itself(spark, monkeypatch):
+    rng = random.Random(8)
+    parts = {"aa": ["the", "ing", "wh", "ou"], "bb": ["sch", "ung", "ei", "ß"], "cc": ["que", "eau", "é", "oi"], "dd": ["ska", "jö", "på", "ån"]}
+
+    def say(k, n):
+        return " ".join("".join(rng.choice(parts[k]) for _ in range(rng.randint(1, 4))) for _ in range(n))
+
+    plenty = [(i, say(k, 300), k) for i, k in enumerate(["aa", "bb", "cc"] * 60)]
+    copied = [say("dd", 100) for _ in range(50)]
+    copies = [(1000 + i, copied[i % 50], "dd") for i in range(10000)]
+    rare = [(20000 + i, say("aa", 8), "zz") for i in range(3)]
+    frame = spark.createDataFrame(plenty + copies + rare, "doc_id long, text string, lang string")
+    learned = langid.learn(frame)
+    sizes = {k: len(v) for k, v in learned.samples.items()}
+    assert set(sizes) == set(parts) and all(sizes[k] == langid.DICTIONARY_BYTES for k in ("aa", "bb", "cc"))
+    assert sizes["dd"] == len(" ".join(copied).encode())
+    few = spark.createDataFrame(rare, "doc_id long, text string, lang string")
+    assert set(langid.learn(few).samples) == {"zz"}
+    texts = [t for _, t, _ in plenty[:40]] + copied[:20] + [None, "", "1 2"]
+    said = learned.predict(texts)
+    assert [n for n, _ in said] == [k for _, _, k in plenty[:40]] + ["dd"] * 20 + ["und"] * 3
+    monkeypatch.setattr(langid, "LANGUAGES_AT_ONCE", 3)
+    assert langid.Languages(learned.samples).predict(texts) == said
+
+
+def test_language_id_knows_more_than_128_languages(spark):
+    rng = random.Random(9)
+    marks = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(4 * 140)]
+
+    def say(k):
+        return " ".join("".join(rng.choice(marks[4 * k : 4 * k + 4]) for _ in range(3)) for _ in range(120))
+
+    rows = [(6 * k + i, say(k), f"l{k:03}") for k in range(140) for i in range(6)]
+    learned = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(learned.samples) == 140 and [n for n, _ in learned.predict([t for _, t, _ in rows[::6]])] == [f"l{k:03}" for k in range(140)]
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer

@@ -6,11 +6,14 @@ predicted. Texts are encoded in blocks of ``BLOCK_BYTES``, all of them, because
 the encoder its own language and drown the dictionary's share. Letters are lower-cased and everything
 else becomes a space, so symbols and capitals neither help nor hurt. The margin is the share by which
 the best encoding is smaller than the second best; a narrow one rejects the prediction.
+
+A language is left out if its sample has under ``LEAST_BYTES`` of letters: its texts then get the name
+of another language, or are rejected. If no language reaches that, all with a few letters are learned.
 """
 
 from __future__ import annotations
 
-import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,12 +25,14 @@ from pyspark.sql import functions as F
 
 from twinshot.llm.words import slices
 
-#: Bounds of what is learned: languages (the most frequent ones), sampled texts of each, and
-#: characters taken from a sampled text. Together they bound what the driver reads and sends out.
-MAX_LANGUAGES = 128
+#: Bounds of what is learned of a language: sampled texts and characters taken from each. What the
+#: driver reads and sends out grows with the number of languages only.
 SAMPLE_TEXTS = 96
 SAMPLE_CHARS = 2048
 DICTIONARY_BYTES = 1 << 16
+LEAST_BYTES = 1 << 12
+#: Encoders held at a time; further languages are scored in further blocks.
+LANGUAGES_AT_ONCE = 128
 BLOCK_BYTES = 1 << 12
 NARROW = 0.01
 #: Shorter texts are encoded three times over: below this an encoder would not try to match at all.
@@ -43,15 +48,19 @@ def letters(text: str) -> bytes:
 
 
 class Languages:
-    """One encoder per language."""
+    """One encoder per language, ``LANGUAGES_AT_ONCE`` of them in memory at a time."""
 
     def __init__(self, samples: dict[str, bytes]):
         self.samples = samples
+        self._held: tuple[int, list[tuple[str, zstandard.ZstdCompressor]]] | None = None
 
-    @functools.cached_property
-    def encoders(self) -> list[tuple[str, zstandard.ZstdCompressor]]:
+    def encoders(self, first: int) -> list[tuple[str, zstandard.ZstdCompressor]]:
+        """Encoders of the block of languages that begins with number ``first`` by name."""
+        if self._held is not None and self._held[0] == first:
+            return self._held[1]
+        self._held = None
         out = []
-        for name, sample in sorted(self.samples.items()):
+        for name in sorted(self.samples)[first : first + LANGUAGES_AT_ONCE]:
             # Matches of three bytes: syllables tell languages apart, and short texts have little else.
             parameters = zstandard.ZstdCompressionParameters.from_level(
                 5,
@@ -65,59 +74,66 @@ class Languages:
                 write_checksum=0,
                 write_dict_id=0,
             )
-            content = zstandard.ZstdCompressionDict(sample, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            content = zstandard.ZstdCompressionDict(self.samples[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             content.precompute_compress(compression_params=parameters)
             out.append((name, zstandard.ZstdCompressor(compression_params=parameters, dict_data=content)))
+        self._held = first, out
         return out
 
     def __getstate__(self) -> dict:
-        return {"samples": self.samples}
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """(language, margin); ``und`` and 0 for a text without a letter."""
-        if not text or not self.samples or not _LETTER.search(text):
-            return UNKNOWN, 0.0
-        body = letters(text)
-        if len(body) < SHORT_BYTES:
-            body = b" ".join([body] * 3)
-        blocks = [body[i : i + BLOCK_BYTES] for i in range(0, len(body), BLOCK_BYTES)]
-        sizes = [sum(len(encoder.compress(b)) for b in blocks) for _, encoder in self.encoders]
-        order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
-        best = order[0]
-        margin = 1.0 if len(sizes) == 1 else 1.0 - sizes[best] / sizes[order[1]]
-        return self.encoders[best][0], margin
+        return {"samples": self.samples, "_held": None}
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """(language, margin) of every text; ``und`` and 0 for a text without a letter."""
+        bodies = [_blocks(t) if t and _LETTER.search(t) else [] for t in texts]
+        best: list[tuple[float, str]] = [(math.inf, UNKNOWN)] * len(bodies)
+        second = [math.inf] * len(bodies)
+        for first in range(0, len(self.samples), LANGUAGES_AT_ONCE):
+            for name, encoder in self.encoders(first):
+                for i, body in enumerate(bodies):
+                    if body:
+                        size = sum(len(encoder.compress(b)) for b in body)
+                        if size < best[i][0]:
+                            best[i], second[i] = (size, name), best[i][0]
+                        elif size < second[i]:
+                            second[i] = size
+        return [(name, 0.0 if name == UNKNOWN else 1.0 - size / other) for (size, name), other in zip(best, second)]
+
+
+def _blocks(text: str) -> list[bytes]:
+    body = letters(text)
+    if len(body) < SHORT_BYTES:
+        body = b" ".join([body] * 3)
+    return [body[i : i + BLOCK_BYTES] for i in range(0, len(body), BLOCK_BYTES)]
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Languages:
     """Dictionaries from the rows of ``docs`` that have a text and a language.
 
-    Rows are drawn by the hash of their text, with a bar set by each language's row count, so every
-    language gives about as many, and copies of one text count once.
+    The ``SAMPLE_TEXTS`` texts of lowest hash are taken of every language. A bar set by the language's
+    number of distinct texts, estimated within a few hundredths, lets about twice as many through, so
+    copies of one text count once and no language is sorted as a whole.
     """
-    rows = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where(
-        F.col("lang").isNotNull() & (F.length("text") > 0)
-    )
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
-        return Languages({})
+    rows = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("text"))
     scale = 1 << 30
-    bar = F.create_map(*(F.lit(v) for r in counts for v in (r["lang"], max(1, min(scale, scale * SAMPLE_TEXTS // r["count"])))))
-    draw = F.pmod(F.xxhash64("text"), F.lit(scale))
+    bar = F.lit(2.0 * scale * SAMPLE_TEXTS) / F.col("n")
+    bars = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).select("lang", bar.alias("bar"))
     drawn = (
-        rows.where(draw < F.element_at(bar, F.col("lang")))
-        .select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+        rows.join(F.broadcast(bars), "lang")
+        .where(F.pmod("h", F.lit(scale)) < F.col("bar"))
+        .select("lang", "h", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
         .dropDuplicates(["lang", "h"])
-        .orderBy("h")
-        .limit(4 * SAMPLE_TEXTS * MAX_LANGUAGES)
         .collect()
     )
     samples: dict[str, list[bytes]] = {}
-    for r in drawn:
-        samples.setdefault(r["lang"], []).append(letters(r["text"]))
-    # All languages get dictionaries of the size that the poorest one of them can fill.
-    joined = {k: b" ".join(v) for k, v in samples.items() if any(v)}
-    size = min([DICTIONARY_BYTES, *(max(len(v), 4096) for v in joined.values())])
-    return Languages({k: v[:size] for k, v in joined.items() if len(v) >= 8})
+    for r in sorted(drawn, key=lambda r: (r["h"] % scale, r["h"])):
+        taken = samples.setdefault(r["lang"], [])
+        if len(taken) < SAMPLE_TEXTS:
+            taken.append(letters(r["text"]))
+    joined = {k: b" ".join(filter(None, v))[:DICTIONARY_BYTES] for k, v in samples.items()}
+    least = LEAST_BYTES if any(len(v) >= LEAST_BYTES for v in joined.values()) else 8
+    return Languages({k: v for k, v in joined.items() if len(v) >= least})
 
 
 def predict(docs: DataFrame, languages: Languages, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -133,7 +149,7 @@ def predict(docs: DataFrame, languages: Languages, text: str = "text", doc_id: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                names, scores = zip(*map(shared.value.predict, part.column("text").to_pylist()))
+                names, scores = zip(*shared.value.predict(part.column("text").to_pylist()))
                 scores = np.array(scores)
                 rejected = (scores < NARROW) | (np.array(names) == UNKNOWN)
                 columns = [part.column("doc_id"), pa.array(names, pa.string()), pa.array(scores), pa.array(rejected)]
@@ -149,7 +165,7 @@ def identified(docs: DataFrame, languages: Languages) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                said = map(shared.value.predict, part.column("text").to_pylist())
+                said = shared.value.predict(part.column("text").to_pylist())
                 yield part.filter(pa.array([n != UNKNOWN and s >= NARROW for n, s in said], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
