@@ -374,6 +374,18 @@ def test_html(spark):
     assert html.extract(frame.limit(0)).count() == 0
 
 
+def test_html_surge_and_dive_choose_on_every_page():
+    long = "Sentence of some length here. " * 4
+    story = "<h1>Title</h1>" + "".join(f"<p>{long}</p><p>Short.</p>" for _ in range(4))
+    frame = "<body><div>Our site</div><nav><a href=x>Home</a></nav>{}<footer>us</footer><div>Built by a tool</div></body>"
+    marked, plain = (html.main_text(frame.format(f"<{t}>{story}</{t}>")) for t in ("article", "div"))
+    assert marked == plain and marked.startswith("Title") and marked.count("Short.") == 4 and marked.endswith("Short.")
+    # A mark is a weight and no selector: much text outside is chosen too, little is not.
+    both = "<article><p>Teaser.</p></article><div>Menu line</div><nav>x</nav><div>" + f"<p>{long * 3}</p>" * 3 + "</div>"
+    assert html.main_text(both).startswith("Teaser. Sentence") and "Menu" not in html.main_text(both)
+    assert html.main_text("<article><p>Teaser.</p></article><div>" + long + "</div>") == "Teaser."
+
+
 def test_urls(spark):
     rules = [*queries.URL_RULES, ("block", "a.org/x"), ("allow", "a.org/x/y"), ("block", "a.org/x/y"), ("allow", "org/")]
     rng = random.Random(1)

@@ -1,11 +1,13 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines, one for each block element, in page order. Every line weighs its visible
-characters outside links; lines in menus, footers, adverts and the like weigh nothing, and so do, on a
-page that marks its article, all lines outside it. The block of a line is the sum of weights over a
-window of ``WINDOW`` lines. Text surges where the block reaches the threshold and dives where blocks
-fall to nothing; what lies between a surge and its dive is a segment, and the segments that hold a good
-share of the largest one's text are the main text, short lines inside them included.
+characters outside links; menus, footers, adverts and the like are left out. The block of a line is the
+sum of weights over a window of ``WINDOW`` lines. Text surges where the block reaches the threshold and
+dives where blocks fall to nothing; what lies between a surge and its dive is main text, short lines
+inside it included. The threshold is ``SURGE``, or the page's largest block if that is smaller.
+
+The same rule chooses on every page. An article mark is a weight: if a page has one, a character inside
+weighs ``INSIDE`` and one outside ``OUTSIDE``.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +26,9 @@ from twinshot.llm.words import slices
 
 WINDOW = 3
 SURGE = 80
-SHARE = 0.25
+#: Weights of a character on a page with an article mark: any text inside surges, outside it takes 320.
+INSIDE = 80.0
+OUTSIDE = 0.25
 
 # Elements by their role in HTML.
 _RAW = "script|style|noscript|template|svg|math|canvas|iframe|object|head"
@@ -58,15 +63,21 @@ def _boilerplate(name: str, attributes: str, in_main: bool) -> bool:
     return bool(words & _NAMED) or bool(_HIDDEN.search(attributes))
 
 
-def lines(page: str) -> tuple[list[str], list[int], bool]:
-    """(text, weight) of the page's lines, and whether weights stand for a marked article."""
+class _Element(NamedTuple):
+    name: str
+    boilerplate: bool
+    main: bool
+
+
+def lines(page: str) -> tuple[list[str], list[float]]:
+    """(text, weight) of the page's lines."""
     page = _SKIP.sub(" ", page)
     texts: list[str] = []
     weights: list[int] = []
     inside: list[bool] = []
     line: list[str] = []
     weight = 0
-    stack: list[tuple[str, bool, bool]] = []  # name, boilerplate, main
+    stack = [_Element("", False, False)]
     skipping = links = mains = 0
     main_here = False
 
@@ -82,7 +93,7 @@ def lines(page: str) -> tuple[list[str], list[int], bool]:
     def gap() -> None:
         # Parts of the page stand apart: blocks of lines do not reach over from one to the next.
         end_line()
-        if weights and texts[-1]:
+        if texts and texts[-1]:
             texts.extend([""] * WINDOW)
             weights.extend([0] * WINDOW)
             inside.extend([False] * WINDOW)
@@ -107,62 +118,52 @@ def lines(page: str) -> tuple[list[str], list[int], bool]:
         if name in _BLOCKS:
             end_line()
         if closing:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is None:
+            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].name == name), None)
+            if not depth:
                 continue
             # An end tag closes what was left open inside, but not a part of the page it lies in.
-            if name not in _BLOCKS and any(s[0] in _BLOCKS for s in stack[depth + 1 :]):
+            if name not in _BLOCKS and any(s.name in _BLOCKS for s in stack[depth + 1 :]):
                 continue
-            for open_name, boiler, is_main in stack[depth:]:
-                skipping -= boiler
-                mains -= is_main
-                links -= open_name == "a"
-                if boiler or is_main:
+            for element in stack[depth:]:
+                skipping -= element.boilerplate
+                mains -= element.main
+                links -= element.name == "a"
+                if element.main and not mains:
                     gap()
             del stack[depth:]
         elif name not in _VOID and not attributes.rstrip().endswith("/"):
-            if name == "p" and stack and stack[-1][0] == "p":
+            if name == "p" and stack[-1].name == "p":
                 stack.pop()
             boiler = _boilerplate(name, attributes, mains > 0)
             is_main = name in _MAIN
-            if boiler or is_main:
+            if (is_main and not mains) or (boiler and not skipping and not mains):
                 gap()
-            stack.append((name, boiler, is_main))
+            stack.append(_Element(name, boiler, is_main))
             skipping += boiler
             mains += is_main
             links += name == "a"
     add(page[at:])
     end_line()
-    marked = any(i and w for i, w in zip(inside, weights))
-    if marked:
-        weights = [w if i else 0 for i, w in zip(inside, weights)]
-        texts = [t if i else "" for i, t in zip(inside, texts)]
-    return texts, weights, marked
+    if any(i and w for i, w in zip(inside, weights)):
+        return texts, [w * (INSIDE if i else OUTSIDE) for i, w in zip(inside, weights)]
+    return texts, [float(w) for w in weights]
 
 
 def main_text(page: str | None) -> str:
     """The page's main text; empty for a null page or one without any."""
     if not page:
         return ""
-    texts, weights, marked = lines(page)
-    if not texts:
+    texts, weights = lines(page)
+    if not any(weights):
         return ""
-    w = np.array(weights, dtype=np.int64)
-    # Block i sums lines i .. i + WINDOW - 1, with lines outside the page empty.
-    sums = np.r_[0, np.cumsum(np.r_[np.zeros(WINDOW - 1, np.int64), w, np.zeros(WINDOW - 1, np.int64)])]
+    w = np.array(weights)
+    # Block i sums lines i - WINDOW + 1 .. i, with lines outside the page empty.
+    sums = np.r_[0, np.cumsum(np.r_[np.zeros(WINDOW - 1), w, np.zeros(WINDOW - 1)])]
     blocks = sums[WINDOW:] - sums[:-WINDOW]
+    surge = min(SURGE, blocks.max())
     edges = np.flatnonzero(np.diff(np.r_[0, (blocks > 0).astype(np.int8), 0]))
-    surge = 1 if marked else SURGE
-    segments = []
-    for begin, dive in zip(edges[::2], edges[1::2]):
-        if blocks[begin:dive].max() >= surge:
-            first, last = max(0, begin), min(len(w), dive - WINDOW + 1)
-            segments.append((int(w[first:last].sum()), first, last))
-    if not segments:
-        return ""
-    largest = max(s[0] for s in segments)
-    share = 0 if marked else SHARE
-    return " ".join(t for size, a, b in segments if size >= share * largest for t in texts[a:b] if t)
+    kept = [(a, b) for a, b in zip(edges[::2], edges[1::2]) if blocks[a:b].max() >= surge]
+    return " ".join(t for begin, dive in kept for t in texts[begin : dive - WINDOW + 1] if t)
 
 
 def extract(pages: DataFrame, html: str = "html", page_id: str = "page_id", url: str = "url") -> DataFrame:
