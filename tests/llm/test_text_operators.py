@@ -386,6 +386,27 @@ def test_html_surge_and_dive_choose_on_every_page():
     assert html.main_text("<article><p>Teaser.</p></article><div>" + long + "</div>") == "Teaser."
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<div class=c><p>{0}{0}{0}</p><div class=ad>Buy</div><p>Later.</p></div><footer>us</footer>", "{0}{0}{0}Later."),
+        ("<body><p>{0}{0}{0}</p><aside>Aside</aside><p>Later.</p></body>", "{0}{0}{0}Later."),
+        ("<div><h1>Title</h1><div class=ad>Buy</div><p>{0}</p></div>", "Title {0}"),
+        ("<body><p>A short one.</p><p>Ends.</p></body>", "A short one. Ends."),
+        ("<article><h1><a href=x>Title</a></h1><p>{0}</p><p><a href=y>Last</a></p></article>", "Title {0}Last"),
+        ("<article><p>A</p><ul><li><a>1</a><li><a>2</a><li><a>3</a><li><a>4</a></ul><p>B</p></article>", "A 1 2 3 4 B"),
+        ("<html><head><title>T</title><meta name=x><body><p>Text.</p></body>", "Text."),
+        ("<html><head><title>T</title><p>Text.</p>", "Text."),
+        ("<article><div class='entry-header'><h1>Title</h1></div><div class='widget share-price search'>In</div><p>B</p></article>", "Title In B"),
+        ("<article><p>A</p><div class='ad'>Buy</div><div class='share-buttons'>Send</div><div id=comments>Nice</div></article>", "A"),
+        ("<body><div class=c><div class='entry-header'><h1>Title</h1></div><p>{0}</p></div></body>", "Title {0}"),
+    ],
+)
+def test_html_keeps_the_whole_article(page, text):
+    long = "Sentence of some length to read here and there. "
+    assert html.main_text(page.replace("{0}", long)) == text.replace("{0}", long).strip()
+
+
 def test_urls(spark):
     rules = [*queries.URL_RULES, ("block", "a.org/x"), ("allow", "a.org/x/y"), ("block", "a.org/x/y"), ("allow", "org/")]
     rng = random.Random(1)

@@ -15,7 +15,6 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ INSIDE = 80.0
 OUTSIDE = 0.25
 
 # Elements by their role in HTML.
-_RAW = "script|style|noscript|template|svg|math|canvas|iframe|object|head"
+_RAW = "script|style|noscript|template|svg|math|canvas|iframe|object|title"
 _BOILERPLATE = set("nav footer aside form menu dialog button select textarea figure-nav".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCKS = set(
@@ -47,6 +46,13 @@ _NAMED = set(
     "replies share sharing sidebar skip social sponsor sponsored subscribe toolbar widget complementary contentinfo search".split()
 )
 
+# Inside an article, and in names of an article's own parts (entry-header), only these words count.
+_UNMISTAKABLE = set("ad ads advert adverts advertisement advertising comments disqus sharing sponsored".split())
+_UNMISTAKABLE_NAMES = set("share share-bar share-buttons share-links social-share comment-list comment-form".split())
+_OWN_PARTS = set("article content entry post story".split())
+# Elements of running text: what holds them directly is a column of text.
+_PROSE = set("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+
 _SKIP = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[|<(?P<raw>{_RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>", re.S | re.I)
 _TAG = re.compile(r"""<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""")
 _NAME = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
@@ -54,19 +60,36 @@ _WORD = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"""\shidden(?:[\s=]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 
 
-def _boilerplate(name: str, attributes: str, in_main: bool) -> bool:
+def _boilerplate(name: str, attributes: str, in_main: bool, in_article: bool) -> bool:
     if name in _BOILERPLATE or (name == "header" and not in_main):
         return True
     if name in ("body", "html") or not attributes:
         return False
-    words = {w for m in _NAME.findall(attributes) for w in _WORD.findall(m.lower())}
-    return bool(words & _NAMED) or bool(_HIDDEN.search(attributes))
+    for m in _NAME.findall(attributes):
+        for part in m.lower().strip("\"'").split():
+            words = set(_WORD.findall(part))
+            own = in_article or words & _OWN_PARTS
+            if part in _UNMISTAKABLE_NAMES or words & (_UNMISTAKABLE if own else _NAMED):
+                return True
+    return bool(_HIDDEN.search(attributes))
+
+
+class _Element:
+    __slots__ = ("name", "boilerplate", "main", "prose", "holder", "column", "within")
 
+    def __init__(self, name: str, parent: _Element | None = None, boilerplate: bool = False, main: bool = False):
+        self.name, self.boilerplate, self.main = name, boilerplate, main
+        block = name in _BLOCKS or parent is None
+        self.prose = name in _PROSE or (not block and parent.prose)
+        #: The nearest element that holds running text, a heading or paragraph not counted.
+        self.holder = self if block and not self.prose else parent.holder
+        #: Whether running text stood in the element directly, so that it goes on after an advert.
+        self.column = False
+        self.within = parent is not None and parent.in_column()
 
-class _Element(NamedTuple):
-    name: str
-    boilerplate: bool
-    main: bool
+    def in_column(self) -> bool:
+        h = self.holder
+        return h.within or (h.column and h.name not in ("body", "html", ""))
 
 
 def lines(page: str) -> tuple[list[str], list[float]]:
@@ -77,18 +100,19 @@ def lines(page: str) -> tuple[list[str], list[float]]:
     inside: list[bool] = []
     line: list[str] = []
     weight = 0
-    stack = [_Element("", False, False)]
+    stack = [_Element("")]
     skipping = links = mains = 0
-    main_here = False
+    main_here = prose_here = False
 
     def end_line() -> None:
-        nonlocal weight, line, main_here
+        nonlocal weight, line, main_here, prose_here
         text = " ".join(entities.unescape("".join(line)).split())
         if text:
             texts.append(text)
-            weights.append(weight)
+            # A heading, a paragraph or a line of the article that is a link goes with the text beside it.
+            weights.append(max(weight, int(main_here or prose_here)))
             inside.append(main_here)
-        line, weight, main_here = [], 0, False
+        line, weight, main_here, prose_here = [], 0, False, False
 
     def gap() -> None:
         # Parts of the page stand apart: blocks of lines do not reach over from one to the next.
@@ -99,13 +123,16 @@ def lines(page: str) -> tuple[list[str], list[float]]:
             inside.extend([False] * WINDOW)
 
     def add(text: str) -> None:
-        nonlocal weight, main_here
+        nonlocal weight, main_here, prose_here
         if skipping:
             return
         line.append(text)
         visible = len(text) - text.count(" ")
         if not text.isspace() and visible:
             main_here = main_here or mains > 0
+            prose_here = prose_here or stack[-1].prose
+            if stack[-1].prose or not links:
+                stack[-1].holder.column = True
             if not links:
                 weight += visible
 
@@ -134,11 +161,11 @@ def lines(page: str) -> tuple[list[str], list[float]]:
         elif name not in _VOID and not attributes.rstrip().endswith("/"):
             if name == "p" and stack[-1].name == "p":
                 stack.pop()
-            boiler = _boilerplate(name, attributes, mains > 0)
+            boiler = _boilerplate(name, attributes, mains > 0, mains > 0 or stack[-1].in_column())
             is_main = name in _MAIN
-            if (is_main and not mains) or (boiler and not skipping and not mains):
+            if (is_main and not mains) or (boiler and not skipping and not mains and not stack[-1].holder.column):
                 gap()
-            stack.append(_Element(name, boiler, is_main))
+            stack.append(_Element(name, stack[-1], boiler, is_main))
             skipping += boiler
             mains += is_main
             links += name == "a"
