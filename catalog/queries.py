@@ -496,8 +496,13 @@ def largest_extents(spark, sf):
     return A.max_by_group(C.label_groups(yearly(spark, sf)), "measured_disturbance", ["sample_grp"])
 
 
+def treated(spark, sf, *columns: str) -> DataFrame:
+    """Treatment pairs of the alert overlay, each shot once: ages and burns are taken from these."""
+    return C.treatment_rows(C.dedup_pairs(materialise(C.label_groups(alert_overlay(spark, sf, *columns)))))
+
+
 def aged(spark, sf, *columns: str) -> DataFrame:
-    t = C.treatment_rows(C.label_groups(alert_overlay(spark, sf, *columns)))
+    t = treated(spark, sf, *columns)
     t = t.withColumn("mode_disturb_days", S.row_mode([F.col(f"p{i}_disturb_date") for i in range(1, 10)]))
     t = t.withColumn("days_since_disturbance", F.col("t2_days") - F.col("mode_disturb_days"))
     return t.where("days_since_disturbance >= 0").withColumn("months", S.months(F.col("days_since_disturbance")))
@@ -509,7 +514,9 @@ def disturbance_age(spark, sf):
 
 
 def burned(spark, sf) -> DataFrame:
-    b = O.overlay_burn(D.timed_pairs(spark, sf, "rh_98_a0", "rh_50_a0"), D.burns(spark, sf), D.tiles(spark, sf), D.YEARS)
+    columns = ["rh_98_a0", "rh_50_a0"]
+    t = treated(spark, sf, *columns).select(D.timed_pairs(spark, sf, *columns).columns)
+    b = O.overlay_burn(t, D.burns(spark, sf), D.tiles(spark, sf), D.YEARS)
     return b.where("interceding_burn and t1_rh_98_a0 >= 5 and t1_rh_50_a0 >= 2.5").withColumn("canopy_lost", S.canopy_lost())
 
 
@@ -526,11 +533,15 @@ def burned_shares(spark, sf):
 
 @query
 def profile_split(spark, sf):
-    """Upper and lower plant area on both sides of a third of the first height."""
+    """Upper and lower plant area on both sides of a third of the first height, for every order.
+
+    There are fewer vectors than orders; their ids run from 0, and orders take them in turn.
+    """
     o = D.table(spark, sf, "orders", "o_orderkey", "o_totalprice")
     e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
     profile = F.transform(F.slice("embedding", 1, 21), lambda v, i: F.abs(v).cast("double") * (21 - i))
-    p = o.join(e, F.col("o_orderkey") == F.col("vec_id")).select("o_orderkey", (F.col("o_totalprice") / 10000).alias("rh"), profile.alias("pai"))
+    turn = o.crossJoin(e.agg((F.max("vec_id") + 1).alias("vectors"))).withColumn("turn", F.pmod("o_orderkey", "vectors"))
+    p = turn.join(e, F.col("turn") == F.col("vec_id"), "left").select("o_orderkey", (F.col("o_totalprice") / 10000).alias("rh"), profile.alias("pai"))
     bucket = S.third_height_bucket(F.col("rh"))
     at = S.profile_at(F.col("pai"), F.col("bucket"))
     return p.withColumn("bucket", bucket).select(
