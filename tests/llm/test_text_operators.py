@@ -164,6 +164,34 @@ def test_b_bit_estimate():
     assert minhash.least_agreeing(0.8) < minhash.MINIMA * (0.25 + 0.75 * 0.8)
 
 
+def test_short_near_copies_are_linked(spark):
+    """Texts of 5 to 30 shingles, at the similarity asked for exactly and just below it."""
+    rng = random.Random(8)
+    texts, linked = [], []
+    for i in range(2400):
+        shared = 4 * rng.randint(1, 6)
+        words_of = [f"w{i}x{k}" for k in range(shared + 3)]
+        other = [f"v{i}x{k}" for k in range(shared // 4 + 1)]
+        # shared 4-word shingles, and a quarter of them more (or one above that) on one side only
+        more = shared // 4 + (i % 2)
+        texts += [" ".join(words_of), " ".join(words_of + other[:more])]
+        linked.append(100 * shared >= 80 * (shared + more))
+        assert len(shingle_set(texts[-1], 4)) == shared + more
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, shingle_words=4).collect()}
+    missed = [i for i, want in enumerate(linked) if (got[2 * i + 1] == 2 * i) != want]
+    assert 1000 < sum(linked) < 1400 and missed == []
+
+
+def test_least_agreeing_against_draws():
+    """The share of pairs at the similarity that stay below the count is the bound asked for."""
+    rng = np.random.default_rng(2)
+    c = 2.0**-minhash.BITS
+    for similarity, miss in ((0.8, 1e-2), (0.8, 1e-3), (0.9, 1e-2)):
+        agreed = rng.binomial(minhash.MINIMA, c + (1 - c) * similarity, 400_000)
+        assert np.mean(agreed < minhash.least_agreeing(similarity, miss)) <= miss * 1.2
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 200), (200, 150), (7, 7), (1, 0), (1, 0)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -200,6 +228,39 @@ def test_secret_scan(spark):
     assert not {n - 4, n - 3, n - 2} & set(added)
 
 
+def test_secret_candidates_of_letters_alone(spark):
+    rng = random.Random(6)
+    keys = ["".join(rng.choice(string.ascii_letters) for _ in range(40)) for _ in range(40)]
+    names = ["getTheNumberOfOpenFileHandles", "THE_LONGEST_CONSTANT_OF_ALL", "internationalization-and-localization", "/usr/local/share/doc/packages", "AbstractSingletonProxyFactoryBean"]
+    frame = spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate(keys + names)], "doc_id long, text string")
+    found = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in secrets.scan(frame).collect()}
+    assert [found[i] for i in range(40)] == [[(4, 44)]] * 40
+    assert [found[40 + i] for i in range(len(names))] == [[]] * len(names)
+
+
+def test_secret_scan_of_very_long_strings(spark):
+    """A megabyte of one candidate, or of many, neither overflows the matcher's stack nor takes long."""
+    rng = random.Random(7)
+    symbols = secrets.CLASSES["entropy_base64"][0]
+    long = [
+        "ab-1-" * 200_000,
+        "a" * 1_000_000,
+        "aB" * 500_000,
+        "1/" * 500_000,
+        "0123456789abcdef" * 62_500,
+        "-" * 1_000_000,
+        "token=" + "x" * 1_000_000,
+        "AKIA" + "A1" * 500_000,
+        "".join(rng.choice(symbols) for _ in range(1_000_000)),
+        "token = '" * 110_000,
+    ]
+    frame = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string").repartition(8)
+    found = {r.doc_id: [(s.start, s.kind, s.end) for s in r.spans] for r in secrets.scan(frame).collect()}
+    assert [found[i] for i in (0, 2, 3, 5, 9)] == [[]] * 5
+    assert found[1] == [(0, 2, 1_000_000)] and found[4] == [(0, 2, 1_000_000)] and found[6] == [(0, 0, 1_000_006)] and found[7] == [(0, 1, 1_000_004)]
+    assert found[8] == [(0, 4, 1_000_000)]
+
+
 def test_peak_entropy(spark):
     symbols = secrets.CLASSES["entropy_base64"][0]
     rng = random.Random(8)

@@ -32,12 +32,17 @@ CLASSES = {
     "entropy_hex": ("0123456789abcdefABCDEF", 2.9),
     "entropy_base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.75),
 }
-# Candidates hold a digit and a letter: words and numbers alone are neither.
-_CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
+# Candidates hold a digit and a letter, or letters whose case changes as in no identifier; words and numbers alone are neither.
+_JUMBLE = r"(?:[A-Z][a-z][A-Z][a-z]?[A-Z]|[A-Z]{2}[a-z][A-Z])"
+_CANDIDATE = (
+    r"(?<![A-Za-z0-9+/_=-])(?:(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])|(?=[A-Za-z+/_=-]*?%s))[A-Za-z0-9+/_=-]{20,}"
+    % _JUMBLE
+)
 _HEX_ONLY = r"^[0-9A-Fa-f]+$"
+#: Identifiers, paths and dates are words and numbers of up to 8 digits between separators. They are
+#: known by what they don't hold: a repeated group over a long text would overflow the matcher's stack.
+NOT_AN_IDENTIFIER = r"[A-Za-z][0-9]|[0-9][A-Za-z]|[0-9]{9}|" + _JUMBLE
 ALLOWED = [
-    # identifiers made of words and short numbers, paths, dates
-    r"^(?:[A-Za-z]+|[0-9]{1,8})(?:[_/=+-]+(?:[A-Za-z]+|[0-9]{1,8}))*[_/=+-]*$",
     # universally unique identifiers
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
     # placeholders
@@ -85,27 +90,31 @@ def peak_entropy(value: Column, symbols: str) -> Column:
     Entropy is log2(w) - sum(c * log2(c)) / w; the sum changes only by the symbols that enter and leave.
     """
     zero = F.array_repeat(F.lit(0), len(symbols) + 1)
-    start = F.struct(zero.alias("counts"), F.lit(0.0).alias("sum"), F.lit(-1.0).alias("best"))
-
-    def code(i: Column) -> Column:
-        return F.instr(F.lit(symbols), F.substring(value, i, F.lit(1)))
+    start = F.struct(zero.alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("seen"), F.lit(-1.0).alias("best"))
+    # One pass over (symbol that enters, symbol that leaves); taking them by place would start at the
+    # front of the string each time. Nothing leaves the first windows.
+    codes = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(symbols), c))
+    moves = F.arrays_zip(
+        codes.alias("enter"), F.slice(F.concat(F.array_repeat(F.lit(-1), WINDOW), codes), F.lit(1), F.size(codes)).alias("leave")
+    )
 
-    def moved(counts: Column, total: Column, at: Column, by: int) -> tuple[Column, Column]:
-        old = F.element_at(counts, at + 1)
-        return (
-            F.transform(counts, lambda c, k: F.when(k == at, c + by).otherwise(c)),
-            total + _gain(old + by) - _gain(old),
+    def step(state: Column, move: Column) -> Column:
+        enter, leave, counts = move["enter"], move["leave"], state["counts"]
+        more, less = F.element_at(counts, enter + 1), F.element_at(counts, F.greatest(leave, F.lit(0)) + 1)
+        change = _gain(more + 1) - _gain(more) + F.when(leave >= 0, _gain(less - 1) - _gain(less)).otherwise(F.lit(0.0))
+        same = enter == leave
+        total = F.when(same, state["sum"]).otherwise(state["sum"] + change)
+        moved = F.transform(counts, lambda c, k: F.when(k == enter, c + 1).when(k == leave, c - 1).otherwise(c))
+        seen = state["seen"] + 1
+        bits = F.when(seen >= WINDOW, F.lit(math.log2(WINDOW)) - total / WINDOW).otherwise(F.lit(-1.0))
+        return F.struct(
+            F.when(same, counts).otherwise(moved).alias("counts"),
+            total.alias("sum"),
+            seen.alias("seen"),
+            F.greatest(state["best"], bits).alias("best"),
         )
 
-    def step(state: Column, i: Column) -> Column:
-        counts, total = moved(state["counts"], state["sum"], code(i), 1)
-        full = i > WINDOW
-        less, lower = moved(counts, total, code(F.greatest(i - WINDOW, F.lit(1))), -1)
-        counts, total = F.when(full, less).otherwise(counts), F.when(full, lower).otherwise(total)
-        bits = F.when(i >= WINDOW, F.lit(math.log2(WINDOW)) - total / WINDOW).otherwise(F.lit(-1.0))
-        return F.struct(counts.alias("counts"), total.alias("sum"), F.greatest(state["best"], bits).alias("best"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.length(value)), start, step, lambda s: s["best"])
+    return F.aggregate(moves, start, step, lambda s: s["best"])
 
 
 def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -131,6 +140,7 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
         allowed = F.lit(False)
         for pattern in ALLOWED:
             allowed = allowed | c["value"].rlike(pattern)
+        allowed = allowed | ~c["value"].rlike(NOT_AN_IDENTIFIER)
         (hex_symbols, hex_bits), (symbols, bits) = CLASSES.values()
         high = F.when(c["value"].rlike(_HEX_ONLY), peak_entropy(c["value"], hex_symbols) >= hex_bits).otherwise(
             peak_entropy(c["value"], symbols) >= bits
