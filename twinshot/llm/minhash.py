@@ -4,8 +4,8 @@
    candidates: at similarity 0.8 the chance that no band agrees is (1 - 0.8**4)**32 = 5e-8. Texts
    with equal sets form a class, and only the class's lowest id goes on, so a group of exact copies
    costs one set of bands.
-2. Texts that share a bucket with another class get their b-bit signature: 2048 minima, of which the
-   lowest two bits are kept and packed (512 bytes a text), and their full set of shingle hashes.
+2. Texts that share a bucket with another class get their b-bit signature: 2048 minima, of each of which
+   two bits of its mixed value are kept and packed (512 bytes a text), and their full set of shingle hashes.
 3. Within a bucket no pairs are formed: every member is first compared with the member that sits
    in the fullest buckets, the likely origin of a group of near copies.
 4. Candidates pass if the number of agreeing b-bit minima, which counts chance agreement of one in
@@ -81,9 +81,19 @@ def minima(doc: np.ndarray, h: np.ndarray, n_docs: int, count: int) -> np.ndarra
 
 
 def pack(mins: np.ndarray) -> np.ndarray:
-    """(n, MINIMA * BITS / 8) bytes: bit plane after bit plane of the lowest bits."""
-    planes = [np.packbits(((mins >> np.uint32(b)) & np.uint32(1)).astype(np.uint8), axis=1) for b in range(BITS)]
-    return np.concatenate(planes, axis=1)
+    """(n, MINIMA * BITS / 8) bytes: bit plane after bit plane of the retained bits.
+
+    The bits come from a full mix of the minimum and its number. Those of the minimum itself are those
+    of a linear hash: they depend on the lowest bits of a shingle alone, so that texts of few shingles
+    would agree or differ in all their minima at once.
+    """
+    out = np.empty((len(mins), MINIMA * BITS // 8), dtype=np.uint8)
+    number = np.arange(MINIMA, dtype=np.uint64) << np.uint64(32)
+    for a in range(0, len(mins), 256):
+        kept = mix(mins[a : a + 256] | number)
+        planes = [np.packbits(((kept >> np.uint64(b)) & np.uint64(1)).astype(np.uint8), axis=1) for b in range(BITS)]
+        out[a : a + 256] = np.concatenate(planes, axis=1)
+    return out
 
 
 def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
