@@ -7,13 +7,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinshot.llm import html, langid, secrets
+from twinshot.llm import html, langid, neighbours, phrases, secrets, trie
 from twinshot.llm.bpe import encode_decode
 from twinshot.llm.containment import contained_items
 from twinshot.llm.minhash import near_duplicates
 from twinshot.llm.oracles import ORACLES
 from twinshot.llm.quality import quality_verdicts
-from twinshot.llm.store import ship
+from twinshot.llm.store import ship, stored
 from twinshot.llm.substrings import remove_repeats
 from twinshot.llm.tokens import token_counts
 from twinshot.llm.urls import UNWANTED_LABELS, url_verdicts
@@ -22,6 +22,8 @@ __all__ = ["ORACLES", "QUERIES"]
 
 VOCABULARY = "byte_bpe_50k.json"
 TOKEN_LIMIT = 512
+#: Branches of a vantage-point tree are skipped beyond the k-th distance divided by this.
+NEIGHBOUR_FACTOR = 2.0
 URL_RULES = [
     ("allow", "com/"),
     ("block", "example.com/en/"),
@@ -99,6 +101,24 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=4, similarity=0.8)
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"), least=100, top=2000)
+
+
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = stored(trie.numbered(_table(spark, sf_dir, "conversations")))
+    conv = F.col("conv_id")
+    convs = turns.select("conv_id").distinct()
+    head = F.crc32(conv.cast("string")) % 6
+    paths = stored(trie.grafted(turns, convs, base=conv - conv % 100, head=head, longest=5))
+    return trie.prefix_trie(paths, convs).withColumnRenamed("saved", "saved_tokens")
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return neighbours.neighbours(rows, F.col("vec_id") % 20 == 0, k=20, factor=NEIGHBOUR_FACTOR)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -116,6 +136,9 @@ QUERIES = {
         op8_html_extraction,
         op9_url_filters,
         op10_minhash_near_dedup,
+        op11_phrase_collocations,
+        op12_conversation_prefix_trie,
+        op13_nearest_neighbours,
         pipeline,
     )
 }

@@ -1,4 +1,4 @@
-"""Tables written once under the cluster's shared folder and read back."""
+"""Tables written once under the cluster's shared folder and read back; joins that no hot key can hold up."""
 
 from __future__ import annotations
 
@@ -7,9 +7,13 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
+#: Bytes of one Arrow batch between Spark and Python. Texts differ in length by orders of magnitude, so a
+#: bound in rows alone would let one batch grow to any size.
+BATCH_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,6 +36,17 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_lookup(rows: DataFrame, table: DataFrame, on: list[str], by: Column, how: str = "inner", parts: int = 32) -> DataFrame:
+    """Join ``rows`` to a table with at most one row per key, whatever share of the rows one key has.
+
+    Rows of a key are dealt into ``parts`` parts by ``by``. A key's row goes only to the parts that there
+    are, so a key with few rows costs few copies, and no task gets more than a part of a hot key.
+    """
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int"))
+    copies = dealt.select(*on, "_part").distinct().join(table, on)
+    return dealt.join(copies, [*on, "_part"], how).drop("_part")
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Make this package importable on the executors, as ``spark-submit --py-files`` would.
 
@@ -47,4 +62,5 @@ def ship(spark: SparkSession) -> SparkSession:
                 out.write(p, p.relative_to(root.parent))
         context.addPyFile(str(target))
         _SHIPPED.add(context.applicationId)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
