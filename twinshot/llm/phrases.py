@@ -8,9 +8,10 @@ into as many groups as the budget asks for. A task sorts the suffixes of one gro
 leaves of its subtrees from left to right, and reads a node's count as the total of the leaves below it. The
 few prefixes above the stems are counted by themselves.
 
-A phrase with ``least`` occurrences has words that occur as often, so a suffix ends before its first rarer
-word. Which words these are is told by a bit table of fixed size, filled by hashes of the words that are
-frequent enough: it may let rarer words through, which costs room and changes nothing. The budget grows
+A phrase with ``least`` occurrences has words, and pairs of neighbouring words, that occur as often, so a
+suffix ends before its first rarer word or pair. Which these are is told by bit tables of fixed size, filled
+by hashes of the words and pairs that are frequent enough: they may let rarer ones through, which costs
+room and changes nothing. The budget grows
 with the corpus once it would leave more than ``MOST_EXTENDED`` prefixes to extend, which bounds what is sent
 out. Phrases themselves are never known by hashes alone: a block of suffixes carries its words.
 """
@@ -30,10 +31,11 @@ from twinshot.llm.store import spread_lookup, stored
 from twinshot.llm.words import _BYTE_BASE, _BYTE_VALUES, _span_hashes, mix, signed, slices
 
 DEPTH = 5
-BUDGET = 1 << 20
+BUDGET = 1 << 19
 MOST_EXTENDED = 1 << 20
 TABLE_BITS = 26
 SLICE_BYTES = 4 << 20
+PAIR_BITS = 40
 _CHUNK_BITS = 16
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -150,24 +152,82 @@ def _listed(table: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (table[(spot >> np.uint64(3)).astype(np.int64)] >> (7 - (spot & np.uint64(7))).astype(np.uint8)) & 1 == 1
 
 
+def _pair_hashes(h: np.ndarray) -> np.ndarray:
+    """PAIR_BITS bits of every two neighbouring words; equal ones of different pairs only make a table fuller."""
+    return _longer(h[:-1], h[1:]) >> np.uint64(64 - PAIR_BITS)
+
+
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """Unsigned numbers of ``width`` bytes, all their lowest bytes first: equal high bytes pack well."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _unplaned(body: bytes, n: int, width: int, offset: int) -> tuple[np.ndarray, int]:
+    out = np.zeros((n, 8), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(body, dtype=np.uint8, count=n * width, offset=offset).reshape(width, n).T
+    return out.view("<u8").ravel(), offset + n * width
+
+
+_PAIRS = pa.schema([("grp", pa.int64()), ("block", pa.binary())])
+
+
+def _frequent_pairs(rows: DataFrame, table: np.ndarray, groups: int, least: int) -> DataFrame:
+    """(h) of the pairs of listed words with ``least`` occurrences, counted in blocks by range of their hash."""
+    width = (PAIR_BITS + 7) // 8
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1)
+        for found in _pieces(batches):
+            h = found.hashes()
+            listed = _listed(table, h)
+            both = listed[:-1] & listed[1:] & (found.piece[:-1] == found.piece[1:])
+            keys, count = np.unique(_pair_hashes(h)[both], return_counts=True)
+            group = (keys * np.uint64(groups)) >> np.uint64(PAIR_BITS) if groups < 1 << 24 else keys % np.uint64(groups)
+            order = np.argsort(group, kind="stable")
+            keys, count, group = keys[order], count[order], group[order]
+            cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True]) if len(group) else np.zeros(1, int)
+            out = [
+                squeeze.compress(_planes(np.diff(keys[a:b], prepend=np.uint64(0)), width) + _planes(count[a:b], 4))
+                for a, b in zip(cuts, cuts[1:])
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(group[cuts[:-1]].astype(np.int64)), pa.array(out, pa.binary())], schema=_PAIRS)
+
+    def counted(block: pa.Table) -> pa.Table:
+        expand = zstandard.ZstdDecompressor()
+        keys, counts = [], []
+        for blob in block.column("block").to_pylist():
+            body = expand.decompress(blob)
+            n = len(body) // (width + 4)
+            steps, at = _unplaned(body, n, width, 0)
+            keys.append(np.cumsum(steps, dtype=np.uint64))
+            counts.append(_unplaned(body, n, 4, at)[0].astype(np.int64))
+        key, place = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.bincount(place, np.concatenate(counts), len(key))
+        return pa.table({"h": pa.array(signed(key[n >= least]))})
+
+    return rows.mapInArrow(blocks, "grp long, block binary").groupBy("grp").applyInArrow(counted, "h long")
+
+
 class _Suffixes:
-    """Suffixes of the pieces' words, cut off at ``DEPTH`` words and before the first unlisted word.
+    """Suffixes of the pieces' words, cut off at ``DEPTH`` words and before the first unlisted word or pair.
 
     ``length`` is the number of words of the suffix that begins at each word, 0 for an unlisted one.
     ``stem`` is the number of words of its stem (0: none, as the suffix ends among the extended prefixes)
     and ``key`` the stem's hash.
     """
 
-    def __init__(self, found: Pieces, table: np.ndarray, extended: list[np.ndarray]):
+    def __init__(self, found: Pieces, tables: tuple[np.ndarray, np.ndarray], extended: list[np.ndarray]):
         h = found.hashes()
         n = len(h)
-        listed = _listed(table, h)
+        listed = _listed(tables[0], h)
+        joined = listed[:-1] & listed[1:] & (found.piece[1:] == found.piece[:-1])
+        joined &= _listed(tables[1], _pair_hashes(h))
         self.length = listed.astype(np.int8)
         going = listed.copy()
         for k in range(1, DEPTH):
             m = max(n - k, 0)
             going[m:] = False
-            going[:m] &= listed[k:] & (found.piece[k:] == found.piece[:m])
+            going[:m] &= joined[k - 1 :]
             self.length += going
         self.h = h
         self.stem = np.zeros(n, dtype=np.int8)
@@ -188,37 +248,31 @@ class _Suffixes:
                 break
 
 
-_PARTS = pa.schema(
-    [("kind", pa.int8()), ("lang", pa.string()), ("grp", pa.int64()), ("phrase", pa.string()), ("n", pa.int64()), ("block", pa.binary())]
-)
-_PARTS_DDL = "kind byte, lang string, grp long, phrase string, n long, block binary"
-_WORD, _HEAVY, _BLOCK, _SIZE = 0, 1, 2, 3
+_PARTS = pa.schema([("lang", pa.string()), ("grp", pa.int64()), ("phrase", pa.string()), ("n", pa.int64()), ("block", pa.binary())])
+_PARTS_DDL = "lang string, grp long, phrase string, n long, block binary"
 
 
-def _parts(table: np.ndarray, extended: list[np.ndarray], groups: int):
-    """Counts of all words by language, of listed words and of extended prefixes, and blocks of suffixes by group."""
+def _parts(tables: tuple[np.ndarray, np.ndarray], extended: list[np.ndarray], groups: int):
+    """Blocks of sorted, counted suffixes by group; counts of all words (no phrase) and of extended prefixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
         for found in _pieces(batches):
+            s = _Suffixes(found, tables, extended)
+            here = int(s.h[0] % np.uint64(groups))  # sums of a batch may go to any group
             sizes = np.bincount(found.lang, minlength=len(found.langs)).tolist()
-            yield _batch([(_SIZE, name, None, None, n, None) for name, n in zip(found.langs, sizes) if n])
-            s = _Suffixes(found, table, extended)
+            out = [(name, here, None, n, None) for name, n in zip(found.langs, sizes) if n]
             listed = np.flatnonzero(s.length > 0)
-            if not len(listed):
-                continue
-            _, first, code_of, count = np.unique(s.h[listed], return_index=True, return_inverse=True, return_counts=True)
-            # Hashes name words within this batch only if no two words share one; else by the words themselves.
-            names = found.strings(listed[first])
-            code = np.full(len(s.h), -1, dtype=np.int64)
-            code[listed] = code_of
-            if not _same_words(found, listed, code_of, first):
-                names, code[listed], first, count = _by_word(found, listed)
-            lang = found.lang[listed[first]]
-            out = [(_WORD, found.langs[k], None, w.decode(), n, None) for w, k, n in zip(names, lang.tolist(), count.tolist())]
+            if len(listed):
+                _, first, code_of = np.unique(s.h[listed], return_index=True, return_inverse=True)
+                # Hashes name words within this batch only if no two words share one; else the words do.
+                names = found.strings(listed[first])
+                if not _same_words(found, listed, code_of, first):
+                    names, code_of = _by_word(found, listed)
+                code = np.full(len(s.h), -1, dtype=np.int64)
+                code[listed] = code_of
+                out += _heavy(found, s, names, code, here) + _blocks(found, s, names, code, groups, squeeze)
             yield _batch(out)
-            yield _batch(_heavy(found, s, names, code))
-            yield _batch(_blocks(found, s, names, code, groups, squeeze))
 
     return run
 
@@ -238,11 +292,10 @@ def _same_words(found: Pieces, listed: np.ndarray, code: np.ndarray, first: np.n
     return True
 
 
-def _by_word(found: Pieces, listed: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+def _by_word(found: Pieces, listed: np.ndarray) -> tuple[list[bytes], np.ndarray]:
     known: dict[tuple[int, bytes], int] = {}
-    code = np.array([known.setdefault(w, len(known)) for w in zip(found.lang[listed].tolist(), found.strings(listed))])
-    first, count = np.unique(code, return_index=True, return_counts=True)[1:]
-    return [w for _, w in known], code, first, count
+    code = [known.setdefault(w, len(known)) for w in zip(found.lang[listed].tolist(), found.strings(listed))]
+    return [w for _, w in known], np.array(code, dtype=np.int64)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -269,22 +322,22 @@ def _sorted_counts(codes: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np
     return codes[:, begins], np.add.reduceat(count, begins), order[begins]
 
 
-def _heavy(found: Pieces, s: _Suffixes, names: list[bytes], code: np.ndarray) -> list[tuple]:
-    """Counts of the extended prefixes of two words or more; those of one word are counted as words."""
+def _heavy(found: Pieces, s: _Suffixes, names: list[bytes], code: np.ndarray, group: int) -> list[tuple]:
+    """Counts of the extended prefixes."""
     out = []
-    for k in range(2, DEPTH):
+    for k in range(1, DEPTH):
         # The prefix of k words is extended if the stem is longer, or if the suffix ends without one.
         at = np.flatnonzero((s.length >= k) & ((s.stem > k) | (s.stem == 0)))
         if len(at):
             codes, count, first = _sorted_counts(_codes(s, at, code, np.full(len(at), k)), np.ones(len(at), dtype=np.int64))
             for c, n, f in zip(codes[:k].T.tolist(), count.tolist(), first.tolist()):
-                out.append((_HEAVY, found.langs[found.lang[at[f]]], None, b" ".join(names[i] for i in c).decode(), n, None))
+                out.append((found.langs[found.lang[at[f]]], group, b" ".join(names[i] for i in c).decode(), n, None))
     return out
 
 
 def _blocks(found: Pieces, s: _Suffixes, names: list[bytes], code: np.ndarray, groups: int, squeeze) -> list[tuple]:
     """One block for every group: its words, its distinct suffixes as places in that list, counts and stems."""
-    at = np.flatnonzero((s.length >= 2) & (s.stem > 0))
+    at = np.flatnonzero(s.stem > 0)
     if not len(at):
         return []
     group = (s.key[at] % np.uint64(groups)).astype(np.int64)
@@ -297,49 +350,61 @@ def _blocks(found: Pieces, s: _Suffixes, names: list[bytes], code: np.ndarray, g
         rows = at[a:b]
         codes, count, first = _sorted_counts(_codes(s, rows, code, s.length[rows]), np.ones(len(rows), dtype=np.int64))
         used, local = np.unique(codes, return_inverse=True)
-        local = local.reshape(codes.shape).astype(np.int32)
-        if used[0] == -1:
-            used, local = used[1:], local - 1
-        words = b"\n".join(names[i] for i in used.tolist())
-        head = np.array([len(words), codes.shape[1]], dtype=np.int64)
-        body = b"".join([head.tobytes(), words, local.tobytes(), count.tobytes(), s.stem[rows[first]].tobytes()])
-        out.append((_BLOCK, found.langs[lang[a]], int(group[a]), None, None, squeeze.compress(body)))
+        local = local.reshape(codes.shape) + (used[0] != -1)  # 0: no word
+        used = used[used >= 0].tolist()
+        words = sorted((names[i], k) for k, i in enumerate(used, 1))  # like words side by side pack well
+        moved = np.zeros(len(used) + 1, dtype=np.int64)
+        moved[[k for _, k in words]] = np.arange(1, len(used) + 1)
+        listing = b"\n".join(w for w, _ in words)
+        width = 2 if len(used) < 1 << 16 else 4
+        head = np.array([len(listing), codes.shape[1], width], dtype=np.int64).tobytes()
+        columns = b"".join(_planes(moved[c], width) for c in local)
+        body = b"".join([head, listing, columns, _planes(count, 4), s.stem[rows[first]].tobytes()])
+        out.append((found.langs[lang[a]], int(group[a]), None, None, squeeze.compress(body)))
     return out
 
 
 def _subtrees(least: int):
-    """Phrases of two words or more with their counts, from the blocks of one group and language."""
+    """(lang, phrase, f): nodes of the subtrees of one group and language, and sums of what else came along."""
 
     def run(table: pa.Table) -> pa.Table:
         expand = zstandard.ZstdDecompressor()
         known: dict[bytes, int] = {}
         parts = []
-        for blob in table.column("block").to_pylist():
+        blocks = table.column("block")
+        for blob in blocks.drop_null().to_pylist():
             body = expand.decompress(blob)
-            size, n = np.frombuffer(body, dtype=np.int64, count=2)
-            words = body[16 : 16 + size].split(b"\n")
-            at = np.array([known.setdefault(w, len(known)) for w in words] + [-1], dtype=np.int32)
-            at_codes = 16 + int(size)
-            codes = np.frombuffer(body, dtype=np.int32, count=DEPTH * n, offset=at_codes).reshape(DEPTH, n)
-            at_counts = at_codes + 4 * DEPTH * int(n)
-            count = np.frombuffer(body, dtype=np.int64, count=n, offset=at_counts)
-            stem = np.frombuffer(body, dtype=np.int8, count=n, offset=at_counts + 8 * int(n))
-            parts.append((at[codes], count, stem))
-        codes, count, stem = (np.concatenate([p[i] for p in parts], axis=-1) for i in range(3))
-        # The leaves of the group's subtrees from left to right, each with its total.
-        codes, count, first = _sorted_counts(codes, count)
-        stem = stem[first]
-        names = list(known)
-        phrases, totals = [], []
-        for k in range(2, DEPTH + 1):
-            new = np.ones(codes.shape[1], dtype=bool)
-            new[1:] = (codes[:k, 1:] != codes[:k, :-1]).any(axis=0)
-            begins = np.flatnonzero(new)
-            total = np.add.reduceat(count, begins)
-            # Nodes above the stem have leaves in other groups; they are counted by themselves.
-            kept = (total >= least) & (codes[k - 1, begins] >= 0) & (stem[begins] <= k)
-            phrases += [b" ".join(names[i] for i in c).decode() for c in codes[:k, begins[kept]].T.tolist()]
-            totals += total[kept].tolist()
+            size, n, width = np.frombuffer(body, dtype=np.int64, count=3).tolist()
+            words = body[24 : 24 + size].split(b"\n")
+            place = np.array([-1] + [known.setdefault(w, len(known)) for w in words], dtype=np.int32)
+            codes, at = np.empty((DEPTH, n), dtype=np.int32), 24 + size
+            for k in range(DEPTH):
+                local, at = _unplaned(body, n, width, at)
+                codes[k] = place[local.astype(np.int64)]
+            count, at = _unplaned(body, n, 4, at)
+            parts.append((codes, count.astype(np.int64), np.frombuffer(body, dtype=np.int8, count=n, offset=at)))
+        phrases: list[str | None] = []
+        totals: list[int] = []
+        if parts:
+            codes, count, stem = (np.concatenate([p[i] for p in parts], axis=-1) for i in range(3))
+            parts.clear()
+            # The leaves of the group's subtrees from left to right, each with its total.
+            codes, count, first = _sorted_counts(codes, count)
+            stem = stem[first]
+            names = list(known)
+            new = np.zeros(codes.shape[1], dtype=bool)
+            new[0] = True
+            for k in range(1, DEPTH + 1):
+                new[1:] |= codes[k - 1, 1:] != codes[k - 1, :-1]
+                begins = np.flatnonzero(new)
+                total = np.add.reduceat(count, begins)
+                # Nodes above the stem have leaves in other groups; they are counted by themselves.
+                kept = (total >= least) & (codes[k - 1, begins] >= 0) & (stem[begins] <= k)
+                phrases += [b" ".join(names[i] for i in c).decode() for c in codes[:k, begins[kept]].T.tolist()]
+                totals += total[kept].tolist()
+        sums = table.filter(pc.is_null(blocks)).select(["phrase", "n"]).group_by("phrase").aggregate([("n", "sum")])
+        phrases += sums.column("phrase").to_pylist()
+        totals += sums.column("n_sum").to_pylist()
         lang = table.column("lang")[0].as_py()
         return pa.table({"lang": pa.array([lang] * len(phrases), pa.string()), "phrase": pa.array(phrases, pa.string()), "f": pa.array(totals, pa.int64())})
 
@@ -360,10 +425,12 @@ def phrase_counts(
     words = stored(_counted(rows, lambda found: found.hashes()))
     total = words.agg(F.sum("n")).first()[0] or 0
     budget = max(budget, -(-total // MOST_EXTENDED))
-    table = _table(words.where(F.col("n") >= least))
+    groups = int(max(1, -(-2 * total // budget)))
+    listed = _table(words.where(F.col("n") >= least))
+    tables = listed, _table(_frequent_pairs(rows, listed, groups, least))
 
     def over(counts: DataFrame) -> np.ndarray:
-        """Sorted hashes of the prefixes over budget: at most MOST_EXTENDED, since a prefix has a budget's share of the words."""
+        """Sorted hashes of the prefixes over budget: at most MOST_EXTENDED, since each has a budget's share of the words."""
         return np.sort(np.array([r["h"] for r in counts.where(F.col("n") > budget).select("h").collect()], dtype=np.int64).view(np.uint64))
 
     extended = [over(words)]
@@ -371,18 +438,15 @@ def phrase_counts(
         k = len(extended) + 1
 
         def prefixes(found: Pieces, extended=tuple(extended), k=k) -> np.ndarray:
-            s = _Suffixes(found, table, list(extended))
+            s = _Suffixes(found, tables, list(extended))
             return s.key[s.stem == k]
 
         extended.append(over(_counted(rows, prefixes)))
-    groups = int(max(1, -(-2 * total // budget)))
-    parts = stored(rows.mapInArrow(_parts(table, extended, groups), _PARTS_DDL))
-
-    small = parts.where(F.col("kind").isin(_WORD, _HEAVY)).groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    blocks = parts.where(F.col("kind") == _BLOCK).select("lang", "grp", "block")
-    found = blocks.groupBy("lang", "grp").applyInArrow(_subtrees(least), "lang string, phrase string, f long")
-    sizes = parts.where(F.col("kind") == _SIZE).groupBy("lang").agg(F.sum("n").alias("n"))
-    return stored(small.union(found)), sizes
+    # Every row moves once: blocks to their groups, sums of a batch to any.
+    parts = rows.mapInArrow(_parts(tables, extended, groups), _PARTS_DDL)
+    nodes = stored(parts.groupBy("lang", "grp").applyInArrow(_subtrees(least), "lang string, phrase string, f long"))
+    counts = nodes.where("phrase is not null").groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    return stored(counts), nodes.where("phrase is null").groupBy("lang").agg(F.sum("f").alias("n"))
 
 
 def collocations(
