@@ -13,15 +13,21 @@ from functools import lru_cache, wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinshot.operators.blocks import asked_blocks, store_blocks, to_blocks
 from twinshot.operators.keys import materialise
 from twinshot.operators.pairs import near_pairs, with_time_diff
-from twinshot.operators.raster import with_extent
+from twinshot.operators.raster import assign_tile, split_alerts, window2, window3, with_extent
+from twinshot.schemas import PROFILE_HEIGHTS
 
 YEARS = [1996, 1997, 1998, 1999]
 EPOCH = "1994-12-31"
-ROWS, COLS = 208, 400
+ROWS, COLS = 68, 128
 STEP = 0.00025
-TILE_ORDERS = 15_000
+TILE_ORDERS = 1_500
+# Degrees between tiles, and the width of the square that a tile's shots lie in.
+TILE_STEP, SPREAD = 0.04, 0.016
+# Of ten tiles one has no pixels in any raster, and one is missing altogether.
+EMPTY, MISSING = 4, 7
 METRICS = ["agbd_a0", "rh_98_a0", "rh_50_a0"]
 # A concave outline with corners off the grid of the points.
 REGION = [
@@ -80,8 +86,8 @@ def shots(spark: SparkSession, sf_dir: str) -> DataFrame:
     tile = F.coalesce(F.floor(F.col("o_orderkey") / TILE_ORDERS), F.lit(0))
     return o.select(
         F.coalesce(shot_number(), F.lit(0)).alias("shot_number"),
-        (F.lit(-60.0) + tile * F.lit(0.1) + unit("x", "o_orderkey") * 0.05).alias("lon"),
-        (F.lit(-5.0) + unit("y", "o_orderkey") * 0.05).alias("lat"),
+        (F.lit(-60.0) + tile * F.lit(TILE_STEP) + unit("x", "o_orderkey") * SPREAD).alias("lon"),
+        (F.lit(-5.0) + unit("y", "o_orderkey") * SPREAD).alias("lat"),
         F.col("o_orderdate").cast("timestamp").alias("absolute_time"),
         F.when(F.col("o_orderstatus") == "P", 0).otherwise(1).alias("l4_quality_flag"),
         (F.col("o_totalprice") / 1000).alias("agbd_a0"),
@@ -102,11 +108,32 @@ def shot_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@stored
+def shot_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plant area profile of every shot, 0 to 100 in steps of 5, falling with height."""
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate")
+    total, bend = unit("p", "o_orderkey") * 6, unit("q", "o_orderkey")
+    at = [(total * (1 - h / 100) * (1 - bend * (h / 100))).alias(f"pai_{h}") for h in PROFILE_HEIGHTS]
+    return o.select(shot_number().alias("shot_num"), "o_orderkey", *at)
+
+
+def found_pairs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Near pairs carrying the given shot columns on both sides, found anew."""
+    keep = dict.fromkeys(["shot_number", "lon", "lat", *columns])
+    return near_pairs(shots(spark, sf_dir).select(*keep))
+
+
+@stored
+def pair_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near pairs as the distance join leaves them for all later steps."""
+    return found_pairs(spark, sf_dir, "absolute_time", *METRICS)
+
+
 @plan
 def pairs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Near pairs carrying the given shot columns on both sides."""
     keep = dict.fromkeys(["shot_number", "lon", "lat", *columns])
-    return near_pairs(shots(spark, sf_dir).select(*keep))
+    return pair_table(spark, sf_dir).select(*[f"{t}_{c}" for t in ("t1", "t2") for c in keep], "distance_m")
 
 
 @plan
@@ -114,16 +141,23 @@ def timed_pairs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return with_time_diff(pairs(spark, sf_dir, "absolute_time", *columns))
 
 
+@stored
+def asked(spark: SparkSession, sf_dir: str, window: int) -> DataFrame:
+    """Raster blocks that the windows of the pairs lie in."""
+    placed = assign_tile(pairs(spark, sf_dir), tiles(spark, sf_dir))
+    return asked_blocks(window2(placed) if window == 2 else window3(placed))
+
+
 # ----- rasters ----------------------------------------------------------------------
 
 
 def geo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Georeference of the tiles the orders fall on."""
+    """Georeference of the tiles the orders fall on, without the missing ones."""
     o = _source(spark, f"{sf_dir}/orders.parquet")[0]
-    n = o.select(F.floor(F.col("o_orderkey") / TILE_ORDERS).alias("k")).distinct()
+    n = o.select(F.floor(F.col("o_orderkey") / TILE_ORDERS).alias("k")).distinct().where(F.col("k") % 10 != MISSING)
     return n.select(
         F.concat(F.lit("T"), F.col("k").cast("string")).alias("tile"),
-        (F.lit(-60.001) + F.col("k") * F.lit(0.1)).alias("x0"),
+        (F.lit(-60.001) + F.col("k") * F.lit(TILE_STEP)).alias("x0"),
         F.lit(-5.001).alias("y0"),
         F.lit(STEP).alias("dx"),
         F.lit(STEP).alias("dy"),
@@ -137,10 +171,11 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every pixel of every tile: ``tile, row, col``."""
+    """Every pixel of every tile but the empty ones: ``tile, row, col``."""
     rows = F.explode(F.sequence(F.lit(0), F.lit(ROWS - 1)))
     cols = F.explode(F.sequence(F.lit(0), F.lit(COLS - 1)))
-    lines = geo(spark, sf_dir).select("tile", rows.alias("row"))
+    filled = geo(spark, sf_dir).where(F.substring("tile", 2, 9).cast("int") % 10 != EMPTY)
+    lines = filled.select("tile", rows.alias("row"))
     # A handful of tile rows would otherwise unfold to all pixels in one task.
     lines = lines.repartition(spark.sparkContext.defaultParallelism, "tile", "row")
     return lines.select("tile", "row", cols.alias("col"))
@@ -150,8 +185,7 @@ def _mod(a: int, b: int, m: int) -> Column:
     return (F.col("row") * a + F.col("col") * b) % m
 
 
-@stored
-def yearly_pixels(spark: SparkSession, sf_dir: str, mod: int = 11, deforestation: bool = False) -> DataFrame:
+def yearly_formula(spark: SparkSession, sf_dir: str, mod: int = 11, deforestation: bool = False) -> DataFrame:
     """Class maps 1996..1999: 1, then 2 from a first year on; 3 from a deforestation year on."""
     code = _mod(31, 17, mod)
     first = F.when(code == 0, 1997).when(code == 1, 1998).when(code == 2, 1996).when(code == 3, 1997).otherwise(9999)
@@ -163,6 +197,9 @@ def yearly_pixels(spark: SparkSession, sf_dir: str, mod: int = 11, deforestation
     return grid(spark, sf_dir).select("tile", "row", "col", vals.alias("vals"))
 
 
+yearly_pixels = stored(yearly_formula)
+
+
 @stored
 def alert_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw CDDDD codes; one pixel in six has one."""
@@ -177,15 +214,39 @@ def alert_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid(spark, sf_dir).select("tile", "row", "col", (_mod(1, 3, 10) != 0).cast("int").alias("mask"))
 
 
-@stored
-def intensity_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stored_blocks(*values: str):
+    """Write the pixels that a formula gives once per session, as a block raster partitioned by tile."""
+
+    def wrap(derive):
+        @lru_cache(maxsize=None)
+        @wraps(derive)
+        def read(spark: SparkSession, sf_dir: str, *args, **kw) -> DataFrame:
+            return store_blocks(to_blocks(derive(spark, sf_dir, *args, **kw), list(values)))
+
+        return read
+
+    return wrap
+
+
+@stored_blocks("vals")
+def yearly_raster(spark: SparkSession, sf_dir: str, mod: int = 11, deforestation: bool = False) -> DataFrame:
+    return yearly_formula(spark, sf_dir, mod, deforestation)
+
+
+@stored_blocks("confidence", "day")
+def alert_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_alerts(alert_codes(spark, sf_dir), alert_mask(spark, sf_dir))
+
+
+@stored_blocks("disrupt", "valid")
+def intensity_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     valid = [(F.col("row") * 3 + F.col("col") * 5 + b * 7) % 12 for b in range(4)]
     disrupt = [F.least(v, (F.col("row") + F.col("col") * 2 + b) % 6) for b, v in enumerate(valid)]
     return grid(spark, sf_dir).select("tile", "row", "col", F.array(*disrupt).alias("disrupt"), F.array(*valid).alias("valid"))
 
 
-@stored
-def burns(spark: SparkSession, sf_dir: str) -> DataFrame:
+@stored_blocks("days")
+def burn_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = [(F.col("row") * 11 + F.col("col") * 5 + b * 131) % 730 for b in range(4)]
     return grid(spark, sf_dir).select(
         "tile", "row", "col", F.array(*[F.when(d <= 365, d).otherwise(0) for d in days]).alias("days")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 R_EARTH = "6371008.7714e0"
-REGION_EDGES: list = []
 
 
 def u(k: str, col: str = "o_orderkey") -> str:
@@ -49,12 +48,12 @@ def _both(t: str, cols=PAIR_COLS) -> str:
 def _cells2() -> str:
     """The 2 x 2 cells of a pair at p = 1..4 (x offset outer)."""
     return """
-      select *, case when i=0 then x0i else x1i end as col, case when j=0 then y0i else y1i end as row from (
+      select *, case when i=0 then x0i else x1i end as col, case when tile_n%10=4 then null when j=0 then y0i else y1i end as row from (
         select *, x0i + case when ux < x0i+0.5e0 then -1 else 1 end as x1i, y0i + case when uy < y0i+0.5e0 then -1 else 1 end as y1i from (
-          select *, greatest(0, least(399, ceil(ux)::bigint-1)) as x0i, greatest(0, least(207, ceil(uy)::bigint-1)) as y0i from (
-            select *, (t2_lon-(-60.001e0+tile_n*0.1e0))/0.00025e0 as ux, (t2_lat-(-5.001e0))/0.00025e0 as uy from pairs)))
+          select *, greatest(0, least(127, ceil(ux)::bigint-1)) as x0i, greatest(0, least(67, ceil(uy)::bigint-1)) as y0i from (
+            select *, (t2_lon-(-60.001e0+tile_n*0.04e0))/0.00025e0 as ux, (t2_lat-(-5.001e0))/0.00025e0 as uy from pairs where tile_n%10<>7)))
       , (values (1,0,0),(2,0,1),(3,1,0),(4,1,1)) w(p,i,j)
-      where x1i between 0 and 399 and y1i between 0 and 207"""
+      where x1i between 0 and 127 and y1i between 0 and 67"""
 
 
 def _yearly_rows(f: str, g: str | None) -> str:
@@ -91,14 +90,14 @@ CTES: dict[str, tuple[list[str], str]] = {
     "shots": (
         [],
         f"""select date_diff('day', date '1995-01-01', o_orderdate::date)::bigint*1000000+o_orderkey as shot_number,
-          -60e0+floor(o_orderkey/15000)*0.1e0+{u('x')}*0.05e0 as lon, -5e0+{u('y')}*0.05e0 as lat,
+          -60e0+floor(o_orderkey/1500)*0.04e0+{u('x')}*0.016e0 as lon, -5e0+{u('y')}*0.016e0 as lat,
           o_orderdate as absolute_time, case when o_orderstatus='P' then 0 else 1 end as l4_quality_flag,
           o_totalprice/1000 as agbd_a0, o_totalprice/10000 as rh_98_a0,
           o_totalprice/10000*(0.2e0+{u('h')}*0.6e0) as rh_50_a0 from orders""",
     ),
     "pairs": (
         ["shots"],
-        f"""select *, (t2_shot_number%1000000)//15000 as tile_n,
+        f"""select *, (t2_shot_number%1000000)//1500 as tile_n,
           date_diff('day', t1_absolute_time::date, t2_absolute_time::date) as time_diff, {hav('t1', 't2')} as distance_m
           from (select {_both('t1')}, {_both('t2')} from shots t1 join shots t2 on t1.shot_number < t2.shot_number
             and t2.lat between t1.lat-0.0004e0 and t1.lat+0.0004e0) where {hav('t1', 't2')} <= 40e0""",
@@ -106,11 +105,11 @@ CTES: dict[str, tuple[list[str], str]] = {
     "cells2": (["pairs"], _cells2()),
     "cells3": (
         ["pairs"],
-        """select *, xc+i as col, yc+j as row, (i+1)*3+(j+1)+1 as p from (
-             select *, greatest(0, least(399, ceil(ux-0.5e0)::bigint)) as xc, greatest(0, least(207, ceil(uy-0.5e0)::bigint)) as yc from (
-               select *, (t2_lon-(-60.001e0+tile_n*0.1e0))/0.00025e0 as ux, (t2_lat-(-5.001e0))/0.00025e0 as uy from pairs))
+        """select *, xc+i as col, case when tile_n%10=4 then null else yc+j end as row, (i+1)*3+(j+1)+1 as p from (
+             select *, greatest(0, least(127, ceil(ux-0.5e0)::bigint)) as xc, greatest(0, least(67, ceil(uy-0.5e0)::bigint)) as yc from (
+               select *, (t2_lon-(-60.001e0+tile_n*0.04e0))/0.00025e0 as ux, (t2_lat-(-5.001e0))/0.00025e0 as uy from pairs where tile_n%10<>7))
            , (values (-1),(0),(1)) a(i), (values (-1),(0),(1)) b(j)
-           where xc between 1 and 398 and yc between 1 and 206""",
+           where xc between 1 and 126 and yc between 1 and 66""",
     ),
     "yearly": (["cells2"], _yearly_rows(_first(deg("row", "col", 11)), None)),
     "labelled": (
@@ -139,15 +138,21 @@ CTES: dict[str, tuple[list[str], str]] = {
     ),
     "matched2": (["strata"], "select * from strata where bin is not null and rn <= least(nc, nt)"),
     "alerts0": (["cells3"], _alert_rows("0", 3)),
+    "treated": (
+        ["alerts0"],
+        """select * exclude (r1, r2) from (select *, row_number() over (partition by t2_shot_number order by t1_shot_number) as r2 from (
+             select *, row_number() over (partition by t1_shot_number order by t2_shot_number) as r1 from alerts0
+             where measured_disturbance > 0) where r1=1) where r2=1""",
+    ),
     "aged": (
-        ["alerts0", "pairs"],
+        ["treated", "pairs"],
         """select *, days_since_disturbance//30 as months from (
              select p.*, m as mode_disturb_days, date_diff('day', date '1994-12-31', t2_absolute_time::date) - m as days_since_disturbance
              from (select t1_shot_number, t2_shot_number, min(d) as m from (
                select *, max(c) over (partition by t1_shot_number, t2_shot_number) as top from (
                  select t1_shot_number, t2_shot_number, d, count(*) as c from (
                    select t1_shot_number, t2_shot_number, unnest([p1_disturb_date,p2_disturb_date,p3_disturb_date,p4_disturb_date,p5_disturb_date,p6_disturb_date,p7_disturb_date,p8_disturb_date,p9_disturb_date]) as d
-                   from alerts0 where measured_disturbance > 0) where d <> 0 group by 1,2,3)) where c = top group by 1,2)
+                   from treated) where d <> 0 group by 1,2,3)) where c = top group by 1,2)
              join pairs p using (t1_shot_number, t2_shot_number)) where days_since_disturbance >= 0""",
     ),
     "intensity": (
@@ -172,18 +177,31 @@ CTES: dict[str, tuple[list[str], str]] = {
         )
         + " from (select *, "
         + ", ".join(f"case when (row*11+col*5+{b * 131})%730<=365 then (row*11+col*5+{b * 131})%730 else 0 end as v{b}" for b in range(4))
-        + """ from (select *, greatest(0, least(399, ceil((t2_lon-(-60.001e0+tile_n*0.1e0))/0.00025e0-0.5e0)::bigint)) as col,
-               greatest(0, least(207, ceil((t2_lat-(-5.001e0))/0.00025e0-0.5e0)::bigint)) as row from pairs)))""",
+        + """ from (select *, greatest(0, least(127, ceil((t2_lon-(-60.001e0+tile_n*0.04e0))/0.00025e0-0.5e0)::bigint)) as col,
+               case when tile_n%10=4 then null else greatest(0, least(67, ceil((t2_lat-(-5.001e0))/0.00025e0-0.5e0)::bigint)) end as row from pairs where tile_n%10<>7)))""",
     ),
     "grid": (
         [],
         """select 'T'||k::varchar as tile, k, r::int as row, c::int as col from
-             (select distinct o_orderkey//15000 as k from orders), range(208) a(r), range(400) b(c)""",
+             (select distinct o_orderkey//1500 as k from orders where (o_orderkey//1500)%10 not in (4, 7)), range(68) a(r), range(128) b(c)""",
     ),
     "burned": (
-        ["burn"],
+        ["burn", "treated"],
         """select *, not (t2_rh_98_a0 >= 0.65e0*t1_rh_98_a0) as canopy_lost from burn
-           where interceding_burn and t1_rh_98_a0 >= 5 and t1_rh_50_a0 >= 2.5e0""",
+           semi join treated using (t1_shot_number, t2_shot_number) where interceding_burn and t1_rh_98_a0 >= 5 and t1_rh_50_a0 >= 2.5e0""",
+    ),
+    "profiles": (
+        [],
+        f"""select *, -- plant area above h, at the ground, at a third of the height and at the top
+            p as pai_0, p*(1-b/100e0)*(1-q*(b/100e0)) as pai_b, 0e0 as pai_100 from (
+          select o_orderkey, date_diff('day', date '1995-01-01', o_orderdate::date)::bigint*1000000+o_orderkey as shot,
+            {u('p')}*6 as p, {u('q')} as q, (floor(o_totalprice/10000/3/5)*5)::int as b from orders)""",
+    ),
+    "split": (
+        ["profiles", "treated", "pairs"],
+        """select t.t1_shot_number, t.t2_shot_number, a.b as t1_mid_tch_bucket, a.pai_b-a.pai_100 as t1_upper, a.pai_0-a.pai_b as t1_lower,
+             b.p*(1-a.b/100e0)*(1-b.q*(a.b/100e0))-b.pai_100 as t2_upper, b.pai_0-b.p*(1-a.b/100e0)*(1-b.q*(a.b/100e0)) as t2_lower
+           from treated t join profiles a on a.shot=t1_shot_number join profiles b on b.shot=t2_shot_number""",
     ),
     "globe": (
         [],
@@ -358,8 +376,8 @@ def build(region: list, chunk_region: list) -> dict[str, str]:
         round(-4e0*(1+('0x'||substr(md5('y'||o_orderkey::varchar),1,13))::bigint/4503599627370496e0),9) as lat from orders"""
     q["tile_tokens_from_paths"] = """select case when c_nationkey%2=0 then 'ID'||c_nationkey::varchar||'_'||c_mktsegment
         else 'S9_W'||(c_nationkey+60)::varchar||'-0000016384-0000000000' end as tile, count(*) as n from customer group by 1 having count(*)>1"""
-    q["tile_index"] = """select 'T'||k::varchar as tile, 400::int as nx, 208::int as ny, round(-60.001e0+k*0.1e0,6) as xmin, -5.001e0 as ymin,
-        round(-60.001e0+k*0.1e0+400*0.00025e0,6) as xmax, round(-5.001e0+208*0.00025e0,6) as ymax from (select distinct o_orderkey//15000 as k from orders)"""
+    q["tile_index"] = """select 'T'||k::varchar as tile, 128::int as nx, 68::int as ny, round(-60.001e0+k*0.04e0,6) as xmin, -5.001e0 as ymin,
+        round(-60.001e0+k*0.04e0+128*0.00025e0,6) as xmax, round(-5.001e0+68*0.00025e0,6) as ymax from (select distinct o_orderkey//1500 as k from orders where (o_orderkey//1500)%10 not in (4, 7))"""
     q["stack_yearly_bands"] = sql(
         "select tile, row, col, " + ", ".join(f"case when {y} >= {deg('row','col',11)} then 2 else 1 end::int as y{y}" for y in (1996, 1997, 1998, 1999)) + " from grid", "grid")
     q["prefixed_shots"] = sql("""select shot_number as t1_shot_number, round(lon,6) as t1_lon, round(lat,6) as t1_lat,
@@ -373,13 +391,13 @@ def build(region: list, chunk_region: list) -> dict[str, str]:
         count(*) as n from (select floor(lon/10)*10 as x, floor(lat/10)*10+10 as y from globe) group by 1""", "globe")
     q["geo_partition_cells"] = sql("""select (trunc(lon/2)*360+trunc(lat/2))::int as cell, count(*) as n, 1::bigint as partitions, 0::bigint as out_of_range
         from globe group by 1""", "globe")
-    q["raster_indices"] = sql("""select shot_number, 'T'||k::varchar as tile, greatest(0,least(399,ceil(ux-0.5e0)::bigint)) as nearest, i0 as first,
+    q["raster_indices"] = sql("""select shot_number, 'T'||k::varchar as tile, greatest(0,least(127,ceil(ux-0.5e0)::bigint)) as nearest, i0 as first,
         i0+case when ux < i0+0.5e0 then -1 else 1 end as second, floor(ux)::bigint as floor from (
-        select *, greatest(0,least(399,ceil(ux)::bigint-1)) as i0 from (
-        select shot_number, k, (lon-(-60.001e0+k*0.1e0))/0.00025e0 as ux from (select *, (shot_number%1000000)//15000 as k from shots)))""", "shots")
+        select *, greatest(0,least(127,ceil(ux)::bigint-1)) as i0 from (
+        select shot_number, k, (lon-(-60.001e0+k*0.04e0))/0.00025e0 as ux from (select *, (shot_number%1000000)//1500 as k from shots) where k%10<>7))""", "shots")
     q["cropped_pixels"] = sql("""select tile, row, col, round(lon,6) as lon, round(lat,6) as lat, nullif(v%7,0)::double as value from (
         select tile, row, col, case when (row*7+col*11)%6=0 then ((row*3+col*5)%5)*10000+(row*37+col*101)%2500+1 else 0 end as v,
-          -60.001e0+k*0.1e0+(col+0.5e0)*0.00025e0 as lon, -5.001e0+(row+0.5e0)*0.00025e0 as lat from grid)
+          -60.001e0+k*0.04e0+(col+0.5e0)*0.00025e0 as lon, -5.001e0+(row+0.5e0)*0.00025e0 as lat from grid)
         where lon between -59.99e0 and -59.98e0 and lat between -4.99e0 and -4.985e0""", "grid")
     q["sampled_pairs"] = sql("""select t1_shot_number, t2_shot_number from pairs
         where ('0x'||substr(md5(t1_shot_number::varchar||'|'||t2_shot_number::varchar),1,8))::bigint < 429496729""", "pairs")
@@ -398,8 +416,8 @@ def build(region: list, chunk_region: list) -> dict[str, str]:
         extra="""m as (select date_diff('day', date '1995-01-01', o_orderdate::date)::bigint*1000000+o_orderkey as k, o_totalprice/1000 as agbd,
           o_totalprice/10000 as rh from orders join customer on o_custkey=c_custkey where not c_acctbal<0)""")
     q["closer_than_30m"] = sql("select t1_shot_number, t2_shot_number from pairs where distance_m < 30", "pairs")
-    q["placed_pairs"] = sql("select t1_shot_number, t2_shot_number, 'T'||tile_n::varchar as tile from pairs", "pairs")
-    q["overlay_yearly"] = sql(f"""select t1_shot_number, t2_shot_number, 'T'||((t2_shot_number%1000000)//15000)::varchar as tile, {HITS4} from yearly""", "yearly")
+    q["placed_pairs"] = sql("select t1_shot_number, t2_shot_number, 'T'||tile_n::varchar as tile from pairs where tile_n%10<>7", "pairs")
+    q["overlay_yearly"] = sql(f"""select t1_shot_number, t2_shot_number, 'T'||((t2_shot_number%1000000)//1500)::varchar as tile, {HITS4} from yearly""", "yearly")
     # Deforestation wins from its year on, so degradation shows only if it starts earlier.
     d, g = deg("row", "col", 11), defo("row", "col")
     q["overlay_yearly_no_deforestation"] = sql(
@@ -408,14 +426,14 @@ def build(region: list, chunk_region: list) -> dict[str, str]:
     q["overlay_alerts_any_confidence"] = sql(f"select t1_shot_number, t2_shot_number, {HITS9} from ({_alert_rows('0', None)})", "cells3")
     q["split_alert_codes"] = sql("""select tile, row, col, ((row*3+col*5)%5)::int as confidence, ((row*37+col*101)%2500+1)::int as day from grid
         where (row*7+col*11)%6=0 and (row+col*3)%10<>0""", "grid")
-    q["unmatched_tiles"] = """select round(-60.001e0+k*0.1e0,6) as xmin, case when k%3<>1 and side<>'b' then 'T'||k::varchar end as a_tile,
+    q["unmatched_tiles"] = """select round(-60.001e0+k*0.04e0,6) as xmin, case when k%3<>1 and side<>'b' then 'T'||k::varchar end as a_tile,
         case when side<>'a' then 'T'||k::varchar end as b_tile,
         case side when 'a' then 'a_only' when 'b' then 'b_only' else 'both' end as status from (
-        select k, unnest(case when k%3=1 then ['b'] when k%3=2 then ['a','b'] else ['ab'] end) as side from (select distinct o_orderkey//15000 as k from orders))"""
-    q["window_lookup"] = sql(f"select p, (case when 1999 >= {deg('row','col',11)} then 2 else 1 end)::int as class, count(*) as n from cells2 group by 1,2", "cells2")
+        select k, unnest(case when k%3=1 then ['b'] when k%3=2 then ['a','b'] else ['ab'] end) as side from (select distinct o_orderkey//1500 as k from orders where (o_orderkey//1500)%10<>7))"""
+    q["window_lookup"] = sql(f"select p, (case when 1999 >= {deg('row','col',11)} then 2 else 1 end)::int as class, count(*) as n from cells2 where row is not null group by 1,2", "cells2")
     for name, mods in (("intact_pairs", (97,)), ("intact_in_both", (97, 89))):
         ok = " and ".join(f"sum(case when {deg('row','col',m)}<>9999 then 1 else 0 end)=0" for m in mods)
-        q[name] = sql(f"select t1_shot_number, t2_shot_number from cells3 group by 1,2 having {ok}", "cells3")
+        q[name] = sql(f"select t1_shot_number, t2_shot_number from cells3 group by 1,2 having {ok} and count(row)=9", "cells3")
     q["overlay_intensity"] = sql("select t1_shot_number, t2_shot_number, round(disturb_intensity, 4) as disturb_intensity from intensity", "intensity")
     q["overlay_burn"] = sql("select t1_shot_number, t2_shot_number, burn_bool_1996, burn_bool_1997, burn_bool_1998, burn_bool_1999, interceding_burn from burn", "burn")
     q["group_counts"] = sql("select sample_grp, count(*) as n from labelled group by 1", "labelled")
@@ -468,9 +486,17 @@ def build(region: list, chunk_region: list) -> dict[str, str]:
     q["burned_shares"] = sql("""select count(*) as n, round(100.0e0*count(case when not canopy_lost then 1 end)/count(*),6) as canopy_kept,
         round(100.0e0*count(case when not canopy_lost and t2_rh_50_a0<=2.5e0 then 1 end)/nullif(count(case when not canopy_lost then 1 end),0),6) as under_lost_of_kept,
         round(100.0e0*count(case when not canopy_lost and t2_rh_50_a0<=2.5e0 then 1 end)/count(*),6) as kept_under_lost from burned""", "burned")
-    q["profile_split"] = """select o_orderkey, b as bucket, round(abs(embedding[b//5+1])::double*(21-b//5)-abs(embedding[21])::double*1,6) as upper_pai,
-        round(abs(embedding[1])::double*21-abs(embedding[b//5+1])::double*(21-b//5),6) as lower_pai from (
-        select o_orderkey, (floor(o_totalprice/10000/3/5)*5)::int as b, embedding from orders join embeddings on o_orderkey=vec_id)"""
+    q["profile_split"] = sql("select o_orderkey, b as bucket, round(pai_b-pai_100,6) as upper_pai, round(pai_0-pai_b,6) as lower_pai from profiles", "profiles")
+    q["profile_split_pairs"] = sql("""select t1_shot_number, t2_shot_number, t1_mid_tch_bucket, round(t1_upper,6) as t1_upper_pai, round(t1_lower,6) as t1_lower_pai,
+        round(t2_upper,6) as t2_upper_pai, round(t2_lower,6) as t2_lower_pai from split""", "split")
+    q["profile_density"] = sql("""select story, series, point::int as point, round(x,6) as x,
+        round(sum(exp(-0.5e0*pow((x-value)/bw,2)))/(any_value(n)*any_value(bw)*sqrt(2*pi())),8) as density from (
+          select *, lo-3*bw+point*((hi-lo+6*bw)/199) as x from series join (
+            select story, series, count(*) as n, stddev_samp(value)*pow(count(*),-0.2e0) as bw, min(value) as lo, max(value) as hi from series group by 1, 2) using (story, series), range(200) g(point))
+        group by story, series, point, x""", "split", "burned", extra="""series as (
+          select unnest(['upper', 'upper', 'lower', 'lower']) as story, unnest(['before', 'after', 'before', 'after']) || unnest(['', late, '', late]) as series,
+            unnest([t1_upper, t2_upper, t1_lower, t2_lower]) as value
+          from (select split.*, case when canopy_lost then ', lost' else ', kept' end as late from split join burned using (t1_shot_number, t2_shot_number)))""")
     q["welch_test"] = sql(_welch("t2_agbd_a0-t1_agbd_a0", "matched", "sample_grp", "control", "treatment"), "matched")
     q["welch_test_single_pixel"] = sql(_welch("t2_agbd_a0-t1_agbd_a0", "(select * from matched where sample_grp='control' or measured_disturbance=1)", "sample_grp", "control", "treatment"), "matched")
     q["welch_test_prices"] = _welch("l_extendedprice", "lineitem", "l_returnflag", "A", "R")

@@ -12,6 +12,7 @@ from twinshot.operators import cohort as C
 from twinshot.operators import inference as I
 from twinshot.operators import overlay as O
 from twinshot.operators import pairs as P
+from twinshot.operators import profiles as V
 from twinshot.operators import raster as R
 from twinshot.operators import region as Z
 from twinshot.operators import stats as A
@@ -199,7 +200,7 @@ def safe_ratio_means(spark, sf):
 
 @query
 def near_pairs(spark, sf):
-    return D.pairs(spark, sf).select(*KEYS, r6("distance_m", digits=4))
+    return D.found_pairs(spark, sf).select(*KEYS, r6("distance_m", digits=4))
 
 
 @query
@@ -232,17 +233,12 @@ def placed_pairs(spark, sf):
 @D.plan
 def yearly(spark, sf, *columns: str) -> DataFrame:
     p = O.with_years(D.timed_pairs(spark, sf, *columns))
-    return O.overlay_yearly(p, D.yearly_pixels(spark, sf), D.tiles(spark, sf), D.YEARS)
+    return O.overlay_yearly(p, D.yearly_raster(spark, sf), D.tiles(spark, sf), D.YEARS, asked=D.asked(spark, sf, 2))
 
 
-@D.plan
-def alerts(spark, sf) -> DataFrame:
-    return R.split_alerts(D.alert_codes(spark, sf), D.alert_mask(spark, sf))
-
-
-def alert_overlay(spark, sf, *columns: str, buffer: int = 0) -> DataFrame:
+def alert_overlay(spark, sf, *columns: str, buffer: int = 0, sparse: bool = False) -> DataFrame:
     p = O.with_days(D.timed_pairs(spark, sf, *columns), D.EPOCH)
-    return O.overlay_alerts(p, alerts(spark, sf), D.tiles(spark, sf), buffer)
+    return O.overlay_alerts(p, D.alert_raster(spark, sf), D.tiles(spark, sf), buffer, asked=D.asked(spark, sf, 3), sparse=sparse)
 
 
 def _hits(n: int) -> list[str]:
@@ -257,25 +253,26 @@ def overlay_yearly(spark, sf):
 @query
 def overlay_yearly_no_deforestation(spark, sf):
     p = O.with_years(D.timed_pairs(spark, sf))
-    px = D.yearly_pixels(spark, sf, deforestation=True)
-    return O.overlay_yearly(p, px, D.tiles(spark, sf), D.YEARS, exclude_class=O.DEFORESTATION).select(*KEYS, *_hits(4))
+    px = D.yearly_raster(spark, sf, deforestation=True)
+    out = O.overlay_yearly(p, px, D.tiles(spark, sf), D.YEARS, exclude_class=O.DEFORESTATION, asked=D.asked(spark, sf, 2))
+    return out.select(*KEYS, *_hits(4))
 
 
 @query
 def overlay_alerts_buffered(spark, sf):
-    return O.disturbed(alert_overlay(spark, sf, buffer=30)).select(*KEYS, *_hits(9))
+    return O.disturbed(alert_overlay(spark, sf, buffer=30, sparse=True)).select(*KEYS, *_hits(9))
 
 
 @query
 def overlay_alerts_any_confidence(spark, sf):
     p = O.with_days(D.timed_pairs(spark, sf), D.EPOCH)
-    out = O.overlay_alerts(p, alerts(spark, sf), D.tiles(spark, sf), 0, confidence=None)
+    out = O.overlay_alerts(p, D.alert_raster(spark, sf), D.tiles(spark, sf), 0, confidence=None, asked=D.asked(spark, sf, 3))
     return out.select(*KEYS, *_hits(9))
 
 
 @query
 def split_alert_codes(spark, sf):
-    return alerts(spark, sf)
+    return R.split_alerts(D.alert_codes(spark, sf), D.alert_mask(spark, sf))
 
 
 @query
@@ -298,7 +295,8 @@ def window_lookup(spark, sf):
 
 
 def intact(spark, sf, mod: int) -> DataFrame:
-    return O.intact_pairs(D.timed_pairs(spark, sf, "agbd_a0"), D.yearly_pixels(spark, sf, mod), D.tiles(spark, sf))
+    p = D.timed_pairs(spark, sf, "agbd_a0")
+    return O.intact_pairs(p, D.yearly_raster(spark, sf, mod), D.tiles(spark, sf), asked=D.asked(spark, sf, 3))
 
 
 @query
@@ -313,7 +311,7 @@ def intact_in_both(spark, sf):
 
 def intensity(spark, sf, *columns: str) -> DataFrame:
     y = materialise(O.disturbed(yearly(spark, sf, *columns)))
-    return O.overlay_intensity(y, D.intensity_pixels(spark, sf), D.tiles(spark, sf), D.YEARS[0])
+    return O.overlay_intensity(y, D.intensity_raster(spark, sf), D.tiles(spark, sf), D.YEARS[0], asked=D.asked(spark, sf, 2))
 
 
 @query
@@ -323,7 +321,7 @@ def overlay_intensity(spark, sf):
 
 @query
 def overlay_burn(spark, sf):
-    b = O.overlay_burn(D.timed_pairs(spark, sf), D.burns(spark, sf), D.tiles(spark, sf), D.YEARS)
+    b = O.overlay_burn(D.timed_pairs(spark, sf), D.burn_raster(spark, sf), D.tiles(spark, sf), D.YEARS)
     return b.select(*KEYS, *[f"burn_bool_{y}" for y in D.YEARS], "interceding_burn")
 
 
@@ -417,7 +415,7 @@ def lag_profile_of_controls(spark, sf):
 @query
 def buffer_sweep(spark, sf):
     p = O.with_days(D.timed_pairs(spark, sf, "agbd_a0"), D.EPOCH)
-    out = O.buffer_sweep(p, alerts(spark, sf), D.tiles(spark, sf), list(range(0, 181, 30)))
+    out = O.buffer_sweep(p, D.alert_raster(spark, sf), D.tiles(spark, sf), list(range(0, 181, 30)), asked=D.asked(spark, sf, 3))
     return out.select("buffer_days", "n", r6("bias"))
 
 
@@ -437,14 +435,14 @@ def long_metric_means(spark, sf):
 
 @query
 def metric_quartiles(spark, sf):
-    q = A.quartiles(long_table(spark, sf), "value", ["control_group", "metric"])
+    q = A.quartiles(materialise(long_table(spark, sf)), "value", ["control_group", "metric"])
     return q.select("control_group", "metric", "n", *[r6(c) for c in ("q25", "q50", "q75")])
 
 
 @query
 def quartiles_with_unlabelled(spark, sf):
     """Pairs without a label are a group of their own."""
-    q = A.quartiles(labelled(spark, sf), "time_diff", ["sample_grp"])
+    q = A.quartiles(labelled(spark, sf).select("sample_grp", "time_diff"), "time_diff", ["sample_grp"])
     return q.select("sample_grp", "n", *[r6(c) for c in ("q25", "q50", "q75")])
 
 
@@ -516,7 +514,7 @@ def disturbance_age(spark, sf):
 def burned(spark, sf) -> DataFrame:
     columns = ["rh_98_a0", "rh_50_a0"]
     t = treated(spark, sf, *columns).select(D.timed_pairs(spark, sf, *columns).columns)
-    b = O.overlay_burn(t, D.burns(spark, sf), D.tiles(spark, sf), D.YEARS)
+    b = O.overlay_burn(t, D.burn_raster(spark, sf), D.tiles(spark, sf), D.YEARS)
     return b.where("interceding_burn and t1_rh_98_a0 >= 5 and t1_rh_50_a0 >= 2.5").withColumn("canopy_lost", S.canopy_lost())
 
 
@@ -533,23 +531,30 @@ def burned_shares(spark, sf):
 
 @query
 def profile_split(spark, sf):
-    """Upper and lower plant area on both sides of a third of the first height, for every order.
-
-    There are fewer vectors than orders; their ids run from 0, and orders take them in turn.
-    """
-    o = D.table(spark, sf, "orders", "o_orderkey", "o_totalprice")
-    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
-    profile = F.transform(F.slice("embedding", 1, 21), lambda v, i: F.abs(v).cast("double") * (21 - i))
-    turn = o.crossJoin(e.agg((F.max("vec_id") + 1).alias("vectors"))).withColumn("turn", F.pmod("o_orderkey", "vectors"))
-    p = turn.join(e, F.col("turn") == F.col("vec_id"), "left").select("o_orderkey", (F.col("o_totalprice") / 10000).alias("rh"), profile.alias("pai"))
-    bucket = S.third_height_bucket(F.col("rh"))
-    at = S.profile_at(F.col("pai"), F.col("bucket"))
-    return p.withColumn("bucket", bucket).select(
-        "o_orderkey",
-        "bucket",
-        r6(at - S.profile_at(F.col("pai"), F.lit(100)), "upper_pai"),
-        r6(S.profile_at(F.col("pai"), F.lit(0)) - at, "lower_pai"),
-    )
+    """Upper and lower plant area of every shot, on both sides of a third of its height."""
+    s = D.shots(spark, sf).select(F.col("shot_number").alias("shot_num"), "rh_98_a0")
+    p = V.split_profiles(D.shot_profiles(spark, sf).join(s, "shot_num"), "rh_98_a0", prefixes=("",), bucket="bucket")
+    return p.select("o_orderkey", "bucket", r6("upper_pai"), r6("lower_pai"))
+
+
+def split_pairs(spark, sf, pairs: DataFrame) -> DataFrame:
+    profiles = D.shot_profiles(spark, sf).drop("o_orderkey")
+    return V.split_profiles(P.enrich_pairs(pairs, profiles, outlier=None))
+
+
+@query
+def profile_split_pairs(spark, sf):
+    """Both times' upper and lower plant area of the treatment pairs, split at a third of the first height."""
+    split = split_pairs(spark, sf, treated(spark, sf, "rh_98_a0").select(*KEYS, "t1_rh_98_a0"))
+    return split.select(*KEYS, "t1_mid_tch_bucket", *[r6(f"{t}_{part}_pai") for t in ("t1", "t2") for part in ("upper", "lower")])
+
+
+@query
+def profile_density(spark, sf):
+    """Densities of plant area before and after a burn, by story and by whether the canopy was lost."""
+    b = burned(spark, sf).select(*KEYS, "t1_rh_98_a0", "canopy_lost")
+    series = materialise(V.split_series(split_pairs(spark, sf, b)))
+    return A.kde(series, "value", ["story", "series"]).select("story", "series", "point", r6("x"), r6("density", digits=8))
 
 
 # ----- inference --------------------------------------------------------------------

@@ -5,7 +5,8 @@ import random
 import pytest
 
 from rasters import COLS, ROWS, collect_hits, pair_rows, tiles, yearly_pixels
-from twinshot.operators.keys import hot_keys
+from twinshot.operators.blocks import SIZE, asked_blocks, attach_windows, hot_blocks, only_blocks, store_blocks, to_blocks
+from twinshot.operators.keys import materialise
 from twinshot.operators.overlay import (
     disturbed,
     intact_pairs,
@@ -14,7 +15,7 @@ from twinshot.operators.overlay import (
     overlay_yearly,
     run_overlay,
 )
-from twinshot.operators.raster import WINDOW_KEYS, assign_tile, window2
+from twinshot.operators.raster import assign_tile, window2, window3
 from pyspark.sql import functions as F
 
 YEARS = [2019, 2020, 2021, 2022]
@@ -82,7 +83,7 @@ def test_yearly(spark, exclude):
     px = yearly_pixels(spark, marked)
     out = overlay_yearly(df, px, tiles(spark), YEARS, exclude_class=exclude)
     assert collect_hits(out, 4) == expected
-    hot = hot_keys(window2(assign_tile(df, tiles(spark))), F.xxhash64(*WINDOW_KEYS), 3)
+    hot = hot_blocks(window2(assign_tile(df, tiles(spark))), 3)
     assert hot.count() > 0
     spread = overlay_yearly(df, px, tiles(spark), YEARS, exclude_class=exclude, hot=hot)
     assert collect_hits(spread, 4) == expected
@@ -147,6 +148,57 @@ def test_overlapping_tiles_and_own_overlay(spark):
     assert run_overlay(df, two, lambda placed, k: placed.where(F.col("nx") == k), k=COLS).count() == 2
 
 
+@pytest.mark.parametrize("size", [2, 3, 64])
+def test_windows_come_from_one_block(spark, size):
+    """Whatever the block size: windows at block rims, unlisted pixels, arrays as values, tiles without pixels."""
+    rnd = random.Random(size)
+    n = 11
+    value = {(t, r, c): [r, c] for t in "ab" for r in range(n) for c in range(n) if rnd.random() < 0.6}
+    pixels = spark.createDataFrame([(*k, v, sum(v)) for k, v in value.items()], "tile string, row int, col int, v array<int>, s int")
+    points = [(t, r, c) for t in "abc" for r in range(n - 1) for c in range(n - 1)]
+    df = spark.createDataFrame(points, "tile string, wrow int, wcol int")
+    for window, low in ((1, 0), (2, 0), (3, -1)):
+        offsets = [(dr, dc) for dc in range(low, low + window) for dr in range(low, low + window)]
+        got = {(x.tile, x.wrow, x.wcol): (x.v, x.s) for x in attach_windows(df, pixels, window, ["v", "s"], size=size).collect()}
+        for t, r, c in points:
+            want = [value.get((t, r + dr, c + dc)) for dr, dc in offsets]
+            assert got[t, r, c] == (want, [None if w is None else sum(w) for w in want])
+
+
+def test_stored_blocks_are_pruned_by_tile(spark, tmp_path):
+    grid = [(f"0{t}", r, c, [1]) for t in range(12) for r in range(0, SIZE + 2, 5) for c in range(0, 9, 4)]
+    raster = store_blocks(to_blocks(spark.createDataFrame(grid, "tile string, row int, col int, vals array<int>"), ["vals"]), str(tmp_path / "r"))
+    assert raster.schema["tile"].dataType.simpleString() == "string" and {r.tile for r in raster.select("tile").collect()} == {g[0] for g in grid}
+    points = spark.createDataFrame([("03", 5, 4), ("03", 6, 5), ("011", SIZE + 1, 8), ("99", 1, 1)], "tile string, wrow int, wcol int")
+    asked = materialise(asked_blocks(points))
+    kept = only_blocks(raster, asked)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan.split("PartitionFilters")[1].split("\n")[0]
+    assert sorted((r.tile, r.brow) for r in kept.collect()) == [("011", 1), ("03", 0)]
+    seen = {(r.tile, r.wrow): r.vals for r in attach_windows(points, raster, 1, ["vals"], asked=asked).collect()}
+    assert seen == {("03", 5): [[1]], ("03", 6): [None], ("011", SIZE + 1): [[1]], ("99", 1): [None]}
+
+
+def test_overlays_run_no_job_before_an_action(spark):
+    started = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lazy", "lazy")
+    df = pair_rows(spark, [(2019, 2021, 2.5, 2.5)], "t1_year", "t2_year")
+    out = overlay_yearly(df, yearly_pixels(spark, {(2, 2): {2020: 2}}), tiles(spark), YEARS)
+    assert not started.getJobIdsForGroup("lazy")
+    assert out.count() == 1 and started.getJobIdsForGroup("lazy")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_sparse_alerts_keep_pairs_with_an_alert_only(spark):
+    alerts = spark.createDataFrame([("t", 2, 2, 3, 50), ("t", 4, 4, 1, 60)], "tile string, row int, col int, confidence int, day int")
+    df = pair_rows(spark, [(0, 99, 2.0, 2.0), (0, 99, 4.0, 5.0), (0, 99, 1.0, 5.0)], "t1_days", "t2_days")
+    for confidence, kept in ((3, [0]), (None, [0, 1])):
+        out = overlay_alerts(df, alerts, tiles(spark), 0, confidence=confidence, sparse=True)
+        assert sorted(r.t1_shot_number for r in out.collect()) == kept
+        whole = overlay_alerts(df, alerts, tiles(spark), 0, confidence=confidence).where("measured_disturbance > 0")
+        assert sorted(r.t1_shot_number for r in whole.collect()) == kept
+
+
 def test_descending_axis(spark):
     """On a descending y axis the window is the one around the point."""
     flipped = spark.createDataFrame(

@@ -87,20 +87,22 @@ def test_csv_with_another_column_order_fails(spark, tmp_path):
         ingest.read_metrics(spark, str(tmp_path)).collect()
 
 
-def test_many_tiles_join_by_shuffle(spark, monkeypatch):
+def test_tiles_of_very_different_sizes(spark):
+    """Tiles of 1 degree, one of 100 degrees over them and a sliver: each point finds all of its tiles."""
     side = 6
+    boxes = {f"{i},{j}": (float(i), float(j), i + 1.0, j + 1.0) for i in range(side) for j in range(side)}
+    boxes |= {"wide": (-50.0, -50.0, 50.0, 50.0), "sliver": (2.0, -3.0, 2.001, 9.0), "far": (170.0, 10.0, 170.5, 10.25)}
     grid = spark.createDataFrame(
-        [(f"{i},{j}", float(i), float(j), 0.1, 0.1, 10, 10, float(i), float(j), i + 1.0, j + 1.0) for i in range(side) for j in range(side)],
+        [(t, x0, y0, 0.1, 0.1, 10, 10, x0, y0, x1, y1) for t, (x0, y0, x1, y1) in boxes.items()],
         "tile string, x0 double, y0 double, dx double, dy double, nx int, ny int, xmin double, ymin double, xmax double, ymax double",
     )
     rnd = random.Random(8)
-    points = spark.createDataFrame([(k, rnd.uniform(-1, 7), rnd.uniform(-1, 7)) for k in range(200)] + [(900, 1.0, 1.5)], "k int, t2_lon double, t2_lat double")
-    key = lambda df: sorted((r.k, r.tile) for r in df.collect())
-    broadcast = key(R.assign_tile(points, grid))
-    monkeypatch.setattr(R, "MAX_TILES", 3)
-    assert key(R.assign_tile(points, grid)) == broadcast
-    inside = [(r.k, f"{math.floor(r.t2_lon)},{math.floor(r.t2_lat)}") for r in points.collect() if 0 < r.t2_lon < 6 and 0 < r.t2_lat < 6 and r.k != 900]
-    assert broadcast == sorted(inside)  # the point on an edge is in no tile
+    spots = [(k, rnd.uniform(-1, 7), rnd.uniform(-1, 7)) for k in range(200)] + [(900, 1.0, 1.5), (901, 2.0005, -1.0), (902, -20.0, 49.0), (903, 170.2, 10.1), (904, None, 1.0)]
+    points = spark.createDataFrame(spots, "k int, t2_lon double, t2_lat double")
+    got = sorted((r.k, r.tile) for r in R.assign_tile(points, grid).collect())
+    want = sorted((k, t) for k, x, y in spots if x is not None for t, (x0, y0, x1, y1) in boxes.items() if x0 < x < x1 and y0 < y < y1)
+    assert got == want and any(t == "sliver" for _, t in want)
+    assert R.assign_tile(points, grid.limit(0)).count() == 0
 
 
 def _inside(p, ring):

@@ -12,7 +12,8 @@ from twinshot.functions import scalar as S
 from twinshot.operators import cohort as C
 from twinshot.operators import inference as I
 from twinshot.operators import stats as A
-from twinshot.operators.ranks import exact_percentiles, value_ranks
+from twinshot.operators import ranks
+from twinshot.operators.ranks import exact_percentiles, select_ranks
 
 
 @pytest.fixture(scope="module")
@@ -24,14 +25,26 @@ def skewed(spark):
     return rows, spark.createDataFrame(rows, "g string, v double").repartition(8)
 
 
-def test_ranks_cover_each_group(skewed):
+@pytest.mark.parametrize("small", [ranks.SMALL, 3])
+def test_every_rank_is_selected(skewed, monkeypatch, small):
+    """Also when buckets must be cut again and again, and with a value that most rows share."""
+    monkeypatch.setattr(ranks, "SMALL", small)
     rows, df = skewed
-    ranks = value_ranks(df, "v", ["g"]).toPandas().sort_values(["g", "v"])
-    for g, part in ranks.groupby("g"):
+    every = lambda groups: groups.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    got = {(r.g, r.k): (r.v, r.n) for r in select_ranks(df, "v", ["g"], every).collect()}
+    for g in ("big", "small", "one"):
         values = sorted(v for k, v in rows if k == g)
-        assert part.lo.iloc[0] == 1 and part.hi.iloc[-1] == len(values)
-        assert (part.lo.iloc[1:].values == part.hi.iloc[:-1].values + 1).all()
-        assert all(values[r.lo - 1] == r.v == values[r.hi - 1] for r in part.itertuples())
+        assert [got[g, k] for k in range(1, len(values) + 1)] == [(v, len(values)) for v in values]
+
+
+def test_a_heavy_value_and_close_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "SMALL", 2)
+    values = [5.0] * 4000 + [5.0 - 1e-9 * i for i in range(1, 40)] + [float("nan"), float("inf"), -1e300]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+    wanted = lambda groups: groups.withColumn("k", F.explode(F.array(*[F.lit(k).cast("long") for k in (1, 2, 20, 40, 41, 4040, 4041, 4042)])))
+    got = {r.k: r.v for r in select_ranks(df, "v", [], wanted).collect()}
+    ordered = sorted(values[:-3] + values[-2:]) + [float("nan")]
+    assert [repr(got[k]) for k in sorted(got)] == [repr(ordered[k - 1]) for k in sorted(got)] and len(got) == 8
 
 
 def test_percentiles(skewed):

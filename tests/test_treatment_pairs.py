@@ -1,4 +1,4 @@
-"""Ages and burn shares come from treatment pairs in which every shot occurs once; profiles from all orders."""
+"""Ages, burn shares and profiles come from treatment pairs in which every shot occurs once."""
 
 from collections import Counter
 
@@ -44,7 +44,7 @@ def test_age_of_each_shot_once(spark, rows, treatment):
 
 
 def test_burns_of_treatment_pairs_only(spark, treatment):
-    burnt = O.overlay_burn(D.timed_pairs(spark, SF, "rh_98_a0", "rh_50_a0"), D.burns(spark, SF), D.tiles(spark, SF), D.YEARS)
+    burnt = O.overlay_burn(D.timed_pairs(spark, SF, "rh_98_a0", "rh_50_a0"), D.burn_raster(spark, SF), D.tiles(spark, SF), D.YEARS)
     burnt = {(r[0], r[1]) for r in burnt.where("interceding_burn").select("t1_shot_number", "t2_shot_number").collect()}
     rows = [r for r in treatment if key(r) in burnt and r["t1_rh_98_a0"] >= 5 and r["t1_rh_50_a0"] >= 2.5]
     kept = [r for r in rows if r["t2_rh_98_a0"] >= 0.65 * r["t1_rh_98_a0"]]
@@ -55,13 +55,27 @@ def test_burns_of_treatment_pairs_only(spark, treatment):
     assert got.kept_under_lost == pytest.approx(100 * len(under) / len(rows), abs=1e-5)
 
 
-def test_profile_of_every_order(spark):
-    prices = {r[0]: r[1] for r in spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey", "o_totalprice").collect()}
-    vectors = {r[0]: r[1] for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()}
-    got = Q.profile_split(spark, SF).collect()
-    assert len(got) == len(prices) and {r.o_orderkey for r in got} == set(prices)
-    for r in got:
-        pai = [abs(v) * (21 - i) for i, v in enumerate(vectors[r.o_orderkey % len(vectors)][:21])]
-        bucket = int(float(prices[r.o_orderkey]) / 10000 / 3 // 5 * 5)
-        assert r.bucket == bucket
-        assert (r.upper_pai, r.lower_pai) == pytest.approx((pai[bucket // 5] - pai[20], pai[0] - pai[bucket // 5]), abs=2e-6)
+def test_profiles_split_at_a_third_of_the_first_height(spark, treatment):
+    profiles = {r.shot_num: [r[f"pai_{h}"] for h in range(0, 101, 5)] for r in D.shot_profiles(spark, SF).collect()}
+    heights = {r.shot_number: r.rh_98_a0 for r in D.shots(spark, SF).collect()}
+    got = {key(r): r for r in Q.profile_split_pairs(spark, SF).collect()}
+    assert set(got) == {key(r) for r in treatment}
+    for (a, b), r in got.items():
+        bucket = int(heights[a] / 3 // 5 * 5)
+        assert r.t1_mid_tch_bucket == bucket
+        for shot, upper, lower in ((a, r.t1_upper_pai, r.t1_lower_pai), (b, r.t2_upper_pai, r.t2_lower_pai)):
+            pai = profiles[shot]
+            assert (upper, lower) == pytest.approx((pai[bucket // 5] - pai[20], pai[0] - pai[bucket // 5]), abs=2e-6)
+    single = Q.profile_split(spark, SF).collect()
+    assert len(single) == len(profiles) and all(r.upper_pai is not None for r in single)
+    series = {(r.story, r.series) for r in Q.profile_density(spark, SF).collect()}
+    assert {s for _, s in series} <= {"before", "after, lost", "after, kept"} and {t for t, _ in series} == {"upper", "lower"}
+
+
+def test_profile_outside_its_heights_is_null(spark):
+    from twinshot.operators.profiles import split_profiles
+
+    columns = ", ".join(f"{21 - i}.0D as pai_{h}" for i, h in enumerate(range(0, 101, 5)))
+    df = spark.sql(f"select {columns}, h from values (60.0D), (330.0D), (-9.0D), (cast(null as double)) t(h)")
+    out = split_profiles(df, "h", prefixes=("",), bucket="b").collect()
+    assert [(r.b, r.upper_pai, r.lower_pai) for r in out] == [(20, 16.0, 4.0), (110, None, None), (-5, None, None), (None, None, None)]

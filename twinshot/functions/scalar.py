@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,8 +57,8 @@ def sample_group(measured: str = "measured_disturbance", control: str = "control
 
 def _bins_passed(x: Column, edges: list[float], right: bool) -> Column:
     """Index of the last edge below x (at or below, if not right); -1 before the first."""
-    listed = F.array(*[F.lit(e) for e in edges])
-    return F.size(F.filter(listed, lambda e: (e < x) if right else (e <= x))) - 1
+    passed = [((F.lit(e) < x) if right else (F.lit(e) <= x)).cast("int") for e in edges]
+    return reduce(add, passed) - 1
 
 
 def bin_index(x: Column, edges: list[float], right: bool = True) -> Column:

@@ -75,8 +75,9 @@ def match_strata(
     hash (``md5`` is portable, ``xxhash64`` fast) and hence reproducible.
 
     A few bins hold all rows, so no bin is ever ranked as a whole: a histogram of the
-    hash's leading bits locates the cut of each bin, and only rows up to it are shuffled,
-    4096 slices per bin. The input is read twice: pass a stored table.
+    hash's leading bits locates the cut of each bin, rows below it pass without a shuffle, and
+    only the slice at the cut, one of 4096 per bin, is ranked. The input is read three times: pass
+    a stored table.
     """
     digits = 15
     prepared = df.withColumn("_bin", bin_index(F.col(col), edges)).withColumn("_prio", _priority(keys, hash, digits))
@@ -99,18 +100,13 @@ def match_strata(
         .select("_bin", group, F.col("_coarse").alias("_cut"), (F.col("_quota") - F.col("_run") + F.col("_cnt")).alias("_rest"))
     )
     # One row per bin and group at most: bounded by the number of edges.
-    ranked = prepared.join(F.broadcast(cuts), ["_bin", group], "left")
-    slice_order = Window.partitionBy("_bin", group, "_coarse").orderBy("_prio", *keys)
-    chosen = (F.col("_coarse") < F.col("_cut")) | ((F.col("_coarse") == F.col("_cut")) & (F.col("_rn") <= F.col("_rest")))
-    if both:
-        sampled = ranked.where(F.col("_coarse") <= F.col("_cut")).withColumn("_rn", F.row_number().over(slice_order))
-    else:
-        untouched = F.col(group) == "treatment"
-        sampled = ranked.where(untouched | (F.col("_coarse") <= F.col("_cut"))).withColumn(
-            "_rn", F.row_number().over(slice_order)
-        )
-        chosen = untouched | chosen
-    return sampled.where(chosen).drop("_bin", "_prio", "_coarse", "_cut", "_rest", "_rn")
+    placed = prepared.join(F.broadcast(cuts), ["_bin", group], "left").withColumn("_all", F.lit(False) if both else F.coalesce(F.col(group) == "treatment", F.lit(False)))
+    # Rows below the cut stay as they are; only the slice that straddles it is ranked.
+    below = placed.where(F.col("_all") | (F.col("_coarse") < F.col("_cut")))
+    order = Window.partitionBy("_bin", group).orderBy("_prio", *keys)
+    at_cut = placed.where(~F.col("_all") & (F.col("_coarse") == F.col("_cut"))).withColumn("_rn", F.row_number().over(order))
+    sampled = below.unionByName(at_cut.where(F.col("_rn") <= F.col("_rest")).drop("_rn"))
+    return sampled.drop("_bin", "_prio", "_coarse", "_cut", "_rest", "_all")
 
 
 def random_sample(df: DataFrame, fraction: float = 0.1, seed: int | None = None) -> DataFrame:

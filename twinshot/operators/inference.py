@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from twinshot.functions.scalar import md5_int
 from twinshot.operators.keys import join_groups, materialise
-from twinshot.operators.ranks import value_ranks
+from twinshot.operators.ranks import select_ranks
 
 _PANELS = 4000
 
@@ -90,7 +90,8 @@ def bootstrap_median(
     middle one, and the few ranks found are looked up among the exact ranks of the data.
     Ranks over ten standard errors from the middle are pooled on each side before counting;
     should a median fall there (odds below 1e-22), the query fails rather than be inexact.
-    ``key`` must identify a row; ``md5`` draws are portable, ``xxhash64`` draws fast.
+    ``key`` must identify a row; ``md5`` draws are portable, ``xxhash64`` draws fast. Rows of NULL
+    groups, and rows without a value, are left out.
     """
     rows = df.where(F.col(value).isNotNull()).select(*group, *key, value)
     for g in group:
@@ -130,18 +131,11 @@ def bootstrap_median(
     middles = middles.withColumn("_low", F.coalesce(checked.cast("long"), F.col("_low")))
 
     middles = materialise(middles)
-    # At most 2 n ranks per group are wanted.
-    wanted = (
-        middles.select(*group, F.explode(F.array("_low", "_high")).alias("_k"))
-        .groupBy(*group)
-        .agg(F.array_sort(F.collect_set("_k")).alias("_ks"))
-    )
-    hits = F.filter("_ks", lambda k: (k >= F.col("lo")) & (k <= F.col("hi")))
-    found = (
-        value_ranks(rows, value, group)
-        .join(wanted, group)
-        .select(*group, F.col(value).alias("_v"), F.explode(hits).alias("_k"))
-    )
+    # At most 2 n ranks per group are wanted, all of them near the middle.
+    found = select_ranks(
+        rows, value, group, lambda groups: middles.select(*group, F.col("_n").alias("n"), F.explode(F.array("_low", "_high")).alias("k"))
+    ).select(*group, F.col(value).alias("_v"), F.col("k").alias("_k"))
+    found = materialise(found)
     low = found.select(*group, F.col("_k").alias("_low"), F.col("_v").alias("_v1"))
     high = found.select(*group, F.col("_k").alias("_high"), F.col("_v").alias("_v2"))
     return (

@@ -19,7 +19,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, by: list[str], how: str = "i
     return rows.join(other, on, how).drop(*[f"_g_{c}" for c in by])
 
 
-def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
+def materialise(df: DataFrame, path: str | None = None, partition_by: list[str] | None = None) -> DataFrame:
     """Write a result once and read it back, so that later steps do not recompute it.
 
     Without a path a new folder is made under ``spark.checkpoint.dir``, the shared folder a
@@ -29,7 +29,7 @@ def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     spark = df.sparkSession
     if path is None:
         path = f"{_shared_folder(spark)}/twinshot-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").parquet(path, partitionBy=partition_by)
     return spark.read.schema(df.schema).parquet(path)
 
 

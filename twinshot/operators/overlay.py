@@ -1,8 +1,10 @@
 """Classification of pairs from raster events around their location.
 
-Every overlay places a pair on a raster tile by its t2 position, joins it once to a window
-table of the raster and evaluates the rule as column expressions. Results carry all pair
-columns plus ``tile``; a pair inside two overlapping tiles yields one row per tile.
+Every overlay places a pair on a raster tile by its t2 position, joins it once to the raster's
+block that holds its whole window and evaluates the rule as column expressions. Rasters are pixel
+tables or, better, stored block tables (``blocks.py``); ``asked`` names the blocks that are needed
+at all and ``hot`` those that very many pairs need. Results carry all pair columns plus
+``tile``; a pair inside two overlapping tiles yields one row per tile.
 """
 
 from __future__ import annotations
@@ -15,16 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinshot.functions.scalar import days_since, year_day
-from twinshot.operators.keys import lookup_join
-from twinshot.operators.raster import (
-    AXES,
-    WINDOW_KEYS,
-    assign_tile,
-    window1,
-    window2,
-    window3,
-    window_table,
-)
+from twinshot.operators.blocks import attach_windows
+from twinshot.operators.raster import AXES, assign_tile, window1, window2, window3
 
 # Classes of the yearly maps, day zero of the alert product.
 UNDISTURBED, DEGRADATION, DEFORESTATION, RECOVERY, OTHER = 1, 2, 3, 4, 6
@@ -88,9 +82,9 @@ def disturbed(overlaid: DataFrame) -> DataFrame:
 
 
 def _positions() -> list[Column]:
-    """Window table entry of each 2 x 2 position p1..p4 (x offset outer, nearest pixel first).
+    """Window entry of each 2 x 2 position p1..p4 (x offset outer, nearest pixel first).
 
-    Window tables count from the corner, p counts from the nearest pixel.
+    Windows count from the corner, p counts from the nearest pixel.
     """
     row, col = F.col("near_row"), F.col("near_col")
     return [col.bitwiseXOR(F.lit(i)) * 2 + row.bitwiseXOR(F.lit(j)) for i in (0, 1) for j in (0, 1)]
@@ -99,16 +93,6 @@ def _positions() -> list[Column]:
 # ----- yearly class maps ------------------------------------------------------------
 
 
-def yearly_windows(pixels: DataFrame, years: list[int], cls: int = DEGRADATION, exclude_class: int | None = None) -> DataFrame:
-    """2 x 2 window table of first event years; only pixels with an event take part."""
-    base = years[0] - 1
-    events = {"f": first_event_year(F.col("vals"), cls, base)}
-    if exclude_class is not None:
-        events["g"] = first_event_year(F.col("vals"), exclude_class, base)
-    dated = pixels.select("tile", "row", "col", *[e.alias(n) for n, e in events.items()])
-    return window_table(dated.where(reduce(lambda a, b: a | b, [F.col(n) > base for n in events])), 2, list(events))
-
-
 def overlay_yearly(
     pairs: DataFrame,
     pixels: DataFrame,
@@ -118,6 +102,7 @@ def overlay_yearly(
     exclude_class: int | None = None,
     anchor: str = "edge",
     hot: DataFrame | None = None,
+    asked: DataFrame | None = None,
 ) -> DataFrame:
     """2 x 2 overlay of yearly class maps.
 
@@ -126,27 +111,14 @@ def overlay_yearly(
     class, too, first appears outside [t1, t2]. A pixel without event has f = first year - 1.
     ``pixels`` holds ``vals``, one class per year; pixels missing from it have no event.
     """
-    return run_overlay(
-        pairs,
-        tiles,
-        classify_yearly,
-        windows=yearly_windows(pixels, years, cls, exclude_class),
-        years=years,
-        exclude=exclude_class is not None,
-        anchor=anchor,
-        hot=hot,
-    )
-
-
-def classify_yearly(
-    placed: DataFrame, windows: DataFrame, years: list[int], exclude: bool = False, anchor: str = "edge", hot: DataFrame | None = None
-) -> DataFrame:
-    """``overlay_yearly`` for placed pairs and a window table built once by ``yearly_windows``."""
-    joined = lookup_join(window2(placed, anchor=anchor), windows, WINDOW_KEYS, "left", hot)
+    placed = window2(assign_tile(pairs, tiles), anchor=anchor)
+    seen = attach_windows(placed, pixels, 2, ["vals"], hot, asked)
+    base = years[0] - 1
     s1, s2 = F.col("t1_year"), F.col("t2_year")
 
-    def in_order(events: str) -> Column:
-        return F.array(*[F.coalesce(F.get(events, at), F.lit(years[0] - 1)) for at in _positions()])
+    def in_order(of: int) -> Column:
+        first = F.transform("vals", lambda v: F.coalesce(first_event_year(v, of, base), F.lit(base)))
+        return F.array(*[F.get("_first", at) for at in _positions()]), first
 
     def treatment(f: Column) -> Column:
         return (s1 < f) & (f < s2)
@@ -154,18 +126,18 @@ def classify_yearly(
     def control(f: Column) -> Column:
         return ((s2 < f) | (s1 > f)) & (f > years[0])
 
-    if exclude:
-        joined = joined.withColumn("_other", in_order("g"))
+    if exclude_class is not None:
+        other, first = in_order(exclude_class)
+        seen = seen.withColumn("_first", first).withColumn("_other", other)
         clear = lambda g: (s2 < g) | (s1 > g)
         hits = F.zip_with("_dates", "_other", lambda f, g: _code(treatment(f) & clear(g), control(f) & clear(g)))
     else:
         hits = F.transform("_dates", lambda f: _code(treatment(f), control(f)))
-    return _without_window(_classified(joined, in_order("f"), hits, 4), windows).drop("_other")
+    dates, first = in_order(cls)
+    return _classified(seen.withColumn("_first", first), dates, hits, 4).drop("_first", "_other", "vals", *_PLACE)
 
 
-def _without_window(df: DataFrame, windows: DataFrame) -> DataFrame:
-    used = [c for c in windows.columns if c not in WINDOW_KEYS]
-    return df.drop(*used, *AXES, "wrow", "wcol", "near_row", "near_col")
+_PLACE = [*AXES, "wrow", "wcol", "near_row", "near_col"]
 
 
 def intact_pairs(
@@ -175,45 +147,45 @@ def intact_pairs(
     undisturbed: int = UNDISTURBED,
     anchor: str = "centre",
     years: int = 4,
+    hot: DataFrame | None = None,
+    asked: DataFrame | None = None,
 ) -> DataFrame:
     """Pairs whose 3 x 3 window is undisturbed in each of ``years`` years.
 
-    Undisturbed pixels are counted: a window needs all nine, each with a value for every
-    year, so a missing pixel, tile or year is not taken for an intact one. Only the distinct
-    windows that pairs ask for are spread over their pixels.
+    All nine pixels must be there with a value for every year, so a missing pixel, tile or year is not
+    taken for an intact one.
     """
-    same = F.forall("vals", lambda v: v.isNotNull() & (v == undisturbed)) & (F.size("vals") == years)
-    intact = pixels.where(same).select("tile", "row", "col").distinct()
-    shifts = F.array(*[F.struct(F.lit(i).alias("dr"), F.lit(j).alias("dc")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     placed = window3(assign_tile(pairs, tiles), anchor=anchor)
-    whole = (
-        placed.select(*WINDOW_KEYS)
-        .distinct()
-        .withColumn("_s", F.explode(shifts))
-        .select(*WINDOW_KEYS, (F.col("wrow") + F.col("_s.dr")).alias("row"), (F.col("wcol") + F.col("_s.dc")).alias("col"))
-        .join(intact, ["tile", "row", "col"])
-        .groupBy(*WINDOW_KEYS)
-        .count()
-        .where(F.col("count") == 9)
-    )
-    return placed.join(whole, WINDOW_KEYS, "left_semi").select(*pairs.columns, "tile")
+    seen = attach_windows(placed, pixels, 3, ["vals"], hot, asked, how="inner")
+    same = lambda v: F.coalesce((F.size(v) == years) & F.forall(v, lambda c: c.isNotNull() & (c == undisturbed)), F.lit(False))
+    return seen.where(F.forall("vals", same)).select(*pairs.columns, "tile")
 
 
 # ----- day-resolution alerts --------------------------------------------------------
 
 
-def alert_windows(alerts: DataFrame, confidence: int | None = 3) -> DataFrame:
-    """3 x 3 window table of alert days at the given confidence (any, if None)."""
-    used = alerts if confidence is None else alerts.where(F.col("confidence") == confidence)
-    return window_table(used.where(F.col("day") != 0).select("tile", "row", "col", F.col("day").alias("d")), 3, ["d"])
-
+def with_alert_days(
+    placed: DataFrame,
+    alerts: DataFrame,
+    confidence: int | None = 3,
+    anchor: str = "centre",
+    hot: DataFrame | None = None,
+    asked: DataFrame | None = None,
+    sparse: bool = False,
+) -> DataFrame:
+    """Attach ``alert_days``, the nine alert days (0 = none) around each placed pair.
 
-def with_alert_days(placed: DataFrame, windows: DataFrame, anchor: str = "centre", hot: DataFrame | None = None) -> DataFrame:
-    """Attach ``alert_days``, the nine alert days (0 = none) around each placed pair."""
-    joined = lookup_join(window3(placed, anchor=anchor), windows, WINDOW_KEYS, "left", hot)
-    filled = F.transform("d", lambda d: F.coalesce(d, F.lit(0)))
-    none = F.array(*[F.lit(0)] * 9)
-    return joined.withColumn("alert_days", F.coalesce(filled, none)).drop("d", *AXES, "wrow", "wcol")
+    Alerts of another ``confidence`` don't count (None: any does). With ``sparse`` pairs without an alert
+    are dropped, those in blocks without any before they are looked at.
+    """
+    seen = attach_windows(window3(placed, anchor=anchor), alerts, 3, ["confidence", "day"], hot, asked, "inner" if sparse else "left")
+    none = F.lit(0)
+    if confidence is None:
+        days = F.transform("day", lambda d: F.coalesce(d, none))
+    else:
+        days = F.zip_with("day", "confidence", lambda d, c: F.when(c == confidence, F.coalesce(d, none)).otherwise(none))
+    out = seen.withColumn("alert_days", days).drop("confidence", "day", *AXES, "wrow", "wcol")
+    return out.where(F.exists("alert_days", lambda d: d != 0)) if sparse else out
 
 
 def classify_alerts(attached: DataFrame, buffer: Column | int, start: str = "t1_days", end: str = "t2_days") -> DataFrame:
@@ -241,13 +213,18 @@ def overlay_alerts(
     end: str = "t2_days",
     anchor: str = "centre",
     hot: DataFrame | None = None,
+    asked: DataFrame | None = None,
+    sparse: bool = False,
 ) -> DataFrame:
     """3 x 3 overlay of alert days. ``alerts`` is sparse: ``tile, row, col, confidence, day``.
 
     ``start`` and ``end`` name the pair's dates in the unit of ``day``; with
-    ``buffer_days=0, confidence=None`` any ordered day code will do.
+    ``buffer_days=0, confidence=None`` any ordered day code will do. ``sparse`` keeps only
+    pairs with an alert in their window.
     """
-    attached = run_overlay(pairs, tiles, with_alert_days, windows=alert_windows(alerts, confidence), anchor=anchor, hot=hot)
+    attached = run_overlay(
+        pairs, tiles, with_alert_days, alerts=alerts, confidence=confidence, anchor=anchor, hot=hot, asked=asked, sparse=sparse
+    )
     return classify_alerts(attached, buffer_days, start, end)
 
 
@@ -258,12 +235,13 @@ def buffer_sweep(
     buffers: list[int],
     metric: str = "agbd_a0",
     confidence: int | None = 3,
+    asked: DataFrame | None = None,
 ) -> DataFrame:
     """Mean difference of disturbed pairs without a measured disturbance, per buffer.
 
-    One overlay join serves all buffers; only the rule is repeated.
+    One overlay join serves all buffers; only the rule is repeated. Pairs without any alert are in no mean.
     """
-    attached = run_overlay(pairs, tiles, with_alert_days, windows=alert_windows(alerts, confidence))
+    attached = run_overlay(pairs, tiles, with_alert_days, alerts=alerts, confidence=confidence, asked=asked, sparse=True)
     needed = ["alert_days", "t1_days", "t2_days", f"t1_{metric}", f"t2_{metric}"]
     swept = attached.select(*needed, F.explode(F.array(*[F.lit(b) for b in buffers])).alias("buffer_days"))
     control = disturbed(classify_alerts(swept, F.col("buffer_days"))).where("measured_disturbance = 0")
@@ -275,18 +253,6 @@ def buffer_sweep(
 # ----- intensity --------------------------------------------------------------------
 
 
-def intensity_windows(pixels: DataFrame) -> DataFrame:
-    """2 x 2 window table of disrupted / valid observations per band.
-
-    A band without valid observations divides by 1. Pixels never disrupted add nothing.
-    """
-    per_band = F.transform(
-        F.arrays_zip("disrupt", "valid"), lambda o: o["disrupt"] / F.when(o["valid"] == 0, 1).otherwise(o["valid"])
-    )
-    active = pixels.where(F.exists("disrupt", lambda d: d != 0))
-    return window_table(active.select("tile", "row", "col", per_band.alias("shares")), 2, ["shares"])
-
-
 def overlay_intensity(
     pairs: DataFrame,
     pixels: DataFrame,
@@ -295,40 +261,49 @@ def overlay_intensity(
     pixel_order: str = "xy",
     anchor: str = "edge",
     hot: DataFrame | None = None,
+    asked: DataFrame | None = None,
 ) -> DataFrame:
     """Mean over the 2 x 2 window of disrupted / valid observations in each pixel's event year.
 
-    ``pixels`` holds ``disrupt`` and ``valid``, one count per year. ``pixel_order`` 'xy'
+    ``pixels`` holds ``disrupt`` and ``valid``, one count per year; a year without valid observations
+    divides by 1, and a pixel that isn't listed or has no event adds nothing. ``pixel_order`` 'xy'
     reads p2 and p3 where the yearly overlay wrote them; 'yx' reads them transposed.
     """
     if pixel_order not in ("xy", "yx"):
         raise ValueError("pixel_order must be 'xy' or 'yx'")
-    windows = intensity_windows(pixels)
     placed = window2(assign_tile(pairs.drop("tile"), tiles), anchor=anchor)
-    joined = lookup_join(placed, windows, WINDOW_KEYS, "left", hot)
+    seen = attach_windows(placed, pixels, 2, ["disrupt", "valid"], hot, asked)
     at = _positions() if pixel_order == "xy" else [_positions()[p] for p in (0, 2, 1, 3)]
     parts = []
     for p in range(4):
         band = F.col(f"p{p + 1}_disturb_date") - first_year
-        share = F.get(F.get("shares", at[p]), F.when(band >= 0, band))
+        year = F.when(band >= 0, band)
+        disrupt, valid = (F.get(F.get(c, at[p]), year) for c in ("disrupt", "valid"))
+        share = disrupt / F.when(valid == 0, 1).otherwise(valid)
         parts.append(F.coalesce(share, F.lit(0.0)))
-    scored = joined.withColumn("disturb_intensity", (reduce(add, parts) / 4).cast("float"))
-    return _without_window(scored, windows)
+    scored = seen.withColumn("disturb_intensity", (reduce(add, parts) / 4).cast("float"))
+    return scored.drop("disrupt", "valid", *_PLACE)
 
 
 # ----- burns ------------------------------------------------------------------------
 
 
-def overlay_burn(pairs: DataFrame, burns: DataFrame, tiles: DataFrame, years: list[int], anchor: str = "centre", hot: DataFrame | None = None) -> DataFrame:
+def overlay_burn(
+    pairs: DataFrame,
+    burns: DataFrame,
+    tiles: DataFrame,
+    years: list[int],
+    anchor: str = "centre",
+    hot: DataFrame | None = None,
+    asked: DataFrame | None = None,
+) -> DataFrame:
     """Whether the nearest pixel burned between the two dates, per year and in any.
 
     ``burns`` is sparse: ``tile, row, col, days`` with one burn day of year per year (0 = none).
     """
-    keyed = burns.where(F.exists("days", lambda d: d != 0)).select(
-        "tile", F.col("row").cast("int").alias("wrow"), F.col("col").cast("int").alias("wcol"), F.col("days").alias("_days")
-    )
     placed = window1(assign_tile(pairs, tiles), anchor=anchor)
-    joined = lookup_join(with_year_days(placed), keyed, WINDOW_KEYS, "left", hot)
+    seen = attach_windows(placed, burns, 1, ["days"], hot, asked)
+    joined = with_year_days(seen.withColumn("_days", F.get("days", F.lit(0))).drop("days"))
     flags = {}
     for i, y in enumerate(years):
         day = F.coalesce(F.get("_days", F.lit(i)), F.lit(0))

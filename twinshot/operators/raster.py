@@ -14,7 +14,6 @@ from twinshot.operators.region import Ring, within_region
 
 AXES = ["x0", "y0", "dx", "dy", "nx", "ny"]
 EXTENT = ["xmin", "ymin", "xmax", "ymax"]
-MAX_TILES = 100_000
 
 
 def with_extent(tiles: DataFrame) -> DataFrame:
@@ -127,42 +126,39 @@ def crop_pixels(
 def assign_tile(points: DataFrame, tiles: DataFrame, lon: str = "t2_lon", lat: str = "t2_lat") -> DataFrame:
     """Points strictly inside a tile, one row per (point, tile), with the tile's axes.
 
-    Tiles are listed under the grid cells they cover, so each point probes one cell of a
-    hash table instead of every tile. The table is broadcast up to ``MAX_TILES`` tiles;
-    beyond that both sides are shuffled on cells much smaller than a tile, which keeps the
-    number of keys high.
+    Every tile is listed in a grid whose cells are as wide as the tile, rounded up to a power of two, so it
+    meets four cells at most, however much sizes differ. A point probes one cell of each grid that any
+    tile is in; that list is a scalar subquery, so nothing runs before the result is asked for. Tiles are
+    joined by cell, without hint: adaptive execution broadcasts them by measured size, or shuffles.
     """
-    width = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
-    sized = tiles.limit(MAX_TILES + 1).agg(F.count("*").alias("n"), F.max(width).alias("w")).first()
-    small = sized["n"] <= MAX_TILES
-    cell = float(sized["w"] or 1.0) if small else float(sized["w"]) / 16
+    width = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"), F.lit(1e-9))
+    levelled = tiles.withColumn("_level", F.ceil(F.log2(width)).cast("int"))
+    levels = levelled.agg(F.collect_set("_level").alias("_levels")).scalar()
+
+    def cell(v: Column, level: Column) -> Column:
+        return F.floor(v / F.pow(F.lit(2.0), level))
 
     def span(low: str, high: str) -> Column:
-        return F.explode(F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell)))
+        return F.explode(F.sequence(cell(F.col(low), F.col("_level")), cell(F.col(high), F.col("_level"))))
 
-    listed = tiles.withColumn("_cx", span("xmin", "xmax")).withColumn("_cy", span("ymin", "ymax"))
-    if small:
-        listed = F.broadcast(listed)
+    listed = levelled.withColumn("_cx", span("xmin", "xmax")).withColumn("_cy", span("ymin", "ymax"))
     x, y = F.col(lon), F.col(lat)
     inside = (x > F.col("xmin")) & (x < F.col("xmax")) & (y > F.col("ymin")) & (y < F.col("ymax"))
     # A point without position gets a cell no tile covers.
     nowhere = F.lit(-(2**62))
+    probing = points.withColumn("_level", F.explode(levels))
     return (
-        points.withColumn("_cx", F.coalesce(F.floor(x / cell), nowhere))
-        .withColumn("_cy", F.coalesce(F.floor(y / cell), nowhere))
-        .join(listed, ["_cx", "_cy"])
+        probing.withColumn("_cx", F.coalesce(cell(x, F.col("_level")), nowhere))
+        .withColumn("_cy", F.coalesce(cell(y, F.col("_level")), nowhere))
+        .join(listed.select("_level", "_cx", "_cy", "tile", *AXES, *EXTENT), ["_level", "_cx", "_cy"])
         .where(inside)
         .select(*points.columns, "tile", *AXES)
     )
 
 
 # ----- pixel windows ----------------------------------------------------------------
-# A window is named by one pixel: its lowest corner (2 x 2) or its centre (3 x 3). The
-# raster side is spread onto the windows it belongs to and grouped once per raster; a
-# point then needs a single join row for its whole window, with no explode and no second
-# aggregation on the (much larger) point side.
-
-WINDOW_KEYS = ["tile", "wrow", "wcol"]
+# A window is named by one pixel: its lowest corner (2 x 2) or its centre (3 x 3). What the
+# raster holds there is read from the block that owns that pixel, see ``blocks.py``.
 
 
 def window2(points: DataFrame, lon: str = "t2_lon", lat: str = "t2_lat", anchor: str = "edge") -> DataFrame:
@@ -204,34 +200,10 @@ def window3(points: DataFrame, lon: str = "t2_lon", lat: str = "t2_lat", anchor:
     return window1(points, lon, lat, anchor).where(inside)
 
 
-def window_table(pixels: DataFrame, size: int, values: list[str]) -> DataFrame:
-    """One row per window holding at least one listed pixel: each value as an array.
-
-    Entry ``column offset * size + row offset``, counted from the window's lowest pixel,
-    is the value of that pixel, NULL if not listed. A row has at most ``size * size`` pixels.
-    """
-    low = {2: 0, 3: -1}[size]
-    offsets = [(dc, dr) for dc in range(low, low + size) for dr in range(low, low + size)]
-    targets = F.array(
-        *[
-            F.struct(
-                (F.col("row") - dr).cast("int").alias("wrow"),
-                (F.col("col") - dc).cast("int").alias("wcol"),
-                F.lit((dc - low) * size + (dr - low)).alias("pos"),
-            )
-            for dc, dr in offsets
-        ]
-    )
-    spread = pixels.select("tile", F.explode(targets).alias("w"), *values).select("tile", "w.*", *values)
-    return spread.groupBy(*WINDOW_KEYS).agg(
-        *[F.array(*[F.max(F.when(F.col("pos") == p, F.col(v))) for p in range(size * size)]).alias(v) for v in values]
-    )
-
-
 def window_pixels(points: DataFrame, size: int) -> DataFrame:
     """Long form of the windows: one row per point and pixel (``p, row, col``).
 
-    For ad-hoc lookups against a pixel table; the overlays use ``window_table`` instead.
+    For ad-hoc lookups against a pixel table; the overlays use block tables instead.
     ``p`` counts x offsets outermost, starting from the nearest pixel for 2 x 2 windows.
     """
     if size == 1:

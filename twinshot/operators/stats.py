@@ -167,9 +167,8 @@ def kde(df: DataFrame, col: str, by: list[str] | None = None, points: int = 200,
     """Gaussian kernel density on a grid of each group: ``x, density``.
 
     Bandwidth is the sample standard deviation times n^(-1/5); the grid reaches ``cut``
-    bandwidths past the extremes. Equal values are combined first; each distinct value
-    meets the fixed grid in its own task and partial sums are shuffled, so the shuffle
-    holds at most ``points`` rows per group and task.
+    bandwidths past the extremes. Every row meets the fixed grid in its own task and only partial
+    sums are shuffled: at most ``points`` rows per group and task, whatever the number of values.
     """
     by = by or []
     rows = df.select(*by, F.col(col).cast("double").alias("_v")).where("_v is not null")
@@ -177,15 +176,14 @@ def kde(df: DataFrame, col: str, by: list[str] | None = None, points: int = 200,
         F.count("*").alias("_n"), F.stddev("_v").alias("_sd"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )
     shape = shape.withColumn("_bw", F.col("_sd") * F.pow("_n", F.lit(-0.2))).where("_bw > 0")
-    weights = rows.groupBy(*by, "_v").agg(F.count("*").alias("_w"))
-    joined = join_groups(weights, shape, by) if by else attach_row(weights, shape)
+    joined = join_groups(rows, shape, by) if by else attach_row(rows, shape).where("_bw > 0")
     step = (F.col("_hi") - F.col("_lo") + 2 * cut * F.col("_bw")) / (points - 1)
     grid = joined.withColumn("_step", step).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     x = F.col("_lo") - cut * F.col("_bw") + F.col("point") * F.col("_step")
     z = (x - F.col("_v")) / F.col("_bw")
     norm = F.col("_n") * F.col("_bw") * math.sqrt(2 * math.pi)
     return grid.groupBy(*by, "point", x.alias("x"), norm.alias("_norm")).agg(
-        F.sum(F.col("_w") * F.exp(z * z * -0.5)).alias("_s")
+        F.sum(F.exp(z * z * -0.5)).alias("_s")
     ).select(*by, "point", "x", (F.col("_s") / F.col("_norm")).alias("density"))
 
 

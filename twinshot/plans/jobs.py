@@ -1,4 +1,8 @@
-"""End-to-end jobs: each reads tables, composes operators and writes one result table."""
+"""End-to-end jobs: each reads tables, composes operators and writes one result table.
+
+Rasters may be pixel tables or stored block tables (``operators/blocks.py``); of the latter only the tiles
+are read that pairs lie in.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinshot.operators.cohort import dedup_pairs, label_groups
-from twinshot.operators.keys import hot_keys
+from twinshot.operators.blocks import asked_blocks, hot_blocks
+from twinshot.operators.keys import hot_keys, materialise
 from twinshot.operators.overlay import (
     DEFORESTATION,
     disturbed,
@@ -18,7 +23,7 @@ from twinshot.operators.overlay import (
     with_years,
 )
 from twinshot.operators.pairs import enrich_pairs, near_pairs, quality_shots, with_time_diff
-from twinshot.operators.raster import WINDOW_KEYS, assign_tile, window2, window3
+from twinshot.operators.raster import assign_tile, window2, window3
 from twinshot.operators.region import Ring, within_region
 from twinshot.sources.ingest import read_metrics, read_pairs, write_table
 
@@ -35,7 +40,7 @@ SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
 }
 
-# Rows of one raster window that a single task should join at most.
+# Rows of one raster block that a single task should join at most.
 WINDOW_ROWS = 1_000_000
 
 
@@ -60,8 +65,13 @@ def add_metrics(spark: SparkSession, pairs_path: str, metrics_path: str, out: st
     write_table(enrich_pairs(pairs, metrics, hot=hot), out, overwrite)
 
 
-def _hot_windows(pairs: DataFrame, tiles: DataFrame, window, anchor: str) -> DataFrame:
-    return hot_keys(window(assign_tile(pairs, tiles), anchor=anchor), F.xxhash64(*WINDOW_KEYS), WINDOW_ROWS)
+def _blocks(pairs: DataFrame, tiles: DataFrame, window, anchor: str) -> dict[str, DataFrame]:
+    """Blocks that the pairs ask for, stored so that they prune the raster's scan, and those asked for very often.
+
+    Only the positions of the stored pairs are read.
+    """
+    placed = window(assign_tile(pairs.select("t2_lon", "t2_lat"), tiles), anchor=anchor)
+    return {"asked": materialise(asked_blocks(placed)), "hot": hot_blocks(placed, WINDOW_ROWS)}
 
 
 def yearly_degradation(
@@ -77,9 +87,10 @@ def yearly_degradation(
 ) -> None:
     """Pairs with yearly-map degradation inside or outside their interval, deforestation excluded."""
     pairs = with_years(read_pairs(spark, pairs_path))
-    hot = _hot_windows(pairs, tiles, window2, anchor)
     pixels = spark.read.parquet(pixels_path)
-    overlaid = overlay_yearly(pairs, pixels, tiles, years, exclude_class=exclude_class, anchor=anchor, hot=hot)
+    overlaid = overlay_yearly(
+        pairs, pixels, tiles, years, exclude_class=exclude_class, anchor=anchor, **_blocks(pairs, tiles, window2, anchor)
+    )
     write_table(disturbed(overlaid), out, overwrite)
 
 
@@ -95,8 +106,9 @@ def alert_degradation(
 ) -> None:
     """Pairs with alerts inside or outside their interval."""
     pairs = with_days(read_pairs(spark, pairs_path))
-    hot = _hot_windows(pairs, tiles, window3, anchor)
-    overlaid = overlay_alerts(pairs, spark.read.parquet(alerts_path), tiles, buffer_days, anchor=anchor, hot=hot)
+    overlaid = overlay_alerts(
+        pairs, spark.read.parquet(alerts_path), tiles, buffer_days, anchor=anchor, sparse=True, **_blocks(pairs, tiles, window3, anchor)
+    )
     write_table(disturbed(overlaid), out, overwrite)
 
 
@@ -112,8 +124,8 @@ def disturbance_intensity(
 ) -> None:
     """Intensity of the events found by ``yearly_degradation``."""
     pairs = spark.read.parquet(yearly_path).drop("tile")
-    hot = _hot_windows(pairs, tiles, window2, anchor)
-    scored = overlay_intensity(pairs, spark.read.parquet(pixels_path), tiles, first_year, anchor=anchor, hot=hot)
+    pixels = spark.read.parquet(pixels_path)
+    scored = overlay_intensity(pairs, pixels, tiles, first_year, anchor=anchor, **_blocks(pairs, tiles, window2, anchor))
     write_table(scored, out, overwrite)
 
 
@@ -122,7 +134,8 @@ def intact_controls(
 ) -> None:
     """Pairs in forest undisturbed in every year."""
     pairs = read_pairs(spark, pairs_path)
-    write_table(intact_pairs(pairs, spark.read.parquet(pixels_path), tiles, anchor=anchor), out, overwrite)
+    pixels = spark.read.parquet(pixels_path)
+    write_table(intact_pairs(pairs, pixels, tiles, anchor=anchor, **_blocks(pairs, tiles, window3, anchor)), out, overwrite)
 
 
 def analysis_frame(overlaid: DataFrame) -> DataFrame:
