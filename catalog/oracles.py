@@ -434,7 +434,17 @@ def build(region: list, chunk_region: list) -> dict[str, str]:
     for name, mods in (("intact_pairs", (97,)), ("intact_in_both", (97, 89))):
         ok = " and ".join(f"sum(case when {deg('row','col',m)}<>9999 then 1 else 0 end)=0" for m in mods)
         q[name] = sql(f"select t1_shot_number, t2_shot_number from cells3 group by 1,2 having {ok} and count(row)=9", "cells3")
+    q["job_find_pairs"] = q["near_pairs_of_region"].replace("as distance_m from", "as distance_m, round(t2_agbd_a0,6) as t2_agbd_a0 from")
+    q["job_add_metrics"] = q["enriched_pairs"]
+    q["metrics_from_csv"] = """select date_diff('day', date '1995-01-01', o_orderdate::date)::bigint*1000000+o_orderkey as shot_num, round(o_totalprice/1000,6) as agbd_a0,
+        round(o_totalprice/10000,6) as rh_98_a0, (c_acctbal < 0)::int as outlier_umd from orders join customer on o_custkey=c_custkey"""
+    q["job_yearly_degradation"] = f"select * from ({q['overlay_yearly_no_deforestation']}) where measured_disturbance+control_disturbance>0"
+    q["job_alert_degradation"] = q["overlay_alerts_buffered"]
+    q["job_intact_controls"] = q["intact_pairs"]
+    q["chunked_pairs"] = sql("select count(*) as n, 0::bigint as too_large from pairs", "pairs")
+    q["treatment_hand_off"] = sql("select t1_shot_number, t2_shot_number, round(t1_agbd_a0,6) as t1_agbd_a0, measured_disturbance from cohort where sample_grp='treatment'", "cohort")
     q["overlay_intensity"] = sql("select t1_shot_number, t2_shot_number, round(disturb_intensity, 4) as disturb_intensity from intensity", "intensity")
+    q["job_disturbance_intensity"] = q["overlay_intensity"]
     q["overlay_burn"] = sql("select t1_shot_number, t2_shot_number, burn_bool_1996, burn_bool_1997, burn_bool_1998, burn_bool_1999, interceding_burn from burn", "burn")
     q["group_counts"] = sql("select sample_grp, count(*) as n from labelled group by 1", "labelled")
     q["dedup_pairs"] = sql("select sample_grp, t1_shot_number, t2_shot_number from cohort", "cohort")

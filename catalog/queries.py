@@ -16,8 +16,11 @@ from twinshot.operators import profiles as V
 from twinshot.operators import raster as R
 from twinshot.operators import region as Z
 from twinshot.operators import stats as A
-from twinshot.operators.keys import materialise
-from twinshot.sources.ingest import points_from_wkb
+from twinshot.operators.blocks import store_blocks
+from twinshot.operators.keys import materialise, new_folder
+from twinshot.plans import jobs
+from twinshot.schemas import METRIC_SCHEMA
+from twinshot.sources.ingest import points_from_wkb, read_metrics, read_pairs, write_chunks, write_table
 
 Query = DataFrame
 KEYS = P.PAIR_KEYS
@@ -325,6 +328,96 @@ def overlay_burn(spark, sf):
     return b.select(*KEYS, *[f"burn_bool_{y}" for y in D.YEARS], "interceding_burn")
 
 
+# ----- jobs and sinks: tables written, a job run on them, its result read back ------------
+
+
+@query
+def job_find_pairs(spark, sf):
+    at = new_folder(spark)
+    write_table(D.shots(spark, sf), f"{at}/shots")
+    jobs.find_pairs(spark, f"{at}/shots", f"{at}/pairs", D.REGION)
+    return read_pairs(spark, f"{at}/pairs").select(*KEYS, r6("distance_m", digits=4), r6("t2_agbd_a0"))
+
+
+@query
+def job_add_metrics(spark, sf):
+    at = new_folder(spark)
+    write_table(D.pairs(spark, sf).select(*KEYS), f"{at}/pairs")
+    known = D.shot_metrics(spark, sf)
+    whole = known.select(*[F.col(n) if n in known.columns else F.lit(0).alias(n) for n in METRIC_SCHEMA.fieldNames()])
+    whole.write.option("header", True).csv(f"{at}/metrics")
+    jobs.add_metrics(spark, f"{at}/pairs", f"{at}/metrics", f"{at}/out")
+    return read_pairs(spark, f"{at}/out").select(*KEYS, *[r6(f"{t}_{m}") for t in ("t1", "t2") for m in ("agbd_a0", "rh_98_a0")])
+
+
+@query
+def metrics_from_csv(spark, sf):
+    """Metric files whose headers differ in order, and one with a column of its own."""
+    at = new_folder(spark)
+    known = D.shot_metrics(spark, sf)
+    whole = known.select(*[F.col(n) if n in known.columns else F.lit(0).alias(n) for n in METRIC_SCHEMA.fieldNames()])
+    names = whole.columns
+    for i, order in enumerate((names, names[::-1], [*names[5:], "extra", *names[:5]])):
+        part = whole.withColumn("extra", F.lit("x")).where(F.col("shot_num") % 3 == i).select(*order)
+        part.write.mode("append").option("header", True).csv(f"{at}/metrics")
+    return read_metrics(spark, f"{at}/metrics").select("shot_num", r6("agbd_a0"), r6("rh_98_a0"), "outlier_umd")
+
+
+def _pairs_and_raster(spark, sf, raster: DataFrame, *columns: str) -> str:
+    at = new_folder(spark)
+    write_table(D.pairs(spark, sf, "absolute_time", *columns), f"{at}/pairs")
+    store_blocks(raster, f"{at}/raster")
+    return at
+
+
+@query
+def job_yearly_degradation(spark, sf):
+    at = _pairs_and_raster(spark, sf, D.yearly_raster(spark, sf, deforestation=True))
+    jobs.yearly_degradation(spark, f"{at}/pairs", f"{at}/raster", D.tiles(spark, sf), f"{at}/out", D.YEARS)
+    return spark.read.parquet(f"{at}/out").select(*KEYS, *_hits(4))
+
+
+@query
+def job_alert_degradation(spark, sf):
+    at = _pairs_and_raster(spark, sf, D.alert_raster(spark, sf))
+    jobs.alert_degradation(spark, f"{at}/pairs", f"{at}/raster", D.tiles(spark, sf), f"{at}/out", epoch=D.EPOCH)
+    return spark.read.parquet(f"{at}/out").select(*KEYS, *_hits(9))
+
+
+@query
+def job_disturbance_intensity(spark, sf):
+    at = _pairs_and_raster(spark, sf, D.yearly_raster(spark, sf))
+    jobs.yearly_degradation(spark, f"{at}/pairs", f"{at}/raster", D.tiles(spark, sf), f"{at}/yearly", D.YEARS, exclude_class=None)
+    store_blocks(D.intensity_raster(spark, sf), f"{at}/counts")
+    jobs.disturbance_intensity(spark, f"{at}/yearly", f"{at}/counts", D.tiles(spark, sf), f"{at}/out", D.YEARS[0])
+    out = spark.read.parquet(f"{at}/out")
+    return out.select(*KEYS, r6(F.col("disturb_intensity").cast("double"), "disturb_intensity", 4))
+
+
+@query
+def job_intact_controls(spark, sf):
+    at = _pairs_and_raster(spark, sf, D.yearly_raster(spark, sf, 97))
+    jobs.intact_controls(spark, f"{at}/pairs", f"{at}/raster", D.tiles(spark, sf), f"{at}/out")
+    return spark.read.parquet(f"{at}/out").select(*KEYS)
+
+
+@query
+def chunked_pairs(spark, sf):
+    """Pairs written in files of 1000 rows at most: all of them, and how many files are too large."""
+    at = new_folder(spark)
+    write_chunks(D.pairs(spark, sf).select(*KEYS), at, rows=1000)
+    files = spark.read.parquet(at).groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("rows"))
+    return files.agg(F.sum("rows").alias("n"), F.count_if(F.col("rows") > 1000).alias("too_large"))
+
+
+@query
+def treatment_hand_off(spark, sf):
+    """Treatment pairs written for the burn analysis and read back."""
+    at = new_folder(spark)
+    write_table(C.treatment_rows(cohort(spark, sf, "agbd_a0")), at, partition_by=["tile"])
+    return read_pairs(spark, at).select(*KEYS, r6("t1_agbd_a0"), "measured_disturbance")
+
+
 # ----- cohorts ----------------------------------------------------------------------
 
 

@@ -79,12 +79,31 @@ def test_join_groups_keeps_null_groups(spark):
     assert sorted(map(tuple, join_groups(rows, groups, ["g"]).collect()), key=str) == [("a", 1, 10), (None, 2, 20)]
 
 
-def test_csv_with_another_column_order_fails(spark, tmp_path):
+def test_csv_folder_of_differing_headers(spark, tmp_path):
+    """Two orders of the columns, and a file with a quoted column of its own, each value in its column."""
     names = [f.name for f in schemas.METRIC_SCHEMA.fields]
-    for i, order in enumerate((names, names[:1] + names[1:][::-1])):
-        (tmp_path / f"m{i}.csv").write_text(",".join(order) + "\n" + ",".join("3" for _ in order) + "\n")
-    with pytest.raises(Exception, match="header"):
-        ingest.read_metrics(spark, str(tmp_path)).collect()
+    orders = (names, names[:1] + names[1:][::-1], [*names[3:], '"more, or less"', *names[:3]])
+    for i, order in enumerate(orders):
+        cells = ["x" if '"' in n else "b" if n == "beam" else str(names.index(n) + i) for n in order]
+        (tmp_path / f"m{i}.csv").write_text(",".join(order) + "\n" + ",".join(cells) + "\n")
+    got = sorted(ingest.read_metrics(spark, str(tmp_path)).collect(), key=lambda r: r.shot_num)
+    assert [[r[n] for n in names if n != "beam"] for r in got] == [[names.index(n) + i for n in names if n != "beam"] for i in range(3)]
+
+
+def test_work_folder_is_gone_afterwards(spark):
+    from pathlib import Path
+
+    from twinshot.operators.keys import work_folder
+
+    with work_folder(spark) as at:
+        assert materialise(spark.range(5)).count() == 5
+        folder = Path(at.removeprefix("file:"))
+        assert len(list(folder.iterdir())) == 1
+    assert not folder.exists()
+    with pytest.raises(ValueError), work_folder(spark) as at:
+        materialise(spark.range(5))
+        raise ValueError
+    assert not Path(at.removeprefix("file:")).exists()
 
 
 def test_tiles_of_very_different_sizes(spark):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,12 +29,35 @@ def materialise(df: DataFrame, path: str | None = None, partition_by: list[str]
     that setting (a local test) makes itself a folder for checkpoints.
     """
     spark = df.sparkSession
-    if path is None:
-        path = f"{_shared_folder(spark)}/twinshot-{uuid.uuid4().hex}"
+    path = path or new_folder(spark)
     df.write.mode("errorifexists").parquet(path, partitionBy=partition_by)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_WORK: ContextVar[str | None] = ContextVar("work folder", default=None)
+
+
+def new_folder(spark) -> str:
+    """A path that nothing uses yet: in the work folder at hand, else in the shared folder."""
+    return f"{_WORK.get() or _shared_folder(spark)}/twinshot-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def work_folder(spark):
+    """A folder for all that is stored inside the ``with``, removed at its end, also after a failure.
+
+    For steps that write their result: a table that is read later must not be stored in it.
+    """
+    path = new_folder(spark)
+    token = _WORK.set(path)
+    try:
+        yield path
+    finally:
+        _WORK.reset(token)
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _shared_folder(spark) -> str:
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()

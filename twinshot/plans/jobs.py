@@ -6,13 +6,16 @@ are read that pairs lie in.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinshot.operators.cohort import dedup_pairs, label_groups
 from twinshot.operators.blocks import asked_blocks, hot_blocks
-from twinshot.operators.keys import hot_keys, materialise
+from twinshot.operators.keys import hot_keys, materialise, work_folder
 from twinshot.operators.overlay import (
+    ALERT_EPOCH,
     DEFORESTATION,
     disturbed,
     intact_pairs,
@@ -50,14 +53,33 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def job(run):
+    """What the job stores between its steps is gone when it ends."""
+
+    @wraps(run)
+    def tidy(spark: SparkSession, *args, **kw) -> None:
+        with work_folder(spark):
+            run(spark, *args, **kw)
+
+    return tidy
+
+
+@job
 def find_pairs(spark: SparkSession, shots_path: str, out: str, region: Ring | None = None, radius_m: float = 40.0, overwrite: bool = False) -> None:
-    """Near-coincident pairs of the quality shots of a region."""
+    """Near-coincident pairs of the quality shots of a region, with all columns of both shots.
+
+    The distance join sees ids and positions only; the other columns are attached to the pairs that it
+    finds.
+    """
     shots = quality_shots(spark.read.parquet(shots_path))
     if region:
         shots = within_region(shots, region)
-    write_table(near_pairs(shots, radius_m, partition_col="geo_partition"), out, overwrite)
+    narrow = materialise(shots.select("shot_number", "lon", "lat"))
+    pairs = near_pairs(narrow, radius_m, partition_col="geo_partition")
+    write_table(enrich_pairs(pairs, shots.drop("lon", "lat"), key="shot_number", outlier=None), out, overwrite)
 
 
+@job
 def add_metrics(spark: SparkSession, pairs_path: str, metrics_path: str, out: str, overwrite: bool = False) -> None:
     """Both shots' metrics on each pair, without outliers."""
     pairs, metrics = read_pairs(spark, pairs_path), read_metrics(spark, metrics_path)
@@ -74,6 +96,7 @@ def _blocks(pairs: DataFrame, tiles: DataFrame, window, anchor: str) -> dict[str
     return {"asked": materialise(asked_blocks(placed)), "hot": hot_blocks(placed, WINDOW_ROWS)}
 
 
+@job
 def yearly_degradation(
     spark: SparkSession,
     pairs_path: str,
@@ -94,6 +117,7 @@ def yearly_degradation(
     write_table(disturbed(overlaid), out, overwrite)
 
 
+@job
 def alert_degradation(
     spark: SparkSession,
     pairs_path: str,
@@ -103,15 +127,17 @@ def alert_degradation(
     buffer_days: int = 30,
     anchor: str = "centre",
     overwrite: bool = False,
+    epoch: str = ALERT_EPOCH,
 ) -> None:
-    """Pairs with alerts inside or outside their interval."""
-    pairs = with_days(read_pairs(spark, pairs_path))
+    """Pairs with alerts inside or outside their interval; ``epoch`` is day zero of the alerts."""
+    pairs = with_days(read_pairs(spark, pairs_path), epoch)
     overlaid = overlay_alerts(
         pairs, spark.read.parquet(alerts_path), tiles, buffer_days, anchor=anchor, sparse=True, **_blocks(pairs, tiles, window3, anchor)
     )
     write_table(disturbed(overlaid), out, overwrite)
 
 
+@job
 def disturbance_intensity(
     spark: SparkSession,
     yearly_path: str,
@@ -129,6 +155,7 @@ def disturbance_intensity(
     write_table(scored, out, overwrite)
 
 
+@job
 def intact_controls(
     spark: SparkSession, pairs_path: str, pixels_path: str, tiles: DataFrame, out: str, anchor: str = "centre", overwrite: bool = False
 ) -> None:

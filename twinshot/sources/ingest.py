@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -51,22 +54,33 @@ def points_from_wkb(df: DataFrame, geometry: str = "geometry", lon: str = "lon",
 
 
 def read_metrics(spark: SparkSession, path: str, schema: StructType = METRIC_SCHEMA) -> DataFrame:
-    """Shot metrics from CSV files with a header; the declared schema saves an inference pass.
+    """Shot metrics from CSV files with headers; the declared schema saves an inference pass.
 
-    Columns are chosen by header name and may come in any order, the same one in all files:
-    a file whose header differs from the first one's fails when it is read, instead of
-    putting values into the wrong columns. Read differing files apart and union them by name.
+    Columns are chosen by header name; files of one folder may have them in different orders and have
+    columns of their own. Files are grouped by their first line in one pass of Spark over the folder, and
+    each distinct header is one scan; the scans are united by name. A file that lacks a declared
+    column is an error.
     """
-    header = spark.read.option("header", True).csv(path).columns
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value")
+    # The first line of a file is the first row of its first block.
+    first = lines.where("at = 0").groupBy("file").agg(F.first("value").alias("header"))
+    headers = first.groupBy("header").agg(F.collect_list("file").alias("files")).collect()
     types = {f.name: f.dataType for f in schema.fields}
-    missing = [n for n in types if n not in header]
-    if missing:
-        raise ValueError(f"columns missing from {path}: {missing}")
-    # Columns outside the declared schema are read as text and pruned.
-    file_schema = StructType()
-    for name in header:
-        file_schema.add(name, types.get(name, "string"))
-    return spark.read.schema(file_schema).option("header", True).option("enforceSchema", False).csv(path).select(*types)
+    parts = []
+    for row in sorted(headers, key=lambda r: r["header"] or ""):
+        names = next(csv.reader([row["header"] or ""]), [])
+        missing = [n for n in types if n not in names]
+        if missing:
+            raise ValueError(f"columns missing from {row['files'][:3]}: {missing}")
+        # Columns outside the declared schema are read as text and pruned.
+        file_schema = StructType()
+        for name in names:
+            file_schema.add(name, types.get(name, "string"))
+        scan = spark.read.schema(file_schema).option("header", True).option("enforceSchema", False).csv(row["files"])
+        parts.append(scan.select(*types))
+    if not parts:
+        return spark.createDataFrame([], schema)
+    return reduce(DataFrame.union, parts)
 
 
 def jdbc_options(url: str, table: str, partition: dict | None = None, properties: dict | None = None) -> dict[str, str]:
