@@ -6,6 +6,7 @@ import math
 import random
 import re
 import string
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -442,9 +443,70 @@ def test_html_surge_and_dive_choose_on_every_page():
     marked, plain = (html.main_text(frame.format(f"<{t}>{story}</{t}>")) for t in ("article", "div"))
     assert marked == plain and marked.startswith("Title") and marked.count("Short.") == 4 and marked.endswith("Short.")
     # A mark is a weight and no selector: much text outside is chosen too, little is not.
-    both = "<article><p>Teaser.</p></article><div>Menu line</div><nav>x</nav><div>" + f"<p>{long * 3}</p>" * 3 + "</div>"
-    assert html.main_text(both).startswith("Teaser. Sentence") and "Menu" not in html.main_text(both)
-    assert html.main_text("<article><p>Teaser.</p></article><div>" + long + "</div>") == "Teaser."
+    teaser = "A teaser of a few words more."
+    both = f"<article><p>{teaser}</p></article><div>Menu line</div><nav>x</nav><div>" + f"<p>{long * 3}</p>" * 3 + "</div>"
+    assert html.main_text(both).startswith(teaser + " Sentence") and "Menu" not in html.main_text(both)
+    assert html.main_text(f"<article><p>{teaser}</p></article><div>{long}</div>") == teaser
+    # The mark is a bounded factor: beside longer text, an article of seven characters does not surge.
+    assert "Teaser" not in html.main_text(both.replace(teaser, "Teaser."))
+
+
+def _runs_by_brute_force(weights):
+    """The rule as stated: sums over windows that reach over either end, a surge, and the dives around it."""
+    at = range(-html.WINDOW + 1, len(weights))
+    block = {i: sum(w for j, w in enumerate(weights) if i <= j < i + html.WINDOW) for i in at}
+    top = max(block.values(), default=0)
+    main = set()
+    for i in at:
+        if top and block[i] >= min(html.SURGE, top):
+            first = last = i
+            while block.get(first - 1, 0) > 0:
+                first -= 1
+            while block.get(last + 1, 0) > 0:
+                last += 1
+            main |= set(range(first + html.WINDOW - 1, last + 1))
+    return main
+
+
+def test_html_runs_equal_brute_force():
+    draw = random.Random(5)
+    for _ in range(400):
+        weights = [draw.choice([0, 0, 0, 0, 0, draw.randint(1, 60), draw.randint(60, 200) / 4]) for _ in range(draw.randint(0, 30))]
+        got = {i for first, end in html.chosen(weights) for i in range(first, end)}
+        assert got == _runs_by_brute_force(weights), weights
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<article><p>Hello world.</p><svg-icon name="x"></svg-icon><p>Rest of text.</p></article>', "Hello world. Rest of text."),
+        ('<article><p>Hello world.</p><svg width="1"/><p>Rest of text.</p></article>', "Hello world. Rest of text."),
+        ("<article><p>A</p><svg><svg><text>no</text></svg></svg><script-x>B</script-x><scripted>C</scripted></article>", "A BC"),
+        ('<body><form id="aspnetForm"><input><article><p>Story.</p></article></form></body>', "Story."),
+        ("<body><form><div><p>One here.</p><p>Two here.</p><p>Three here.</p></div></form></body>", "One here. Two here. Three here."),
+        ("<article><p>Hi.</p><form><p>Your name</p><input></form><p>End.</article>", "Hi. End."),
+        ('<article><p>Hi.</p><div class="cookie-notice">C</div><div class="newsletter">N</div><p>End.</article>', "Hi. End."),
+        ('<article><p>Hi.</p><p class="comment">K</p><div id="respond">R</div><ul class="menu"><li>m</ul></article>', "Hi."),
+        ('<article class="post tag-cookie"><p>Body.</p><article class="comment-body">Nice!</article></article>', "Body."),
+        ('<div class="page has-sidebar"><p data-id="menu">Body.</p></div>', "Body."),
+        ('<article><p>A <a "b>c</a></p><p title="x>d</p></article>', "A c d"),
+        ("<article><p>A</p></article><script>var a = 1;", "A"),
+        ("one <two and three", "one <two and three"),
+    ],
+)
+def test_html_keeps_what_is_text_and_no_more(page, text):
+    assert html.main_text(page) == text
+
+
+@pytest.mark.parametrize(
+    "piece",
+    ['<a "', "<a href='", '<a href="x>', "<a ", "<", "</b>", "<!--", "<script>", "<form>", "<a class=", "<![CDATA[", "&amp"],
+)
+def test_html_time_is_linear_in_what_is_left_open(piece):
+    page = "<b><div>" * 2000 + piece * (1_000_000 // len(piece) // 4) + "</b>" * 20_000
+    start = time.process_time()
+    html.main_text(page)
+    assert time.process_time() - start < 5
 
 
 @pytest.mark.parametrize(

@@ -6,15 +6,20 @@ sum of weights over a window of ``WINDOW`` lines. Text surges where the block re
 dives where blocks fall to nothing; what lies between a surge and its dive is main text, short lines
 inside it included. The threshold is ``SURGE``, or the page's largest block if that is smaller.
 
-The same rule chooses on every page. An article mark is a weight: if a page has one, a character inside
-weighs ``INSIDE`` and one outside ``OUTSIDE``.
+The same rule chooses on every page, by text lengths. An article mark is a bounded factor: if a page has
+one, a character inside weighs ``INSIDE`` and one outside ``OUTSIDE``, so an article of under 20 characters
+in any three lines does not surge beside longer text.
+
+Pages are read by a scanner that looks at every character a fixed number of times, whatever is left open.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +30,16 @@ from twinshot.llm.words import slices
 
 WINDOW = 3
 SURGE = 80
-#: Weights of a character on a page with an article mark: any text inside surges, outside it takes 320.
-INSIDE = 80.0
+#: Weights of a character on a page with an article mark: three lines surge from 20 characters inside, 320 outside.
+INSIDE = 4.0
 OUTSIDE = 0.25
 
 # Elements by their role in HTML.
-_RAW = "script|style|noscript|template|svg|math|canvas|iframe|object|title"
-_BOILERPLATE = set("nav footer aside form menu dialog button select textarea figure-nav".split())
+_RAW = set("script style iframe title".split())
+_BOILERPLATE = set("nav footer aside form menu dialog button select textarea noscript template svg math canvas object".split())
+# A form around one of these, or around this many paragraphs, holds the page and is none of its forms.
+_PAGE_PARTS = set("article main nav header footer h1".split())
+_PAGE_PARAGRAPHS = 3
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCKS = set(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
@@ -43,19 +51,29 @@ _MAIN = {"article", "main"}
 _NAMED = set(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies copyright "
     "disqus footer header menu modal nav navbar navigation newsletter notice pager pagination popup promo promotion related "
-    "replies share sharing sidebar skip social sponsor sponsored subscribe toolbar widget complementary contentinfo search".split()
+    "replies respond share sharing sidebar skip social sponsor sponsored subscribe toolbar widget complementary contentinfo search".split()
 )
 
 # Inside an article, and in names of an article's own parts (entry-header), only these words count.
-_UNMISTAKABLE = set("ad ads advert adverts advertisement advertising comments disqus sharing sponsored".split())
+_UNMISTAKABLE = set(
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies disqus menu "
+    "modal nav navbar navigation newsletter notice pager pagination popup promo replies respond sharing sidebar sponsored "
+    "subscribe".split()
+)
 _UNMISTAKABLE_NAMES = set("share share-bar share-buttons share-links social-share comment-list comment-form".split())
 _OWN_PARTS = set("article content entry post story".split())
+# An <article> is out only if it is a reader's comment; other names on it are tags of its subject.
+_COMMENT_NAMES = set("comment comments comment-body".split())
+# Names such as has-sidebar or no-comments tell of the page, not of the element.
+_TELLING = set("has have no with without".split())
 # Elements of running text: what holds them directly is a column of text.
 _PROSE = set("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 
-_SKIP = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[|<(?P<raw>{_RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>", re.S | re.I)
-_TAG = re.compile(r"""<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""")
-_NAME = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_OPEN = re.compile(r"</?([A-Za-z][A-Za-z0-9:-]*)")
+# What may end a tag or open a quoted value; a quote elsewhere in a tag is an ordinary character.
+_STOP = re.compile(r""">|=\s*["']""")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in _RAW}
+_NAME = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"""\shidden(?:[\s=]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 
@@ -68,6 +86,12 @@ def _boilerplate(name: str, attributes: str, in_main: bool, in_article: bool) ->
     for m in _NAME.findall(attributes):
         for part in m.lower().strip("\"'").split():
             words = set(_WORD.findall(part))
+            if name in _MAIN:
+                if part in _COMMENT_NAMES:
+                    return True
+                continue
+            if words & _TELLING:
+                continue
             own = in_article or words & _OWN_PARTS
             if part in _UNMISTAKABLE_NAMES or words & (_UNMISTAKABLE if own else _NAMED):
                 return True
@@ -92,15 +116,88 @@ class _Element:
         return h.within or (h.column and h.name not in ("body", "html", ""))
 
 
+class _Tag(NamedTuple):
+    start: int
+    end: int
+    name: str
+    closing: bool = False
+    attributes: str = ""
+    wraps: bool = False
+
+
+def _tag_end(page: str, at: int, last: dict[str, int]) -> int:
+    """Place after the tag whose name ends at ``at``, or -1 if nothing ends it."""
+    while stop := _STOP.search(page, at):
+        at = stop.end()
+        if stop[0] == ">":
+            return at
+        quote = page[at - 1]
+        # A quote that nothing closes is an ordinary character; ``last`` says so without a look to the end.
+        if at <= last[quote]:
+            at = page.index(quote, at) + 1
+    return -1
+
+
+def tags(page: str) -> list[_Tag]:
+    """Tags, comments and raw elements (both without a name) of a page, in order.
+
+    A comment or raw element that is left open reaches to the page's end, as in a browser; from a tag
+    without an end on all is text.
+    """
+    last = {q: page.rfind(q) for q in "\"'"}
+    found: list[_Tag] = []
+    at = page.find("<")
+    while at >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            found.append(_Tag(at, end + 3 if end >= 0 else len(page), ""))
+        elif page.startswith("<![CDATA[", at):
+            found.append(_Tag(at, at + 9, ""))
+        elif page.startswith(("<!", "<?"), at):
+            end = page.find(">", at)
+            found.append(_Tag(at, end + 1 if end >= 0 else len(page), ""))
+        elif m := _OPEN.match(page, at):
+            end = _tag_end(page, m.end(), last)
+            if end < 0:
+                break
+            name, closing = m[1].lower(), page[at + 1] == "/"
+            if name in _RAW and not closing:
+                close = _RAW_END[name].search(page, end)
+                end = _tag_end(page, close.end(), last) if close else -1
+                found.append(_Tag(at, end if end >= 0 else len(page), ""))
+            else:
+                found.append(_Tag(at, end, name, closing, page[m.end() : end - 1]))
+        else:
+            at = page.find("<", at + 1)
+            continue
+        at = page.find("<", found[-1].end)
+    return _with_wrappers(found)
+
+
+def _with_wrappers(found: list[_Tag]) -> list[_Tag]:
+    """Mark the forms that a page, or the body of one, lies in. Forms don't nest."""
+    form, paragraphs = None, 0
+    for i, tag in enumerate(found):
+        if tag.name == "form":
+            form, paragraphs = (None, 0) if tag.closing else (i if form is None else form, paragraphs)
+        elif form is not None and not tag.closing:
+            paragraphs += tag.name == "p"
+            if tag.name in _PAGE_PARTS or paragraphs >= _PAGE_PARAGRAPHS:
+                found[form] = found[form]._replace(wraps=True)
+    return found
+
+
 def lines(page: str) -> tuple[list[str], list[float]]:
     """(text, weight) of the page's lines."""
-    page = _SKIP.sub(" ", page)
     texts: list[str] = []
     weights: list[int] = []
     inside: list[bool] = []
     line: list[str] = []
     weight = 0
     stack = [_Element("")]
+    #: Places in the stack by name, and of its blocks, so that an end tag finds its element at once.
+    places: defaultdict[str, list[int]] = defaultdict(list)
+    block_places: list[int] = []
     skipping = links = mains = 0
     main_here = prose_here = False
 
@@ -136,35 +233,47 @@ def lines(page: str) -> tuple[list[str], list[float]]:
             if not links:
                 weight += visible
 
+    def pop() -> None:
+        nonlocal skipping, mains, links
+        element = stack.pop()
+        places[element.name].pop()
+        if element.name in _BLOCKS:
+            block_places.pop()
+        skipping -= element.boilerplate
+        mains -= element.main
+        links -= element.name == "a"
+        if element.main and not mains:
+            gap()
+
     at = 0
-    for m in _TAG.finditer(page):
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        closing, name, attributes = m[1], m[2].lower(), m[3]
+    for tag in tags(page):
+        if tag.start > at:
+            add(page[at : tag.start])
+        at = tag.end
+        name, attributes = tag.name, tag.attributes
+        if not name:
+            # Where a comment or script was, words do not grow together.
+            add(" ")
+            continue
         if name in _BLOCKS:
             end_line()
-        if closing:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].name == name), None)
-            if not depth:
-                continue
+        if tag.closing:
+            depth = places[name][-1] if places[name] else 0
             # An end tag closes what was left open inside, but not a part of the page it lies in.
-            if name not in _BLOCKS and any(s.name in _BLOCKS for s in stack[depth + 1 :]):
+            if not depth or (name not in _BLOCKS and block_places and block_places[-1] > depth):
                 continue
-            for element in stack[depth:]:
-                skipping -= element.boilerplate
-                mains -= element.main
-                links -= element.name == "a"
-                if element.main and not mains:
-                    gap()
-            del stack[depth:]
+            while len(stack) > depth:
+                pop()
         elif name not in _VOID and not attributes.rstrip().endswith("/"):
             if name == "p" and stack[-1].name == "p":
-                stack.pop()
-            boiler = _boilerplate(name, attributes, mains > 0, mains > 0 or stack[-1].in_column())
-            is_main = name in _MAIN
+                pop()
+            boiler = not tag.wraps and _boilerplate(name, attributes, mains > 0, mains > 0 or stack[-1].in_column())
+            is_main = name in _MAIN and not boiler
             if (is_main and not mains) or (boiler and not skipping and not mains and not stack[-1].holder.column):
                 gap()
+            places[name].append(len(stack))
+            if name in _BLOCKS:
+                block_places.append(len(stack))
             stack.append(_Element(name, stack[-1], boiler, is_main))
             skipping += boiler
             mains += is_main
@@ -176,21 +285,23 @@ def lines(page: str) -> tuple[list[str], list[float]]:
     return texts, [float(w) for w in weights]
 
 
-def main_text(page: str | None) -> str:
-    """The page's main text; empty for a null page or one without any."""
-    if not page:
-        return ""
-    texts, weights = lines(page)
+def chosen(weights: list[float]) -> list[tuple[int, int]]:
+    """(first, end) of the runs of lines from a surge to its dive."""
     if not any(weights):
-        return ""
-    w = np.array(weights)
+        return []
     # Block i sums lines i - WINDOW + 1 .. i, with lines outside the page empty.
-    sums = np.r_[0, np.cumsum(np.r_[np.zeros(WINDOW - 1), w, np.zeros(WINDOW - 1)])]
-    blocks = sums[WINDOW:] - sums[:-WINDOW]
+    w = np.r_[np.zeros(WINDOW - 1), np.array(weights), np.zeros(WINDOW - 1)]
+    blocks = sum(w[i : len(w) - WINDOW + 1 + i] for i in range(WINDOW))
     surge = min(SURGE, blocks.max())
     edges = np.flatnonzero(np.diff(np.r_[0, (blocks > 0).astype(np.int8), 0]))
-    kept = [(a, b) for a, b in zip(edges[::2], edges[1::2]) if blocks[a:b].max() >= surge]
-    return " ".join(t for begin, dive in kept for t in texts[begin : dive - WINDOW + 1] if t)
+    runs = zip(edges[::2].tolist(), edges[1::2].tolist())
+    return [(begin, dive - WINDOW + 1) for begin, dive in runs if blocks[begin:dive].max() >= surge]
+
+
+def main_text(page: str | None) -> str:
+    """The page's main text; empty for a null page or one without any."""
+    texts, weights = lines(page or "")
+    return " ".join(t for begin, end in chosen(weights) for t in texts[begin:end] if t)
 
 
 def extract(pages: DataFrame, html: str = "html", page_id: str = "page_id", url: str = "url") -> DataFrame:
