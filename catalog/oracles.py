@@ -436,6 +436,7 @@ def build(region: list, chunk_region: list) -> dict[str, str]:
         q[name] = sql(f"select t1_shot_number, t2_shot_number from cells3 group by 1,2 having {ok} and count(row)=9", "cells3")
     q["job_find_pairs"] = q["near_pairs_of_region"].replace("as distance_m from", "as distance_m, round(t2_agbd_a0,6) as t2_agbd_a0 from")
     q["job_add_metrics"] = q["enriched_pairs"]
+    q["enriched_pairs_colocated"] = q["enriched_pairs"]
     q["metrics_from_csv"] = """select date_diff('day', date '1995-01-01', o_orderdate::date)::bigint*1000000+o_orderkey as shot_num, round(o_totalprice/1000,6) as agbd_a0,
         round(o_totalprice/10000,6) as rh_98_a0, (c_acctbal < 0)::int as outlier_umd from orders join customer on o_custkey=c_custkey"""
     q["job_yearly_degradation"] = f"select * from ({q['overlay_yearly_no_deforestation']}) where measured_disturbance+control_disturbance>0"

@@ -17,6 +17,7 @@ from twinshot.operators import raster as R
 from twinshot.operators import region as Z
 from twinshot.operators import stats as A
 from twinshot.operators.blocks import store_blocks
+from twinshot.operators.colocated import buckets_for, store_bucketed
 from twinshot.operators.keys import materialise, new_folder
 from twinshot.plans import jobs
 from twinshot.schemas import METRIC_SCHEMA
@@ -209,7 +210,7 @@ def near_pairs(spark, sf):
 @query
 def near_pairs_of_region(spark, sf):
     s = P.quality_shots(D.shots(spark, sf)).select("shot_number", "lon", "lat")
-    s = Z.within_region(s, D.REGION)
+    s = materialise(Z.within_region(s, D.REGION))
     return P.near_pairs(s, partition_col="geo_partition").select(*KEYS, r6("distance_m", digits=4))
 
 
@@ -220,6 +221,16 @@ def enriched_pairs(spark, sf):
     return e.select(*KEYS, *[r6(f"{t}_{m}") for t in ("t1", "t2") for m in ("agbd_a0", "rh_98_a0")])
 
 
+@query
+def enriched_pairs_colocated(spark, sf):
+    """Pairs and metrics in buckets of their shots: the metrics stay where they are in both joins."""
+    buckets = buckets_for(0, spark.sparkContext.defaultParallelism)
+    metrics = store_bucketed(D.shot_metrics(spark, sf), "shot_num", buckets)
+    p = store_bucketed(D.pairs(spark, sf).select(*KEYS), "t1_shot_number", buckets)
+    e = P.enrich_pairs(p, metrics)
+    return e.select(*KEYS, *[r6(f"{t}_{m}") for t in ("t1", "t2") for m in ("agbd_a0", "rh_98_a0")])
+
+
 @query
 def closer_than_30m(spark, sf):
     return P.closer_than(D.pairs(spark, sf), 30.0).select(*KEYS)

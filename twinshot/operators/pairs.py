@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from twinshot.functions.geo import EARTH_RADIUS_M, geo_partition, haversine_m, haversine_term
 from twinshot.functions.scalar import days_between
-from twinshot.operators.keys import hot_keys, lookup_join
+from twinshot.operators.keys import lookup_join
+from twinshot.operators.quadtree import LEAF_KEYS, in_leaf, in_reached_leaves, leaves, part
 
 PAIR_KEYS = ["t1_shot_number", "t2_shot_number"]
 
@@ -51,13 +52,41 @@ def _own_cell(lon: Column, lat: Column, height: float) -> Column:
     return F.coalesce(key, F.lit(-1).cast("long"))
 
 
+def _own_parts(lon: Column, lat: Column, height: float) -> tuple[Column, Column]:
+    """Parts of its own cell that a point lies in."""
+    band = _band(lat, height)
+    columns = _columns_in_band(band, height)
+    along = F.pmod(lon + 180, F.lit(360.0)) / 360 * columns
+    return part(along - F.least(F.floor(along), columns - 1)), part((lat + 90) / height - band)
+
+
+def _lon_reach(lat: Column, reach: float) -> Column:
+    """Degrees of longitude that ``reach`` degrees of arc span at most."""
+    top_lat = F.abs(lat) + reach
+    return F.when(top_lat >= 89.9, F.lit(180.0)).otherwise(F.lit(reach) / F.cos(F.radians(top_lat)))
+
+
+def _reaches(lon: Column, lat: Column, height: float, reach: float) -> tuple[tuple[Column, Column], tuple[Column, Column]]:
+    """(low, high) of a point's box along the sides of the cell ``_cell``, as fractions of them."""
+    band = F.shiftright("_cell", 32)
+    cell = F.col("_cell").bitwiseAND(F.lit((1 << 32) - 1))
+    columns = _columns_in_band(band, height)
+    half = _lon_reach(lat, reach) / 360 * columns
+    # From the cell's west side to the point, the short way around the globe.
+    along = F.pmod((lon + 180) / 360 * columns - cell + columns / 2, columns.cast("double")) - columns / 2
+    # A box nearly as wide as the band reaches over all of every cell.
+    around = half * 2 >= columns - 2
+    up = (lat + 90) / height - band
+    x = F.when(around, F.lit(0.0)).otherwise(along - half), F.when(around, F.lit(1.0)).otherwise(along + half)
+    return x, (up - reach / height, up + reach / height)
+
+
 def _touched_cells(lon: Column, lat: Column, height: float, reach: float) -> Column:
     """Cells met by the box of ``reach`` degrees of arc around a point, across the antimeridian."""
     bands = F.sequence(
         _band(F.greatest(lat - reach, F.lit(-90.0)), height), _band(F.least(lat + reach, F.lit(90.0)), height)
     )
-    top_lat = F.abs(lat) + reach
-    dlon = F.when(top_lat >= 89.9, F.lit(180.0)).otherwise(F.lit(reach) / F.cos(F.radians(top_lat)))
+    dlon = _lon_reach(lat, reach)
 
     def cells(band: Column) -> Column:
         columns = _columns_in_band(band, height)
@@ -87,10 +116,12 @@ def near_pairs(
     ground, so no pass over the data is needed to size them. One side stays in its own
     cell, the other is copied to the cells its reach touches (on average
     ``(1 + 2 / cell_factor)^2`` copies), which turns the theta join into an equi-join and
-    yields each pair once. Cells above ``hot_cell_rows`` rows are cut into a square of
-    blocks, each joined by its own task; ``None`` leaves skew to the adaptive join. All shot
-    columns appear as ``t1_*`` and ``t2_*``, plus ``distance_m``; with wide shots, pair a
-    few columns and attach the rest by ``enrich_pairs``.
+    yields each pair once. Cells above ``hot_cell_rows`` rows are quartered again and again
+    (``quadtree.py``), and what can't be is cut into a square of blocks, each joined by its own
+    task; ``None`` leaves skew to the adaptive join. All shot columns appear as ``t1_*`` and ``t2_*``,
+    plus ``distance_m``; with wide shots, pair a few columns and attach the rest by ``enrich_pairs``.
+    ``shots`` is read once for either side and, by position only, for the counts of cells and of full
+    cells' parts: give a stored table. Nothing runs before an action.
     """
     # Outward margin on the reach only: extra candidates are dropped by the distance test.
     reach = math.degrees(radius_m / EARTH_RADIUS_M) * (1 + 1e-9)
@@ -98,20 +129,20 @@ def near_pairs(
     lon_c, lat_c = F.col(lon), F.col(lat)
 
     placed = shots.where(lon_c.isNotNull() & lat_c.isNotNull())
-    left = prefixed(placed, "t1_").withColumn("_cell", _own_cell(F.col(f"t1_{lon}"), F.col(f"t1_{lat}"), height))
-    right = prefixed(placed, "t2_").withColumn(
-        "_cell", F.explode(_touched_cells(F.col(f"t2_{lon}"), F.col(f"t2_{lat}"), height, reach))
-    )
+    t1 = (F.col(f"t1_{lon}"), F.col(f"t1_{lat}"))
+    t2 = (F.col(f"t2_{lon}"), F.col(f"t2_{lat}"))
+    left = prefixed(placed, "t1_").withColumn("_cell", _own_cell(*t1, height))
+    right = prefixed(placed, "t2_").withColumn("_cell", F.explode(_touched_cells(*t2, height, reach)))
     keys = ["_cell"]
     if hot_cell_rows is not None:
-        hot = F.broadcast(hot_keys(placed, _own_cell(lon_c, lat_c, height), hot_cell_rows))
-        keys = ["_cell", "_i", "_j"]
-        left = _blocks(left, hot, f"t1_{id}", own="_i", other="_j")
-        right = _blocks(right, hot, f"t2_{id}", own="_j", other="_i")
+        keys = LEAF_KEYS
+        parts = _own_parts(lon_c, lat_c, height)
+        counted = placed.select(_own_cell(lon_c, lat_c, height).alias("_cell"), *[c.alias(n) for n, c in zip(("_x", "_y"), parts)])
+        pieces = F.broadcast(leaves(counted, hot_cell_rows))  # bounded by construction, see there
+        left = in_leaf(left, pieces, *_own_parts(*t1, height), f"t1_{id}")
+        right = in_reached_leaves(right, pieces, *_reaches(*t2, height, reach), f"t2_{id}")
 
     limit = math.sin(radius_m / (2 * EARTH_RADIUS_M)) ** 2
-    t1 = (F.col(f"t1_{lon}"), F.col(f"t1_{lat}"))
-    t2 = (F.col(f"t2_{lon}"), F.col(f"t2_{lat}"))
     pairs = (
         left.join(right, keys)
         .where(F.col(f"t1_{id}") < F.col(f"t2_{id}"))
@@ -125,17 +156,6 @@ def near_pairs(
     return pairs
 
 
-def _blocks(side: DataFrame, hot: DataFrame, id_col: str, own: str, other: str) -> DataFrame:
-    """Give each row its slice of a hot cell and copy it to every slice of the other side."""
-    splits = F.coalesce("splits", F.lit(1))
-    return (
-        side.join(hot, F.col("_cell") == F.col("hot_key"), "left")
-        .withColumn(own, F.pmod(F.hash(F.col(id_col)), splits))
-        .withColumn(other, F.explode(F.sequence(F.lit(0), splits - 1)))
-        .drop("hot_key", "splits")
-    )
-
-
 def enrich_pairs(
     pairs: DataFrame,
     metrics: DataFrame,
