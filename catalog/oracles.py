@@ -418,6 +418,7 @@ def build(region: list, chunk_region: list) -> dict[str, str]:
     q["closer_than_30m"] = sql("select t1_shot_number, t2_shot_number from pairs where distance_m < 30", "pairs")
     q["placed_pairs"] = sql("select t1_shot_number, t2_shot_number, 'T'||tile_n::varchar as tile from pairs where tile_n%10<>7", "pairs")
     q["overlay_yearly"] = sql(f"""select t1_shot_number, t2_shot_number, 'T'||((t2_shot_number%1000000)//1500)::varchar as tile, {HITS4} from yearly""", "yearly")
+    q["overlay_yearly_by_rule"] = q["overlay_yearly"]
     # Deforestation wins from its year on, so degradation shows only if it starts earlier.
     d, g = deg("row", "col", 11), defo("row", "col")
     q["overlay_yearly_no_deforestation"] = sql(

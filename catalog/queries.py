@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ from twinshot.operators import stats as A
 from twinshot.operators.blocks import store_blocks
 from twinshot.operators.colocated import buckets_for, store_bucketed
 from twinshot.operators.keys import materialise, new_folder
+from twinshot.operators.vectorised import overlay_by_rule, window_array
 from twinshot.plans import jobs
 from twinshot.schemas import METRIC_SCHEMA
 from twinshot.sources.ingest import points_from_wkb, read_metrics, read_pairs, write_chunks, write_table
@@ -264,6 +266,30 @@ def overlay_yearly(spark, sf):
     return yearly(spark, sf).select(*KEYS, "tile", *_hits(4))
 
 
+def yearly_rule(years: list[int], cls: int, names: list[str]):
+    """The yearly rule on arrays."""
+
+    def rule(batch):
+        met = window_array(batch.column("vals"), (4, len(years))) == cls
+        first = np.where(met.any(axis=2), years[0] + met.argmax(axis=2), years[0] - 1)
+        t1, t2 = (batch.column(c).to_numpy()[:, None] for c in ("t1_year", "t2_year"))
+        inside = (t1 < first) & (first < t2)
+        outside = ((t2 < first) | (t1 > first)) & (first > years[0]) & ~inside
+        dates = np.where(inside | outside, first, 0).astype("int32")
+        counts = [hits.sum(axis=1).astype("int32") for hits in (inside, outside)]
+        return dict(zip(names, [*counts, *dates.T]))
+
+    return rule
+
+
+@query
+def overlay_yearly_by_rule(spark, sf):
+    p = O.with_years(D.timed_pairs(spark, sf))
+    rule, adds = yearly_rule(D.YEARS, O.DEGRADATION, _hits(4)), ", ".join(f"{c} int" for c in _hits(4))
+    out = overlay_by_rule(p, D.yearly_raster(spark, sf), D.tiles(spark, sf), ["vals"], rule, adds, asked=D.asked(spark, sf, 2))
+    return out.select(*KEYS, "tile", *_hits(4))
+
+
 @query
 def overlay_yearly_no_deforestation(spark, sf):
     p = O.with_years(D.timed_pairs(spark, sf))

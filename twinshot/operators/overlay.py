@@ -90,6 +90,11 @@ def _positions() -> list[Column]:
     return [col.bitwiseXOR(F.lit(i)) * 2 + row.bitwiseXOR(F.lit(j)) for i in (0, 1) for j in (0, 1)]
 
 
+def in_near_order(values: str) -> Column:
+    """A 2 x 2 window's entries from p1, the nearest pixel, to p4."""
+    return F.array(*[F.get(F.col(values), at) for at in _positions()])
+
+
 # ----- yearly class maps ------------------------------------------------------------
 
 
