@@ -3,17 +3,20 @@
 An item's set of distinct word shingles is contained in a document if the document has at least
 ``containment`` of it. A document may be thousands of times longer than an item, so their Jaccard
 similarity says nothing, and a signature of the document could not find it. The search therefore
-keeps minima of the items only. Items are partitioned by set size; an item of q shingles may miss
-at most m = q - ceil(containment * q) of them, and its sketch holds its m + 1 + EXTRA smallest
-hashes (its bottom-k MinHash). A document that contains the item has all but m of them, that is at
-least size(sketch) - m: no containing document is missed, at any length. Sketches of one partition
-share q, hence k and the hits they ask for. Documents are partitioned by set size in the same way: one smaller than
-the least q * containment of a partition is not compared with it. Candidates are then verified on
-the full sets of exact shingle hashes.
-
-The items are read by the driver in blocks of at most ``BLOCK_ITEMS`` items and ``BLOCK_SHINGLES``
-shingles, so the data that goes to every task has a fixed size; a benchmark that is larger takes
-more passes over the documents, each without any shuffle.
+keeps minima of the items only and looks them up among all shingles of a document. Items are
+partitioned by set size, in classes that double. Items of a class may miss at most as many
+shingles as its largest size allows, and their sketches hold that number + 1 + ``EXTRA`` smallest hashes
+(a bottom-k MinHash whose length the class sets). A document that contains an item of q shingles has
+all but m = q - ceil(containment * q) of them, that is at least size(sketch) - m of the sketch: none is missed,
+at any length. Candidates are then verified on the full sets of exact shingle hashes.
+
+How the work is spread. Sketches and sets of the distinct item texts are computed in tasks and stored.
+The items' hashes fill a bit table of fixed size, which goes to every task; one pass over the documents
+leaves of each those of its distinct shingles that the table lists, and no row of the ones that have
+none. What is left is stored and joined to the sketches, class by class, by hash. A class goes to every
+task if it has been counted to hold at most ``CLASS_ROWS`` hashes, otherwise both sides are shuffled.
+Documents with one text are compared once, named by 128 bits of hash, and a text's verdict is joined back
+to its rows in parts, so that no group of copies is hot.
 """
 
 from __future__ import annotations
@@ -22,108 +25,162 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinshot.llm.words import Words, ngram_hashes, shingles, slices
+from twinshot.llm.phrases import _listed, _table
+from twinshot.llm.store import spread_lookup, stored
+from twinshot.llm.words import Words, ngram_hashes, shingles, signed, slices
 
 EXTRA = 7
-BLOCK_ITEMS = 20_000
-BLOCK_SHINGLES = 2_000_000
-
-
-class Items:
-    """Sketches and full sets of one block of items, ready for look-up."""
-
-    def __init__(self, ids: list[int], texts: list[str | None], size: int, containment: float):
-        texts = pa.array(texts, pa.large_string())
-        words = Words(texts, lower=True)
-        self.size = size
-        self.ids = np.array(ids, dtype=np.int64)
-        # An item with fewer words than a shingle is one shorter run of words.
-        self.short = sorted(set(int(c) for c in words.counts if 0 < c < size))
-        item, h = shingles(words, size)
-        self.n = np.bincount(item, minlength=len(ids)).astype(np.int64)
-        percent = round(100 * containment)
-        self.need = -(-percent * self.n // 100)  # ceil
-        self.cut = np.searchsorted(item, np.arange(len(ids) + 1))
-        self.sets = h
-        sketch = np.minimum(self.n, self.n - self.need + 1 + EXTRA)
-        self.hits = sketch - (self.n - self.need)
-        # Rows of a set are sorted by hash: its first ones are its minima.
-        within = np.arange(len(h)) - self.cut[item]
-        own = within < sketch[item]
-        order = np.argsort(h[own], kind="stable")
-        self.probe, self.probe_item = h[own][order], item[own][order]
-        self.filter = np.zeros(1 << 22, dtype=bool)
-        self.filter[(self.probe >> np.uint64(42)).astype(np.int64)] = True
-
-    def find(self, h: np.ndarray, doc_size: int) -> list[tuple[int, int]]:
-        """(item, shared shingles) of the items that a document's sorted distinct hashes contain."""
-        likely = h[self.filter[(h >> np.uint64(42)).astype(np.int64)]]
-        if not len(likely):
-            return []
-        lo, hi = np.searchsorted(self.probe, likely, "left"), np.searchsorted(self.probe, likely, "right")
-        lo, hi = lo[hi > lo], hi[hi > lo]
-        if not len(lo):
-            return []
-        items, hits = np.unique(np.concatenate([self.probe_item[a:b] for a, b in zip(lo, hi)]), return_counts=True)
-        items = items[(hits >= self.hits[items]) & (self.need[items] <= doc_size)]
-        out = []
-        for i in items:
-            own = self.sets[self.cut[i] : self.cut[i + 1]]
-            at = np.searchsorted(h, own)
-            at[at == len(h)] = 0
-            shared = int(np.count_nonzero(h[at] == own))
-            if shared >= self.need[i]:
-                out.append((int(i), shared))
-        return out
-
-
-def _document_sets(words: Words, items: Items) -> Iterator[tuple[int, np.ndarray]]:
-    """Sorted distinct shingle hashes of every document, with shorter runs where items have them."""
-    doc, h = shingles(words, items.size)
-    if items.short:
-        w = words.hashes()
-        docs, hashes = [doc], [h]
-        for n in items.short:
-            g = ngram_hashes(w, n)
-            at = np.arange(len(g))
-            of = words.doc_of(at)
-            fits = at + n <= words.first[of + 1] if len(at) else np.zeros(0, bool)
-            docs.append(of[fits])
-            hashes.append(g[fits])
-        doc, h = np.concatenate(docs), np.concatenate(hashes)
-        order = np.lexsort((h, doc))
-        doc, h = doc[order], h[order]
-        new = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])] if len(h) else np.zeros(0, bool)
-        doc, h = doc[new], h[new]
-    cut = np.searchsorted(doc, np.arange(words.n_docs + 1))
-    for i in range(words.n_docs):
-        yield i, h[cut[i] : cut[i + 1]]
-
-
-def _blocks(items: DataFrame, size: int, containment: float) -> Iterator[Items]:
-    """The items in blocks of bounded size; rows come one partition at a time."""
-    ids, texts, shingle_count = [], [], 0
-    for row in items.toLocalIterator():
-        if row.text is None:
-            continue
-        n = len(row.text.split())
-        if ids and (len(ids) >= BLOCK_ITEMS or shingle_count + n > BLOCK_SHINGLES):
-            yield Items(ids, texts, size, containment)
-            ids, texts, shingle_count = [], [], 0
-        ids.append(row.item_id)
-        texts.append(row.text)
-        shingle_count += n
-    if ids:
-        yield Items(ids, texts, size, containment)
-
-
-def _selected(items: DataFrame, item_id: str, text: str) -> DataFrame:
-    return items.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).cast("string").alias("text")).where(
-        "item_id is not null and text is not null"
-    )
+#: Hashes of a class of sketches, or rows of a table of verdicts, that are sent to every task (16 MB of hashes and names
+#: each); larger ones are shuffled.
+CLASS_ROWS = 1 << 19
+TEXT = ["text_a", "text_b"]
+ITEM = ["item_a", "item_b"]
+
+
+def _names(text: Column) -> list[Column]:
+    """128 bits that name a text."""
+    return [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+
+
+def _named(text: Column, names: list[str]) -> list[Column]:
+    return [text.alias("text"), *(c.alias(n) for c, n in zip(_names(text), names))]
+
+
+def missing(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many of its n shingles an item may miss: n - ceil(containment * n)."""
+    return n - -(-percent * n // 100)
+
+
+def _lists(values: np.ndarray, of: np.ndarray, rows: int) -> pa.Array:
+    """Values, ordered by row, as one list per row."""
+    offsets = np.searchsorted(of, np.arange(rows + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(values)))
+
+
+def item_sets(items: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """(item_a, item_b, words, size_class, n, need, hits, sketch, grams) of each row of ``items`` (item_a, item_b, text).
+
+    ``grams`` is the item's set, ``sketch`` its minima; a document must have ``hits`` of the sketch to be a
+    candidate and ``need`` of the set to contain the item. Wordless items are left out. An item
+    with fewer words than a shingle is one shorter run of ``words`` words.
+    """
+    fields = [("words", pa.int32()), ("size_class", pa.int32()), ("n", pa.int64()), ("need", pa.int64()), ("hits", pa.int64())]
+    lists = [("sketch", pa.list_(pa.int64())), ("grams", pa.list_(pa.int64()))]
+    schema = pa.schema([*((c, pa.int64()) for c in ITEM), *fields, *lists])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                words = Words(part.column("text"), lower=True)
+                rows = part.num_rows
+                item, h = shingles(words, shingle_words)
+                n = np.bincount(item, minlength=rows).astype(np.int64)
+                size_class = np.frexp(n)[1].astype(np.int32)  # n.bit_length()
+                largest = (1 << size_class.astype(np.int64)) - 1
+                length = np.minimum(n, missing(largest, percent) + 1 + EXTRA)
+                # Rows of a set are sorted by hash: its first ones are its minima.
+                own = np.arange(len(h)) - np.searchsorted(item, np.arange(rows))[item] < length[item]
+                columns = [
+                    np.minimum(words.counts, shingle_words).astype(np.int32),
+                    size_class,
+                    n,
+                    n - missing(n, percent),
+                    length - missing(n, percent),
+                ]
+                out = [part.column(c) for c in ITEM] + [pa.array(c) for c in columns]
+                out += [_lists(h[own], item[own], rows), _lists(h, item, rows)]
+                yield pa.RecordBatch.from_arrays(out, schema=schema).filter(pa.array(n > 0))
+
+    ddl = "item_a long, item_b long, words int, size_class int, n long, need long, hits long, sketch array<long>, grams array<long>"
+    return items.select(*ITEM, "text").mapInArrow(run, ddl)
+
+
+def _document_sets(words: Words, size: int, short: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of distinct shingles, with the shorter runs that some items are."""
+    doc, h = shingles(words, size)
+    if not short:
+        return doc, h
+    w = words.hashes()
+    docs, hashes = [doc], [h]
+    for n in short:
+        g = ngram_hashes(w, n)
+        at = np.arange(len(g))
+        of = words.doc_of(at)
+        fits = at + n <= words.first[of + 1] if len(at) else np.zeros(0, bool)
+        docs.append(of[fits])
+        hashes.append(g[fits])
+    doc, h = np.concatenate(docs), np.concatenate(hashes)
+    order = np.lexsort((h, doc))
+    doc, h = doc[order], h[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])] if len(h) else np.zeros(0, bool)
+    return doc[new], h[new]
+
+
+def _listed_shingles(docs: DataFrame, table: np.ndarray, size: int, short: list[int]) -> DataFrame:
+    """``docs`` (text, others) without the text, with ``listed``: its distinct shingles in the table; rows with none go."""
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+    kept = [c for c in docs.columns if c != "text"]
+    schema = pa.schema([*((c, pa.int64()) for c in kept), ("listed", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                doc, h = _document_sets(Words(part.column("text"), lower=True), size, short)
+                own = _listed(shared.value, h)
+                doc, h = doc[own], h[own]
+                lists = _lists(h, doc, part.num_rows)
+                out = pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), lists], schema=schema)
+                yield out.filter(pa.array(np.bincount(doc, minlength=part.num_rows) > 0))
+
+    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in kept) + ", listed array<long>")
+
+
+def _sent(table: DataFrame, rows: int) -> DataFrame:
+    """``table``, marked to be sent to every task if it has been counted to be small."""
+    return F.broadcast(table) if rows <= CLASS_ROWS else table
+
+
+def _verified(texts: DataFrame, sets: DataFrame) -> DataFrame:
+    """(text_a, text_b, item_a, item_b, n, n_shared) of every text (text_a, text_b, listed) and item it contains."""
+    classes = sets.groupBy("size_class").agg(F.sum(F.size("sketch")).alias("rows")).collect()  # one row per class: 63 at most
+    probes = texts.select(*TEXT, F.explode("listed").alias("h"))
+    found = []
+    for c in sorted(classes, key=lambda r: r["size_class"]):
+        sketches = sets.where(F.col("size_class") == c["size_class"]).select(*ITEM, "hits", F.explode("sketch").alias("h"))
+        met = probes.join(_sent(sketches, c["rows"]), "h").groupBy(*TEXT, *ITEM, "hits").agg(F.count("*").alias("met"))
+        found.append(met.where("met >= hits").select(*TEXT, *ITEM))
+    if not found:
+        return texts.select(*TEXT, *(F.lit(0).cast("long").alias(c) for c in [*ITEM, "n", "n_shared"])).limit(0)
+    candidates = found[0]
+    for f in found[1:]:
+        candidates = candidates.unionByName(f)
+    grams = sum(c["rows"] for c in classes)
+    full = _sent(sets.select(*ITEM, "n", "need", "grams"), 4 * grams)
+    both = stored(candidates).join(full, ITEM).join(texts, TEXT)
+    both = both.withColumn("n_shared", F.size(F.array_intersect("listed", "grams")).cast("long"))
+    return both.where("n_shared >= need").select(*TEXT, *ITEM, "n", "n_shared")
+
+
+def _search(docs: DataFrame, items: DataFrame, shingle_words: int, containment: float) -> tuple[DataFrame, DataFrame]:
+    """(rows that share a shingle with an item: the columns of ``docs`` without the text, and ``_verified``).
+
+    ``docs`` has text, text_a, text_b and other long columns, ``items`` item_a, item_b and text.
+    """
+    percent = round(100 * containment)
+    sets = stored(item_sets(items.dropDuplicates(ITEM), shingle_words, percent))
+    short = sorted(r["words"] for r in sets.where(F.col("words") < shingle_words).select("words").distinct().collect())
+    table = _table(sets.select(F.explode("grams").alias("h")))
+    listed = stored(_listed_shingles(docs, table, shingle_words, short))
+    texts = stored(listed.groupBy(*TEXT).agg(F.first("listed").alias("listed")))
+    return listed.drop("listed"), stored(_verified(texts, sets))
+
+
+def _items(items: DataFrame, item_id: str, text: str) -> DataFrame:
+    rows = items.select(F.col(item_id).cast("long").alias("item_id"), *_named(F.col(text).cast("string"), ITEM))
+    return rows.where("item_id is not null and text is not null")
 
 
 def contained_items(
@@ -141,35 +198,18 @@ def contained_items(
     Shingles are runs of ``shingle_words`` words, A-Z lower-cased; an item with fewer words is one
     shorter run, looked for in the same way. Null, empty and wordless texts contain nothing and are
     contained nowhere. Rows without an id are left out; a repeated row gives repeated pairs. Other
-    columns are not read. An empty table of items or documents gives an empty result.
+    columns are not read. An empty table of items or documents gives an empty result. The search
+    runs when this is called and its results are stored.
     """
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where(
-        "doc_id is not null"
-    )
-    ddl = "doc_id long, item_id long, n_shingles long, n_shared long, containment double"
-    schema = pa.schema(
-        [("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_shingles", pa.int64())]
-        + [("n_shared", pa.int64()), ("containment", pa.float64())]
+    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), *_named(F.col(text).cast("string"), TEXT))
+    rows = _items(items, item_id, item_text)
+    listed, found = _search(plain.where("doc_id is not null"), rows, shingle_words, containment)
+    # One row per text, with all that it contains; then its documents, and the items' ids of each item text.
+    of_text = found.groupBy(*TEXT).agg(F.collect_list(F.struct(*ITEM, "n", "n_shared")).alias("found"))
+    pairs = spread_lookup(listed, of_text, TEXT, F.col("doc_id")).select("doc_id", F.inline("found"))
+    return pairs.join(rows.select("item_id", *ITEM), ITEM).select(
+        "doc_id", "item_id", F.col("n").alias("n_shingles"), "n_shared", (F.col("n_shared") / F.col("n")).alias("containment")
     )
-    out = docs.sparkSession.createDataFrame([], ddl)
-    for block in _blocks(_selected(items, item_id, item_text), shingle_words, containment):
-        shared_block = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared_block=shared_block) -> Iterator[pa.RecordBatch]:
-            block = shared_block.value
-            for batch in batches:
-                for part in slices(batch, "text"):
-                    ids = part.column("doc_id").to_pylist()
-                    rows = [
-                        (ids[i], int(block.ids[k]), int(block.n[k]), n, n / int(block.n[k]))
-                        for i, h in _document_sets(Words(part.column("text"), lower=True), block)
-                        for k, n in block.find(h, len(h))
-                    ]
-                    if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], schema=schema)
-
-        out = out.union(plain.mapInArrow(run, ddl))
-    return out
 
 
 def decontaminated(
@@ -177,18 +217,11 @@ def decontaminated(
 ) -> DataFrame:
     """``docs`` without the rows whose ``text`` contains a benchmark item; all columns stay.
 
-    The same search as ``contained_items``, as a filter inside the scan: no row is moved.
+    The same search as ``contained_items``. The names of the texts to go are sent to every task if
+    they are few, and no document is moved; otherwise documents are joined to them by name.
     """
-    kept = docs
-    for block in _blocks(_selected(items, "item_id", "text"), shingle_words, containment):
-        shared_block = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared_block=shared_block) -> Iterator[pa.RecordBatch]:
-            block = shared_block.value
-            for batch in batches:
-                for part in slices(batch, "text"):
-                    sets = _document_sets(Words(part.column("text"), lower=True), block)
-                    yield part.filter(pa.array([not block.find(h, len(h)) for _, h in sets], pa.bool_()))
-
-        kept = kept.mapInArrow(run, docs.schema)
-    return kept
+    body = F.col("text").cast("string")
+    _, found = _search(docs.select(*_named(body, TEXT)), _items(items, "item_id", "text"), shingle_words, containment)
+    gone = stored(found.select(*(F.col(c).alias(f"_gone_{c}") for c in TEXT)).distinct())
+    same = [name == F.col(f"_gone_{c}") for name, c in zip(_names(body), TEXT)]
+    return docs.join(_sent(gone, gone.count()), same, "left_anti")
