@@ -7,12 +7,17 @@ binary search among the sorted keys of the mergeable pairs; each word merges all
 the left, of its lowest-ranked pair. A token is always learned after its parts, so a merge can't make
 a pair of lower rank and rounds give what merging one pair at a time gives. Words that have no
 mergeable pair left the array.
+
+In a very long word every merge of one rank would cost a round over the whole word. The symbols of words over
+``LONG_BYTES`` are therefore linked to their neighbours and a round, over all such words, looks only at
+the places of one rank and, after merging, at the pairs beside them.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import json
 from collections.abc import Callable, Iterator
 
@@ -25,6 +30,7 @@ from pyspark.sql import functions as F
 from twinshot.llm.words import slices
 
 CACHE_WORDS = 400_000
+LONG_BYTES = 256
 _NO_RANK = np.iinfo(np.int64).max
 
 # Fixed value: the split pattern of byte-level vocabularies with the ByteLevel pre-tokenizer.
@@ -41,6 +47,30 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(0x100 + i): b for i, b in enumerate(others)}
 
 
+def byte_level(path: str) -> dict:
+    """The content of a byte-level BPE file; fails if it asks for anything that this module doesn't do."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    odd = [
+        name
+        for name, fits in (
+            ("model", model.get("type", "BPE") == "BPE"),
+            ("pre_tokenizer", split.get("type") == "ByteLevel" and split.get("use_regex", True)),
+            ("add_prefix_space", not split.get("add_prefix_space")),
+            ("normalizer", spec.get("normalizer") is None),
+            ("decoder", (spec.get("decoder") or {}).get("type") == "ByteLevel"),
+            ("added_tokens", not any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip"))),
+            *((k, not model.get(k)) for k in ("dropout", "byte_fallback", "ignore_merges")),
+            *((k, not model.get(k)) for k in ("continuing_subword_prefix", "end_of_word_suffix")),
+        )
+        if not fits
+    ]
+    if odd:
+        raise ValueError(f"{path} is no plain byte-level BPE file: {', '.join(odd)}")
+    return spec
+
+
 class Splitter:
     """Cuts texts into words; special strings are words of their own."""
 
@@ -95,8 +125,7 @@ class KnownWords:
 
 class Bpe:
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = byte_level(path)
         letters = byte_letters()
         vocab = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -117,6 +146,7 @@ class Bpe:
         self.size = size
         keys = np.array([vocab[a] * size + vocab[b] for a, b in pairs], dtype=np.int64)
         into = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
+        self.key_of_rank, self.into_of_rank = keys, into
         order = np.argsort(keys)
         self.keys, self.ranks, self.into = keys[order], order, into[order]
         self.splitter = Splitter(list(self.special))
@@ -160,13 +190,72 @@ class Bpe:
         order = np.argsort(word, kind="stable")
         return ids[order], np.bincount(word, minlength=len(words))
 
+    def merge_long(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same by rounds over ranks, ascending; each touches only the places that its rank has."""
+        raw = [w.encode() for w in words]
+        symbol = self.first_ids[np.frombuffer(b"".join(raw), dtype=np.uint8)]
+        n, sizes = len(symbol), np.array([len(r) for r in raw])
+        word = np.repeat(np.arange(len(raw)), sizes)
+        ends = np.cumsum(sizes)
+        # Neighbours of each symbol; -1 and n where there is none.
+        before, after = np.arange(n) - 1, np.arange(n) + 1
+        before[ends - sizes], after[ends - 1] = -1, n
+        alive = np.ones(n, bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def wait(places: np.ndarray) -> None:
+            """Note the pairs that begin at these places under their ranks."""
+            places = places[after[places] < n]
+            pair = symbol[places] * self.size + symbol[after[places]]
+            at = np.searchsorted(self.keys, pair)
+            at[at == len(self.keys)] = 0
+            known = self.keys[at] == pair
+            places, rank = places[known], self.ranks[at[known]]
+            order = np.argsort(rank, kind="stable")
+            places, rank = places[order], rank[order]
+            cuts = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]]) if len(rank) else []
+            for a, b in zip(cuts, [*cuts[1:], len(rank)]):
+                r = int(rank[a])
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(ranks, r)
+                waiting[r].append(places[a:b])
+
+        wait(np.arange(n))
+        while ranks:
+            r = heapq.heappop(ranks)
+            places = np.unique(np.concatenate(waiting.pop(r)))
+            places = places[alive[places]]
+            places = places[after[places] < n]
+            places = places[symbol[places] * self.size + symbol[after[places]] == self.key_of_rank[r]]
+            if not len(places):
+                continue
+            # In a chain of overlapping pairs (aaa) every second one merges, from the left.
+            chained = np.r_[False, after[places[:-1]] == places[1:]]
+            if chained.any():
+                index = np.arange(len(places))
+                head = np.maximum.accumulate(np.where(chained, 0, index))
+                places = places[(index - head) % 2 == 0]
+            right = after[places]
+            following = after[right]
+            symbol[places], alive[right], after[places] = self.into_of_rank[r], False, following
+            inside = following < n
+            before[following[inside]] = places[inside]
+            left = before[places]
+            wait(np.unique(np.r_[left[left >= 0], places]))
+        return symbol[alive], np.bincount(word[alive], minlength=len(words))
+
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        plain = [w for w in words if w not in self.special]
+        long = {w for w in words if len(w.encode()) > LONG_BYTES and w not in self.special}
+        plain = [w for w in words if w not in self.special and w not in long]
         if len(plain) == len(words):
             return self.merge(words)
         parts = {w: np.array([self.special[w]]) for w in words if w in self.special}
-        ids, size = self.merge(plain)
-        parts.update(zip(plain, np.split(ids, np.cumsum(size)[:-1])))
+        for own, merge in ((plain, self.merge), (sorted(long), self.merge_long)):
+            if own:
+                ids, size = merge(own)
+                parts.update(zip(own, np.split(ids, np.cumsum(size)[:-1])))
         return np.concatenate([parts[w] for w in words]), np.array([len(parts[w]) for w in words])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:

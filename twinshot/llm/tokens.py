@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinshot.llm.bpe import KnownWords, Splitter
+from twinshot.llm.bpe import KnownWords, Splitter, byte_level
 from twinshot.llm.words import slices
 
 CHUNK = 1 << 16
@@ -47,6 +47,7 @@ def _tokenizer(path: str):
 @functools.cache
 def _known(path: str) -> tuple[Splitter, KnownWords]:
     """The tokens of words; a word that the split pattern cuts out is encoded alike on its own."""
+    byte_level(path)
     t = _tokenizer(path)
 
     def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
