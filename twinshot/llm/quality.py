@@ -106,11 +106,11 @@ def rule_counts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     return plain.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
-FEATURES = ["word length", "symbols", "repeats", "marks", "capitals"]
+FEATURES = ["word length", "symbols", "repeats", "marks", "capitals", "repeated lines", "digits", "words"]
 
 
 def features(counts: dict[str, np.ndarray]) -> np.ndarray:
-    """Rule statistics of rows: rates by word or character; symbols, which are rare, on a log scale."""
+    """Rule statistics of rows: rates by word, character or line; symbols, which are rare, and words on a log scale."""
     c = {k: np.asarray(v, dtype=np.float64) for k, v in counts.items()}
     words, chars = np.maximum(c["n_words"], 1), np.maximum(c["word_chars"], 1)
     return np.stack(
@@ -120,6 +120,9 @@ def features(counts: dict[str, np.ndarray]) -> np.ndarray:
             c["n_repeat_words"] / words,
             c["n_marks"] / words,
             c["n_capitals"] / chars,
+            c["n_dup_lines"] / np.maximum(c["n_lines"], 1),
+            c["n_digits"] / chars,
+            np.log1p(c["n_words"]),
         ],
         axis=1,
     )
@@ -196,6 +199,9 @@ def _ratios() -> list:
         F.col("n_repeat_words") / words,
         F.col("n_marks") / words,
         F.col("n_capitals") / chars,
+        F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
+        F.col("n_digits") / chars,
+        F.log1p("n_words"),
     ]
 
 
