@@ -2,11 +2,13 @@
 
 import collections
 import hashlib
+import json
 import math
 import random
 import re
 import string
 import time
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from twinshot.llm import html, langid, minhash, quality, queries, secrets, store, substrings, urls, words
+from twinshot.llm import containment, html, langid, minhash, quality, queries, secrets, store, substrings, urls, words
 from twinshot.llm.bpe import Bpe, encode_decode
 from twinshot.llm.components import components
 from twinshot.llm.containment import contained_items, decontaminated
@@ -309,6 +311,58 @@ def test_quality(spark, docs, texts, none):
     assert quality.quality_verdicts(none, labels).count() == 0
 
 
+def test_forest_paths_and_score():
+    """Path lengths and scores against a walk down every tree, node by node."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 8))
+    lo, hi = x.min(axis=0) - 1, x.max(axis=0) + 1
+    lo[3] = hi[3] = 0.0  # a statistic without a range is never split
+    forest = quality.Forest.grow(x[:280], lo, hi)
+    assert len(forest.roots) == quality.TREES and not (forest.column[forest.below >= 0] == 3).any()
+
+    def harmonic_path(n):
+        return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+
+    rows = quality.TREE_ROWS
+    for row in [*x[::60], hi, lo]:
+        depths = []
+        for root in forest.roots:
+            i, depth = root, 0
+            while forest.below[i] >= 0:
+                i = forest.below[i] if row[forest.column[i]] < forest.cut[i] else forest.above[i]
+                depth += 1
+            left_over = forest.leaf[i] - depth
+            assert min(abs(left_over - harmonic_path(n)) for n in range(rows + 1)) < 1e-9
+            depths.append(forest.leaf[i])
+        want = 2 ** (-(sum(depths) / len(depths)) / harmonic_path(rows))
+        assert abs(forest.score(row[None])[0] - want) < 1e-12
+    far = np.array([hi, lo])
+    assert forest.score(far).min() > np.quantile(forest.score(x[:280]), 0.9)
+
+
+def test_quality_sees_repeated_lines_and_digits(spark):
+    """Rows whose only fault is short repeated lines, or a flood of digits, are found."""
+    rng = random.Random(8)
+
+    def lines(words):
+        return "\n".join(" ".join(words[i : i + 8]) for i in range(0, len(words), 8))
+
+    def stuttered():  # the repeated lines are too short to be repeated windows
+        words = prose(rng, 80).split()
+        return "\n".join(f"{' '.join(words[i : i + 4])}\nagain" for i in range(0, 80, 4))
+
+    def numbered():
+        return lines([f"{rng.randrange(10**4)}" if i % 2 else w for i, w in enumerate(prose(rng, 100).split())])
+
+    clean = [(i, lines(prose(rng, 90).split())) for i in range(300)]
+    bad = [(1000 + i, stuttered() if i % 2 else numbered()) for i in range(60)]
+    frame = spark.createDataFrame(clean + bad, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 300, 2)] + [(1000 + i, 0) for i in range(20)], "doc_id long, quality int")
+    said = {r.doc_id: r for r in quality.quality_verdicts(frame, labels).collect()}
+    assert not any(r.base_failed for r in said.values())
+    assert sum(not said[i].kept for i, _ in bad) >= 57 and sum(said[i].kept for i, _ in clean) >= 294
+
+
 def test_language_id(spark, none):
     rng = random.Random(6)
     parts = {"aa": ["the", "ing", "wh", "ou"], "bb": ["sch", "ung", "ei", "ß"], "cc": ["que", "eau", "é", "oi"]}
@@ -399,6 +453,35 @@ def test_tokens_and_bpe(spark, docs, texts, none, tokenizer):
     assert token_counts(none, VOCABULARY).count() == 0 and encode_decode(none, VOCABULARY).count() == 0
 
 
+def test_long_words(tokenizer):
+    """Words of any length, by both kinds of rounds, against the library; the time grows with the length."""
+    bpe, rng = Bpe(VOCABULARY), random.Random(17)
+    alphabets = ["a", "ab", "abcdefghijklmnopqrstuvwxyz", "éßñ日本語", "0123456789", "=-", " "]
+    for alphabet in alphabets:
+        for n in (1, 2, 3, 255, 257, 1000, 4001):
+            t = "".join(rng.choice(alphabet) for _ in range(n))
+            ids = tokenizer.encode(t, add_special_tokens=False).ids
+            assert bpe.encode([t])[0].tolist() == ids
+            both = [m([t, "the", t + t]) for m in (bpe.merge, bpe.merge_long)]
+            assert all(np.array_equal(x, y) for x, y in zip(*both))
+    word = "".join(rng.choice(alphabets[2]) for _ in range(300_000))
+    begin = time.time()
+    ids = bpe.encode([word])[0]
+    assert time.time() - begin < 30
+    assert ids.tolist() == tokenizer.encode(word, add_special_tokens=False).ids
+
+
+def test_other_vocabulary_files_are_refused(tmp_path):
+    spec = json.loads(Path(VOCABULARY).read_text())
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"added_tokens": [{"id": 1, "content": "x", "lstrip": True}]}):
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError, match=next(iter(change))):
+            Bpe(str(path))
+        with pytest.raises(ValueError):
+            Counter(str(path)).short(["a"])
+
+
 def test_containment(spark, docs, texts, none):
     rng = random.Random(9)
     w = texts[-1].split()
@@ -420,6 +503,41 @@ def test_containment(spark, docs, texts, none):
     assert contained_items(none, table).count() == 0 and contained_items(docs, table.limit(0)).count() == 0
 
 
+def test_containment_of_copies_and_classes(spark, monkeypatch):
+    """Copies of documents and of items, items of many sizes, and nothing sent to every task."""
+    monkeypatch.setattr(containment, "CLASS_ROWS", 0)
+    rng = random.Random(21)
+    items = [prose(rng, n) for n in (1, 3, 5, 6, 9, 12, 25, 60, 200, 700)]
+    items += [items[4], items[6]]  # the same item under two ids
+    texts = []
+    for t in items[:10]:
+        w = t.split()
+        for damage in (0, 1, len(w) // 25, len(w) // 20, len(w) // 8):
+            v = list(w)
+            for i in rng.sample(range(len(v)), min(damage, len(v))):
+                v[i] = "changed"
+            texts.append(" ".join(prose(rng, rng.randint(0, 400)).split() + v + prose(rng, 30).split()))
+    texts += [texts[20]] * 300 + [texts[33]] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    docs = docs.unionByName(docs.where("doc_id = 33"))  # a row that is there twice
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want, known = collections.Counter(), {}
+    for d, t in enumerate(texts):
+        if t not in known:
+            known[t] = {}
+            for i, item in enumerate(items):
+                own = shingle_set(item, 5)
+                shared = len(own & shingle_set(t, min(5, len(split(item)))))
+                if 100 * shared >= 80 * len(own):
+                    known[t][i] = (len(own), shared)
+        for i, counts in known[t].items():
+            want[d, i, *counts] += 2 if d == 33 else 1
+    got = collections.Counter((r.doc_id, r.item_id, r.n_shingles, r.n_shared) for r in contained_items(docs, table).collect())
+    assert got == want and len({i for _, i, _, _ in got}) == len(items)
+    kept = decontaminated(docs.withColumn("text_a", F.lit(1)), table)
+    assert {r.doc_id for r in kept.collect()} == set(range(len(texts))) - {d for d, *_ in want}
+
+
 PAGE = """<html><head><title>T</title><script>var a = "<p>no</p>";</script></head><body><nav><a href=x>Home</a></nav>
 <div class="ad">Buy now</div><article><h1>Head &amp; <i>line</i></h1><p>One<b>two</b>&nbsp; three<p>Four<br>five<!-- no -->
 <form>Name</form><div id="comments">Nice!</div></article><footer>&copy; us</footer>"""
