@@ -323,7 +323,7 @@ def test_forest_paths_and_score():
     def harmonic_path(n):
         return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
-    rows = quality.TREE_ROWS
+    rows = forest.rows
     for row in [*x[::60], hi, lo]:
         depths = []
         for root in forest.roots:

@@ -25,7 +25,7 @@ from twinshot.llm.store import stored
 from twinshot.llm.words import Words, mix, ngram_hashes, slices
 
 TREES = 128
-TREE_ROWS = 256
+TREE_ROWS = 1024
 SAMPLE_ROWS = 8192
 SCORE_BINS = 1000
 MIN_WORDS = 50
