@@ -10,6 +10,8 @@ from twinshot.operators.keys import join_groups, materialise
 from twinshot.operators.ranks import select_ranks
 
 _PANELS = 4000
+#: Ranks that one task of the bootstrap should draw at most.
+DRAWS = 5_000_000
 
 
 def student_upper_tail(t: Column, df: Column) -> Column:
@@ -98,6 +100,8 @@ def bootstrap_median(
         rows = rows.where(F.col(g).isNotNull())
     rows = materialise(rows)  # narrow, and read by each of the steps below
     sizes = rows.groupBy(*group).agg(F.count("*").alias("_n"))
+    # Files of narrow rows are few; tasks follow the draws instead, which are n times the rows.
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows.count() * n // DRAWS))
     rep = F.col("replicate")
     if hash == "md5":
         draw = md5_int(F.lit(seed), rep, *[F.col(k) for k in key])
@@ -110,6 +114,7 @@ def bootstrap_median(
     drawn = (
         rows.select(*group, *key)
         .join(sizes, group)
+        .repartition(tasks, *key)
         .withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n))))
         .groupBy(*group, "replicate", "_n", pooled.alias("_rank"))
         .agg(F.count("*").alias("_c"))
