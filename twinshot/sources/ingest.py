@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from twinshot.functions.geo import double_from_bits, swap_bytes
+from twinshot.operators.keys import shuffles_removed
 from twinshot.schemas import METRIC_SCHEMA
 
 PARTITION_OPTIONS = {"numPartitions", "partitionColumn", "lowerBound", "upperBound"}
@@ -105,10 +106,12 @@ def write_table(df: DataFrame, path: str, overwrite: bool = False, partition_by:
     writer = df.write.mode("overwrite" if overwrite else "errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    with shuffles_removed(df.sparkSession):
+        writer.parquet(path)
 
 
 def write_chunks(df: DataFrame, path: str, rows: int = 10_000, overwrite: bool = False) -> None:
     """Parquet sink whose files hold at most ``rows`` rows."""
     mode = "overwrite" if overwrite else "errorifexists"
-    df.write.mode(mode).option("maxRecordsPerFile", rows).parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.mode(mode).option("maxRecordsPerFile", rows).parquet(path)
