@@ -104,16 +104,19 @@ def bootstrap_median(
     tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows.count() * n // DRAWS))
     rep = F.col("replicate")
     if hash == "md5":
-        draw = md5_int(F.lit(seed), rep, *[F.col(k) for k in key])
+        # The row's part of the text is made once, not for every draw; a key of NULLs has none.
+        name = [F.col(k).cast("string") for k in key]
+        rows_drawn = rows.select(*group, *key, F.when(F.coalesce(*name).isNotNull(), F.concat_ws("|", *name)).alias("_name"))
+        draw = md5_int(F.lit(seed), rep, F.col("_name"))
     else:
+        rows_drawn = rows.select(*group, *key)
         draw = F.xxhash64(F.lit(seed), rep, *[F.col(k) for k in key])
     size = F.col("_n")
     reach = F.ceil(F.sqrt(size.cast("double")) * 5) + 1
     middle = F.floor(size / 2)
     pooled = F.greatest(middle - reach, F.least(middle + reach + 1, F.pmod(draw, size) + 1))
     drawn = (
-        rows.select(*group, *key)
-        .join(sizes, group)
+        rows_drawn.join(sizes, group)
         .repartition(tasks, *key)
         .withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n))))
         .groupBy(*group, "replicate", "_n", pooled.alias("_rank"))
